@@ -75,14 +75,16 @@ def gift_extremes(transactions: DataFrame) -> DataFrame:
 
     Ranked by (date, id); a missing date comes first. Gifts without a pledge can match none.
     """
-    place = F.struct("send_date", "tran_uid")
+    gift = F.struct("send_date", "tran_uid", "tran_amount")
     return (
         transactions.filter(F.col("pledge_uid").isNotNull())
         .groupBy("pledge_uid")
-        .agg(
-            F.min_by("tran_amount", place).alias("original_commitment_amount"),
-            F.max_by("tran_amount", place).alias("commitment_amount"),
-            F.max("send_date").alias("last_gift_date"),
+        .agg(F.min(gift).alias("_first"), F.max(gift).alias("_last"))
+        .select(
+            "pledge_uid",
+            F.col("_first.tran_amount").alias("original_commitment_amount"),
+            F.col("_last.tran_amount").alias("commitment_amount"),
+            F.col("_last.send_date").alias("last_gift_date"),
         )
     )
 

@@ -88,8 +88,11 @@ def active_donor_summary(gift_facts: DataFrame, contacts: DataFrame, window: Per
 
 
 def read_out(report: DataFrame, date_column: str, period: Period) -> DataFrame:
-    """A stored list for a period, in date order."""
-    return report.filter(period.holds(F.col(date_column))).orderBy(date_column)
+    """A stored list for a period, in date order.
+
+    Donor numbers settle the order within a day, and let the sort spread a crowded day over many tasks.
+    """
+    return report.filter(period.holds(F.col(date_column))).orderBy(date_column, "donor_no")
 
 
 def quarter_slice(report: DataFrame, date_column: str, quarter: Period, columns: Sequence[str]) -> DataFrame:
@@ -120,11 +123,9 @@ def conversion_list(gifts: DataFrame, transactions: DataFrame, quarter: Period)
     converted = first_per_key(
         gifts.filter(F.col("campaign_id").like("CONVERSION%")), ["supporter_id", "campaign_id"], GIFT_ORDER
     ).filter(quarter.holds(F.col("transaction_date")))
-    # The few converted donors cut the one-off history down before it is ranked.
-    singles = gifts.filter(F.col("transaction_type") == "Single").join(
-        converted.select("supporter_id"), "supporter_id", "left_semi"
-    )
-    first_single = first_per_key(singles, ["supporter_id"], GIFT_ORDER).select(
+    first_single = first_per_key(
+        gifts.filter(F.col("transaction_type") == "Single"), ["supporter_id"], GIFT_ORDER
+    ).select(
         F.col("supporter_id").alias("_supporter"),
         F.col("transaction_date").alias("first_oo_transaction_date"),
         F.col("campaign_id").alias("first_oo_campaign_id"),
@@ -149,7 +150,7 @@ def conversion_list(gifts: DataFrame, transactions: DataFrame, quarter: Period)
             F.col("campaign_id").alias("conversion_campaign"),
             "conversion_amount", "conversion_donation_section",
         )
-        .orderBy("conversion_date")
+        .orderBy("conversion_date", "donor_no", "conversion_campaign")
     )
 
 
@@ -179,5 +180,10 @@ def resolve_merged_donors(
     missing = checked.filter(F.col("in_new_donor") == "N").select(
         F.col("donor_no").alias("surviving_member_no")
     ).distinct()
-    former = missing.join(links, "surviving_member_no", "left")
+    # Inner and anti join instead of one left join: an often merged member sits on the side that adaptive
+    # execution can split only in an inner join.
+    never_merged = missing.join(links.select("surviving_member_no").distinct(), "surviving_member_no", "left_anti")
+    former = links.join(missing, "surviving_member_no").select("surviving_member_no", "merged_member_no").unionByName(
+        never_merged.withColumn("merged_member_no", F.lit(None).cast("bigint"))
+    )
     return with_membership(former, new_donors, "merged_member_no", "donor_no", "listed_under_merged_no")

@@ -11,6 +11,9 @@ from ..vocab import BANK_TRANSFER, COLLECTOR_ROUTE, DEFAULT_VOCABULARY, ONE_OFF,
 from .retention import cancelled_contacts, lapsed_donors
 
 
+_OTHER_ROUTE = "Bank"
+
+
 def _oneoff_gifts(transactions: DataFrame, month: Period) -> DataFrame:
     return transactions.filter(
         (F.col("payment_type") == ONE_OFF) & (F.col("pledge_active") == "N") & month.holds(F.col("send_date"))
@@ -52,7 +55,8 @@ def external_cancel_by_route(
 ) -> DataFrame:
     """Members the collector switched off in the month, by termination route and last paid month.
 
-    A member with several termination results counts once for each.
+    A member with several termination results counts once for each; those are counted per member first,
+    so that one member's many records are never gathered.
     """
     # Field, writer and result codes of the collector's records.
     switched = change_history.filter(
@@ -60,22 +64,26 @@ def external_cancel_by_route(
         & (F.col("before_value") == "Y")
         & (F.col("changed_by") == "SCMS")
         & month.holds(F.col("changed_at"))
-    ).select("member_no")
+    ).select("member_no").distinct()
     # The collector books applications one day early.
-    ended = cms_results.filter(
-        month.shifted(-1).holds(F.col("applied_on"))
-        & (F.col("external_approval") == "Y")
-        & (F.col("apply_kind") == "해지")
-    ).select("member_no", "result_kind")
+    ended = (
+        cms_results.filter(
+            month.shifted(-1).holds(F.col("applied_on"))
+            & (F.col("external_approval") == "Y")
+            & (F.col("apply_kind") == "해지")
+        )
+        .groupBy("member_no", classify(COLLECTOR_ROUTE, otherwise=_OTHER_ROUTE).alias("_route"))
+        .agg(F.count(F.lit(1)).alias("_results"))
+    )
     members = crm_contacts.filter(F.col("pay_active") == "N").select("member_no", "pay_end_date")
     return (
         members.join(switched, "member_no", "left_semi")
         .join(ended, "member_no", "left")
         .groupBy(
-            classify(COLLECTOR_ROUTE, otherwise="Bank").alias("route"),
+            F.coalesce("_route", F.lit(_OTHER_ROUTE)).alias("route"),
             F.date_format("pay_end_date", "yyyy-MM").alias("pay_end_month"),
         )
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.sum(F.coalesce("_results", F.lit(1))).alias("count"))
         .orderBy("route", "pay_end_month")
     )
 
@@ -137,7 +145,8 @@ def refund_list(
             part_from_right(title, 3).alias("refund_method"),
             part_from_right(title, 2).alias("refund_amount"),
             part_from_right(title, 1).alias("refund_reason"),
-            "body",
+            "body", "case_id",
         )
-        .orderBy("recorded_at")
+        .orderBy("recorded_at", "case_id")
+        .drop("case_id")
     )

@@ -25,6 +25,9 @@ from .profiles import region_columns, with_region
 FIRST_GIFT_ORDER = ("transaction_date", "transaction_amount", "source_id", "payment_method", "donation_section")
 
 
+_NO_TYPE = 9
+
+
 def _one_off() -> Column:
     method = F.col("payment_method")
     return (F.col("payment_type") == "1") & method.isNotNull() & ~method.isin(*OO_EXCLUDED_METHODS)
@@ -55,7 +58,9 @@ def supporter_facts(gifts: DataFrame, year: Period, year_only: bool = False) ->
     amount = F.col("transaction_amount")
     source = F.col("source_id")
     cash = one_off & in_year & source.like("Cash%")
+    appeal = one_off & in_year & source.like("%Cash%")
     cash_type = classify(CASH_TYPE, {"campaign": source})
+    type_place = rank_map(cash_type, [rule.label for rule in CASH_TYPE], default=_NO_TYPE)
     return (
         scope.withColumn("_oo", F.col("payment_type") == "1")
         .groupBy("supporter_id")
@@ -74,6 +79,8 @@ def supporter_facts(gifts: DataFrame, year: Period, year_only: bool = False) ->
                 for rule in CASH_TYPE
             ],
             F.max(F.when(cash, F.lit(1)).otherwise(0)).alias("has_cash"),
+            # Date and type in one number, so that the first type needs no ranking: yyyyMMdd, then the place.
+            F.min(F.when(appeal, day.cast("bigint") * 10 + type_place)).alias("first_cash"),
         )
         .filter(F.col("min_oo_day").isNotNull())
     )
@@ -202,12 +209,18 @@ def cross_sell(gifts: DataFrame, year: Period) -> DataFrame:
     )
 
 
+def _first_cash_type() -> Column:
+    place = F.col("first_cash") % 10
+    ladder = F
+    for number, rule in enumerate(CASH_TYPE, start=1):
+        ladder = ladder.when(place == number, rule.label)
+    return ladder.otherwise(F.lit(None))
+
+
 def cash_type_first(gifts: DataFrame, year: Period) -> DataFrame:
-    """Appeal type of each supporter's first cash gift of the year."""
-    cash = one_off_gifts(gifts, year).filter(F.col("source_id").like("%Cash%"))
-    return first_per_key(cash, ["supporter_id"], FIRST_GIFT_ORDER).select(
-        "supporter_id", classify(CASH_TYPE, {"campaign": F.col("source_id")}).alias("cash_type")
-    )
+    """Appeal type of each supporter's first cash gift of the year; on one day, the first in the type table."""
+    facts = supporter_facts(gifts, year, year_only=True)
+    return facts.filter(F.col("first_cash").isNotNull()).select("supporter_id", _first_cash_type().alias("cash_type"))
 
 
 def _cash_types() -> Column:
@@ -255,13 +268,13 @@ def oo_supporters(
         donor_type_origin=_order_type(),
         donor_type_ty=F.when(F.col("rg_count") > 0, "Cross-sell donor").otherwise("OO only donor"),
         duration_days=_gap_days(),
+        cash_type=_first_cash_type(),
         many_cash=_cash_types() > 1,
     )
-    cash = cash_type_first(gifts, year).select(F.col("supporter_id").alias("_supporter"), "cash_type")
     info = _donor_info(_first_gift(one_off_gifts(gifts, year), facts, channels, sections), contacts, zip_regions)
     value = F.round(F.col("ty_tot_trans_amt") / F.nullif(F.col("ty_oo_count"), F.lit(0)))
     method = F.col("payment_method")
-    return region_columns(oo_channel_groups(_join_facts(info, cash))).withColumns({
+    return region_columns(oo_channel_groups(info)).withColumns({
         "age_band": band(F.col("age"), OO_AGE_BANDS, NO_DATA),
         "oo_gift_tyvalue": value.cast("decimal(38,0)"),
         "oo_tygift_band": band(value, OO_VALUE_BANDS, NO_DATA),

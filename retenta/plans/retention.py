@@ -90,16 +90,19 @@ CANCELLED_COLUMNS = (
 )
 
 
-def _cancelled_pledge_rows(pledges: DataFrame, cancelled: DataFrame, vocab: Vocabulary) -> DataFrame:
-    own_wish = cancelled.filter(~F.col("cancel_reason").like(OVERDUE_REASON)).select(
-        "donor_no", "contact_date", "cancel_date", "tot_amt", "tot_tran", "cancel_route", "cancel_reason"
-    )
+def _counted_pledges(pledges: DataFrame) -> DataFrame:
     campaign = F.col("campaign_raw")
-    counted = pledges.filter(campaign.isNotNull() & ~one_of_like(campaign, LAPSED_EXCLUDED_CAMPAIGNS)).select(
+    return pledges.filter(campaign.isNotNull() & ~one_of_like(campaign, LAPSED_EXCLUDED_CAMPAIGNS)).select(
         "pledge_uid", "donor_no", "org", F.col("rg_amount").alias("gift_amount"),
         channel_key(campaign).alias("channel_t"), F.col("user_type1").alias("developer_old"),
         F.col("user_input_1").alias("location"), "submit_date", "start_month",
     )
+
+
+def _with_cancellation(counted: DataFrame, cancelled: DataFrame, vocab: Vocabulary) -> DataFrame:
+    own_wish = cancelled.filter(~F.col("cancel_reason").like(OVERDUE_REASON)).select(
+        "donor_no", "contact_date", "cancel_date", "tot_amt", "tot_tran", "cancel_route", "cancel_reason"
+    )
     lifetime = F.col("lifetime")
     return (
         counted.join(own_wish, "donor_no")
@@ -116,7 +119,7 @@ def cancelled_pledges(
     pledges: DataFrame, cancelled: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
     """All counted pledges of the cancelled donors, numbered per donor, with tenure and route labels."""
-    rows = _cancelled_pledge_rows(pledges, cancelled, vocab)
+    rows = _with_cancellation(_counted_pledges(pledges), cancelled, vocab)
     numbered = ordinal(rows, "donor_no", ["submit_date", "start_month"], "pledge_uid", "pledge_nm")
     return numbered.select(*CANCELLED_COLUMNS)
 
@@ -124,10 +127,13 @@ def cancelled_pledges(
 def lapsed_donors(
     pledges: DataFrame, cancelled: DataFrame, channels: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
-    """Cancelled donors by the channel of their first pledge, excluded site codes left out."""
-    rows = _cancelled_pledge_rows(pledges, cancelled, vocab)
-    first = first_per_key(rows, ["donor_no"], ["submit_date", "start_month", "pledge_uid"])
-    numbered = first.withColumn("pledge_nm", F.lit(1).cast("bigint")).select(*CANCELLED_COLUMNS)
+    """Cancelled donors by the channel of their first pledge, excluded site codes left out.
+
+    A donor cancels as a whole, so the first pledge is found before the join: one row per donor meets it.
+    """
+    first = first_per_key(_counted_pledges(pledges), ["donor_no"], ["submit_date", "start_month", "pledge_uid"])
+    rows = _with_cancellation(first, cancelled, vocab)
+    numbered = rows.withColumn("pledge_nm", F.lit(1).cast("bigint")).select(*CANCELLED_COLUMNS)
     lookup = existing_channels(channels).select(
         "channel_t", "new_site_code_acq", F.col("channel_excl_upgrade").alias("_channel"),
         F.col("channel").alias("channel_gb"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from retenta.functions import (
-    band, channel_key, classify, first_of_month_text, month_diff, month_start, part_from_right, rank_map,
-    whole_number, whole_years_between, zip_class,
+    band, channel_key, first_of_month_text, month_diff, month_start, part_from_right, rank_map, whole_number,
+    whole_years_between, zip_class,
 )
-from retenta.operators import duplicate_keys, ordinal
+from retenta.operators import duplicate_keys, follow_merges
 from retenta.plans import commitments as com
 from retenta.plans import lists
 from retenta.plans import monthly as mon
@@ -22,8 +23,7 @@ from retenta.plans import rg_profile as rg
 from retenta.plans.profiles import region_columns
 from retenta.sources import REPORTS
 from retenta.vocab import (
-    AGE_ORDER, CROSS_SELL_BANDS, ENROL_TYPE, GIFT_GAP_BANDS, OO_AGE_BANDS, OO_VALUE_BANDS, PLEDGE_STATUS, RG_AGE_BANDS,
-    RG_GIFT_BANDS,
+    AGE_ORDER, CROSS_SELL_BANDS, NO_DATA, OO_AGE_BANDS, OO_VALUE_BANDS, OO_VALUE_ORDER, RG_GIFT_BANDS, TENURE_QUARTER_BANDS,
 )
 
 from . import periods as p
@@ -230,6 +230,30 @@ def resolve_merged_donors(t):
     return lists.resolve_merged_donors(checked, t["merge_history"], t["merge_history_detail"], new)
 
 
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """A folder of our own where the session names none, as on a test machine."""
+    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+
+
+@_job
+def merge_survivors(t):
+    links = lists.merged_members(t["merge_history"], t["merge_history_detail"])
+    _checkpoint_folder(links.sparkSession)
+    return follow_merges(links)
+
+
+@_job
+def resolve_merged_donors_chained(t):
+    """The option that follows merges over several steps."""
+    new = lists.new_donor_month(t["classified_gifts"], t["transactions"], p.MONTH)
+    checked = lists.conversion_in_new_donor(_conversions(t, p.HALF), new, p.HALF)
+    _checkpoint_folder(new.sparkSession)
+    return lists.resolve_merged_donors(
+        checked, t["merge_history"], t["merge_history_detail"], new, through_chains=True
+    )
+
+
 # --- profile of regular givers ------------------------------------------------------------------------
 
 
@@ -394,3 +418,111 @@ def refund_list(t):
 def refund_list_whole_last_day(t):
     """The option that takes the month's last day in full."""
     return mon.refund_list(t["case_log"], t["crm_contacts"], p.MONTH, whole_last_day=True)
+
+
+# --- functions and rule tables over whole tables ------------------------------------------------------
+
+
+@_job
+def rg_channel_groups(t):
+    """All four groupings of the channels of regular pledges."""
+    channels = com.existing_channels(t["channel_gb"]).select(F.col("channel_t").alias("_key"), "channel_excl_upgrade")
+    pledges = t["pledges"].select(channel_key(F.col("campaign_raw")).alias("_channel"))
+    named = pledges.join(channels, F.col("_channel") == F.col("_key"), "left").select(
+        F.col("channel_excl_upgrade").alias("channel_t")
+    )
+    keys = ["channel_t", "channel_g1", "channel_g2", "channel_g3", "channel_g4"]
+    return rg.rg_channel_groups(named).groupBy(*keys).agg(F.count(F.lit(1)).alias("pledges"))
+
+
+@_job
+def oo_channel_groups(t):
+    """All three groupings of the channels of life-time gifts."""
+    known = oo.with_oo_channel(t["ltv_gifts"].select("source_id"), t["ltv_channel_gb"])
+    keys = ["channel_t", "channel_f", "channel_gb1", "channel_gb2", "channel_gb3"]
+    return oo.oo_channel_groups(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("gifts"))
+
+
+@_job
+def amount_bands(t):
+    """Gift amounts through every amount band, in the scale each band is made for."""
+    amount = F.col("tran_amount")
+    bands = {
+        "rg_band": band(whole_number(amount / 2), RG_GIFT_BANDS, NO_DATA),
+        "oo_band": band(amount, OO_VALUE_BANDS, NO_DATA),
+        "cross_sell_band": band(amount / 2, CROSS_SELL_BANDS, "rg_only_donor"),
+    }
+    return (
+        t["transactions"].select(*[c.alias(n) for n, c in bands.items()])
+        .withColumn("oo_order", rank_map(F.col("oo_band"), OO_VALUE_ORDER))
+        .groupBy("rg_band", "oo_band", "cross_sell_band", "oo_order")
+        .agg(F.count(F.lit(1)).alias("gifts"))
+    )
+
+
+@_job
+def donor_bands(t):
+    """Contacts by age band and order, tenure band and zip class."""
+    return (
+        t["contacts"].select(
+            band(F.col("age"), OO_AGE_BANDS, NO_DATA).alias("age_band"),
+            band(month_diff(F.col("cancel_date"), F.col("contact_date")), TENURE_QUARTER_BANDS, "").alias("tenure_band"),
+            zip_class(F.col("home_zip"), F.col("office_zip")).alias("zip_gb"),
+        )
+        .withColumn("age_order", rank_map(F.col("age_band"), AGE_ORDER))
+        .groupBy("age_band", "age_order", "tenure_band", "zip_gb")
+        .agg(F.count(F.lit(1)).alias("donors"))
+    )
+
+
+@_job
+def calendar_fields(t):
+    """Date functions over all pledges."""
+    signed, month = F.col("submit_date"), F.col("end_month")
+    return t["pledges"].select(
+        "pledge_uid",
+        month_start(signed).alias("signed_month"),
+        month_diff(first_of_month_text(month), signed).alias("months_to_end"),
+        whole_years_between(first_of_month_text(month), signed).alias("years_to_end"),
+        F.datediff(F.to_date("cancel_cal_date", "yyyy-MM-dd"), signed).alias("days_to_cancel"),
+        F.add_months(signed, -13).alias("thirteen_months_before"),
+        F.date_add(signed, 365).alias("grace_end"),
+        F.date_format(signed, "yyMM").alias("yymm"),
+        F.year(signed).alias("year"), F.month(signed).alias("month"),
+        signed.cast("timestamp").alias("signed_at"),
+    )
+
+
+@_job
+def text_fields(t):
+    """Text functions over all pledges and case titles of whole documents."""
+    cases = t["case_log"].select(
+        F.col("case_id").alias("id"), F.lit("case").alias("kind"),
+        part_from_right(F.col("title"), 3).alias("first"), part_from_right(F.col("title"), 1).alias("second"),
+        F.length("body").cast("bigint").alias("size"),
+    )
+    campaign = F.col("campaign_raw")
+    pledges = t["pledges"].select(
+        F.col("pledge_uid").alias("id"), F.lit("pledge").alias("kind"),
+        channel_key(campaign).alias("first"),
+        F.lower(F.replace(campaign, F.lit("/"), F.lit(""))).alias("second"),
+        F.length(F.lpad(F.substring(campaign, 1, 3), 5, "0")).cast("bigint").alias("size"),
+    )
+    return cases.unionByName(pledges)
+
+
+@_job
+def region_classes(t):
+    """Contacts by cleaned, grouped and classed region of their home code."""
+    zips = t["zip_code_region"].select(F.col("zip_code").alias("_zip"), F.col("gb").alias("_gb"), "region")
+    coded = t["contacts"].select(
+        F.substring("home_zip", 1, 2).alias("_prefix"), zip_class(F.col("home_zip"), F.col("office_zip")).alias("zip_gb")
+    )
+    joined = coded.join(zips, (F.col("_prefix") == F.col("_zip")) & (F.col("zip_gb") == F.col("_gb")), "left")
+    return region_columns(joined).groupBy("region_1", "region_2", "region_3").agg(F.count(F.lit(1)).alias("donors"))
+
+
+@_job
+def same_day_gifts(t):
+    """The duplicate-key check, on supporter and day of all classified gifts."""
+    return duplicate_keys(t["classified_gifts"], ["supporter_id", "transaction_date"])

@@ -132,13 +132,15 @@ STANDIN: dict[str, str] = {
           'cash' AS product, CAST(NULL AS VARCHAR(1)) AS mvd_income_auto
         FROM transactions""",
     "ltv_gifts": """
-        SELECT t.donor_no AS supporter_id, c.name, REPLACE(CAST(t.gift_date AS VARCHAR(10)), '-', '') AS transaction_date,
+        SELECT t.donor_no AS supporter_id, 'donor ' || CAST(t.donor_no AS VARCHAR(20)) AS name, REPLACE(CAST(t.gift_date AS VARCHAR(10)), '-', '') AS transaction_date,
           CASE WHEN t.payment_type = '수시' THEN '1' ELSE '2' END AS payment_type,
           CASE WHEN t.part_no % 41 = 0 THEN NULL WHEN t.part_no % 37 = 0 THEN 'HappyBean' WHEN t.payment_method = '신용카드'
             THEN 'Credit Card' ELSE t.payment_method END AS payment_method,
           t.tran_amount AS transaction_amount, t.campaign_id AS source_id,
-          CASE WHEN t.part_no % 29 = 0 THEN 'Special Gift' ELSE t.donation_section END AS donation_section, c.first_month
-        FROM transactions t JOIN contacts c ON t.donor_no = c.donor_no""",
+          CASE WHEN t.part_no % 29 = 0 THEN 'Special Gift' ELSE t.donation_section END AS donation_section,
+          CASE WHEN t.donor_no % 13 <> 0
+            THEN SUBSTRING(CAST(DATE '1994-01-01' + CAST(t.donor_no % 2100 AS INT) AS VARCHAR(10)), 1, 7) END AS first_month
+        FROM transactions t""",
     "ltv_channel_gb": """
         SELECT * FROM (VALUES ('F2FSWA','F2FSWA','Acquisition'), ('F2FSWA','F2FSWA','Existing'), ('F2FSWB2B','F2FSWB2B','Acquisition'),
           ('F2FDNA','F2FDNA','Acquisition'), ('F2FIH','F2FIH','Acquisition'), ('ONLINE','ONLINE','Acquisition'),
@@ -201,7 +203,9 @@ STANDIN: dict[str, str] = {
     "merge_history_detail": """
         SELECT c_custkey AS merge_id, c_custkey + 1 AS merged_member_no FROM {customer} WHERE c_custkey % 4 = 0
         UNION ALL
-        SELECT c_custkey AS merge_id, c_custkey + 2 AS merged_member_no FROM {customer} WHERE c_custkey % 8 = 0""",
+        SELECT c_custkey AS merge_id, c_custkey + 4 AS merged_member_no FROM {customer} WHERE c_custkey % 8 = 0
+        UNION ALL
+        SELECT c_custkey AS merge_id, c_custkey + 8 AS merged_member_no FROM {customer} WHERE c_custkey % 16 = 0""",
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify
@@ -13,11 +13,11 @@ def region_columns(df: DataFrame) -> DataFrame:
     """Three readings of ``region``: cleaned, grouped and classed."""
     region = F.col("region")
     missing = region.isNull() | region.isin(*REGION_NO_DATA)
-    return (
-        df.withColumn("region_1", F.when(missing, NO_DATA).otherwise(region))
-        .withColumn("region_2", classify(REGION_GROUPS, otherwise=NO_DATA))
-        .withColumn("region_3", classify(REGION_CLASSES, otherwise=NO_DATA))
-    )
+    return df.withColumns({
+        "region_1": F.when(missing, NO_DATA).otherwise(region),
+        "region_2": classify(REGION_GROUPS, otherwise=NO_DATA),
+        "region_3": classify(REGION_CLASSES, otherwise=NO_DATA),
+    })
 
 
 def with_region(df: DataFrame, zip_regions: DataFrame) -> DataFrame:
@@ -27,8 +27,3 @@ def with_region(df: DataFrame, zip_regions: DataFrame) -> DataFrame:
     )
     on = (F.substring("all_zip", 1, 2) == F.col("_zip_code")) & (F.col("zip_gb") == F.col("_zip_class"))
     return df.join(lookup, on, "left").drop("_zip_code", "_zip_class")
-
-
-def mean(total: Column, count: Column) -> Column:
-    """Mean of a decimal sum, NULL for no rows."""
-    return total / F.nullif(count, F.lit(0))

@@ -54,20 +54,17 @@ def donor_flags(base: DataFrame, month: Period, vocab: Vocabulary = DEFAULT_VOCA
     signed = F.col("commitment_date")
     in_month = month.holds(signed)
     existing = F.col("acq_gb") == "Existing"
+    eligible = F.col("_eligible")
     return (
         base.withColumn("_eligible", _eligible(month, vocab))
-        .withColumn("commitment_month", month_start(signed))
-        .withColumn(
-            "active_donor",
-            _y_if(F.col("_eligible") & (signed.isNull() | (signed < F.lit(month.end_exclusive))) & acquiring),
-        )
-        .withColumn(
-            "new_donor",
-            _y_if(F.col("_eligible") & in_month & ~site.isin(REACTIVATION_SITE, CONVERSION_SITE) & acquiring),
-        )
-        .withColumn("reactivation", _y_if(F.col("_eligible") & in_month & existing & (site == REACTIVATION_SITE)))
-        .withColumn("conversion", _y_if(F.col("_eligible") & in_month & existing & (site == CONVERSION_SITE)))
-        .withColumn("review_month", F.lit(month.start))
+        .withColumns({
+            "commitment_month": month_start(signed),
+            "active_donor": _y_if(eligible & (signed.isNull() | (signed < F.lit(month.end_exclusive))) & acquiring),
+            "new_donor": _y_if(eligible & in_month & ~site.isin(REACTIVATION_SITE, CONVERSION_SITE) & acquiring),
+            "reactivation": _y_if(eligible & in_month & existing & (site == REACTIVATION_SITE)),
+            "conversion": _y_if(eligible & in_month & existing & (site == CONVERSION_SITE)),
+            "review_month": F.lit(month.start),
+        })
         .drop("_eligible")
     )
 
@@ -107,11 +104,13 @@ def _with_cancellation(counted: DataFrame, cancelled: DataFrame, vocab: Vocabula
     return (
         counted.join(own_wish, "donor_no")
         .withColumn("lifetime", month_diff(F.col("cancel_date"), F.col("contact_date")))
-        .withColumn("cancel_year", F.date_format("cancel_date", "yyyy"))
-        .withColumn("cancel_month", F.date_format("cancel_date", "yyMM"))
-        .withColumn("cancel_route_eng", classify(vocab.cancel_route, otherwise="ERROR"))
-        .withColumn("ltm_band", band(lifetime, TENURE_QUARTER_BANDS, ""))
-        .withColumn("lty_band", band(lifetime, TENURE_YEAR_BANDS, ""))
+        .withColumns({
+            "cancel_year": F.date_format("cancel_date", "yyyy"),
+            "cancel_month": F.date_format("cancel_date", "yyMM"),
+            "cancel_route_eng": classify(vocab.cancel_route, otherwise="ERROR"),
+            "ltm_band": band(lifetime, TENURE_QUARTER_BANDS, ""),
+            "lty_band": band(lifetime, TENURE_YEAR_BANDS, ""),
+        })
     )
 
 
@@ -148,12 +147,12 @@ def lapsed_donors(
 def lapsed_flags(lapsed: DataFrame, month: Period) -> DataFrame:
     """Lapsed in the month: at all, within three months of joining, within twelve."""
     in_month = month.holds(F.col("cancel_date"))
-    return (
-        lapsed.withColumn("lapsed", _y_if(in_month))
-        .withColumn("lapsed_3m", _y_if(in_month & (F.col("ltm_band") == TENURE_QUARTER_BANDS[0].label)))
-        .withColumn("lapsed_12m", _y_if(in_month & (F.col("lty_band") == TENURE_YEAR_BANDS[0].label)))
-        .withColumn("review_month", F.lit(month.start))
-    )
+    return lapsed.withColumns({
+        "lapsed": _y_if(in_month),
+        "lapsed_3m": _y_if(in_month & (F.col("ltm_band") == TENURE_QUARTER_BANDS[0].label)),
+        "lapsed_12m": _y_if(in_month & (F.col("lty_band") == TENURE_YEAR_BANDS[0].label)),
+        "review_month": F.lit(month.start),
+    })
 
 
 def _count_by_dimension(flags: DataFrame, who: str, counts: dict[str, str], vocab: Vocabulary) -> DataFrame:

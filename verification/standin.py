@@ -239,8 +239,17 @@ class StandIns:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self._spark, self._dir = spark, sf_dir
+        self._base: dict[str, DataFrame] = {}
+        self._frames: dict[str, DataFrame] = {}
+
+    def _table(self, name: str) -> DataFrame:
+        if name not in self._base:
+            self._base[name] = self._spark.read.parquet(f"{self._dir}/{name}.parquet")
+        return self._base[name]
 
     def __getitem__(self, name: str) -> DataFrame:
-        text = f"{with_clause(name)}\nSELECT * FROM {name}"
-        used = {t: self._spark.read.parquet(f"{self._dir}/{t}.parquet") for t in BASE_TABLES if "{" + t + "}" in text}
-        return conform(self._spark.sql(text, **used), TABLES[name], name)
+        if name not in self._frames:
+            text = f"{with_clause(name)}\nSELECT * FROM {name}"
+            used = {t: self._table(t) for t in BASE_TABLES if "{" + t + "}" in text}
+            self._frames[name] = conform(self._spark.sql(text, **used), TABLES[name], name)
+        return self._frames[name]

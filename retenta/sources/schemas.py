@@ -86,7 +86,6 @@ LOOKUP_KEYS: dict[str, list[str]] = {
     "ltv_channel_gb": ["channel_t", "acq_gb"],
     "don_section": ["d_sec_raw"],
     "zip_code_region": ["zip_code", "gb"],
-    "contacts": ["donor_no"],
 }
 
 REPORTS: dict[str, T.StructType] = {
@@ -101,6 +100,7 @@ REPORTS: dict[str, T.StructType] = {
         "payment_method string, campaign_id string, channel string, donation_section string, "
         "acq_gb_simple string, sitecode string"
     ),
+    "active_donor_summary": _struct("reporting string, donor_type string, supporter_count bigint"),
     "reactivation_donor": _struct(
         "donor_no bigint, transaction_type string, reactivation_date date, rg_amount money, "
         "payment_method string, campaign_id string, channel string, donation_section string, "
@@ -128,3 +128,5 @@ REPORTS: dict[str, T.StructType] = {
         "life_year_band_order int, region_3_order int"
     ),
 }
+# The quarter's copy of the monthly lists has their columns.
+REPORTS["quarter_new_donor"] = REPORTS["new_donor"]

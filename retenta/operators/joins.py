@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import use_checkpoints
+
 
 def with_lookup(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str, columns: Sequence[str]) -> DataFrame:
     """Left join that adds lookup columns; the lookup's key must be unique."""
@@ -25,16 +27,6 @@ def with_membership(df: DataFrame, members: DataFrame, key: str, member_key: str
     )
 
 
-def _need_checkpoint_folder(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(folder)
-
-
 def follow_merges(links: DataFrame) -> DataFrame:
     """Final survivor of every merged member, through chains of merges.
 
@@ -43,7 +35,7 @@ def follow_merges(links: DataFrame) -> DataFrame:
     about log2(n) joins. Rounds are written with ``checkpoint()``, so a lost executor cannot undo them.
     Ids that merge in a circle have no survivor and raise ValueError.
     """
-    _need_checkpoint_folder(links.sparkSession)
+    use_checkpoints(links.sparkSession)
     current = links.select("merged_member_no", "surviving_member_no").distinct().checkpoint()
     limit = max(current.count(), 1).bit_length() + 1
     for _ in range(limit):

@@ -8,10 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import channel_key, classify, matches_any
+from ..functions import channel_key, classify, matches_any, one_of_like
 from ..operators import ordinal, with_lookup
 from ..period import Period
-from ..vocab import CHECK_EXCLUDED_NAMES, DEFAULT_VOCABULARY, ONE_OFF, PLEDGE_STATUS, Vocabulary
+from ..vocab import (
+    CHECK_EXCLUDED_NAMES, DEFAULT_VOCABULARY, NON_ACQUIRING_CHANNEL_PATTERNS, NON_ACQUIRING_CHANNELS, ONE_OFF, PLEDGE_STATUS,
+    Vocabulary,
+)
 
 
 def missing_campaign(pledges: DataFrame, month: Period) -> DataFrame:
@@ -134,8 +137,16 @@ def commitment_view(
 
 
 def existing_channels(channels: DataFrame) -> DataFrame:
-    """Channel lookup rows for existing donors, the class whose keys are unique."""
-    return channels.filter(F.col("acq_gb") == "Existing")
+    """Channel lookup rows for existing donors, the class whose keys are unique.
+
+    What depends on the channel alone is worked out here, on the few lookup rows: ``acquiring`` tells the
+    channels that count for active and new donors.
+    """
+    channel = F.col("channel_excl_upgrade")
+    return channels.filter(F.col("acq_gb") == "Existing").withColumn(
+        "acquiring",
+        ~channel.isin(*NON_ACQUIRING_CHANNELS) & ~one_of_like(channel, NON_ACQUIRING_CHANNEL_PATTERNS),
+    )
 
 
 PLEDGE_BASE_COLUMNS = (
@@ -150,13 +161,16 @@ PLEDGE_BASE_COLUMNS = (
 def classified_pledges(
     commitments: DataFrame, channels: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
-    """Commitments with their channel classes and Y/N cancel status, test and system names left out."""
+    """Commitments with their channel classes and Y/N cancel status, test and system names left out.
+
+    Also carries ``acquiring`` and the donor's own end date, which the flags need.
+    """
     lookup = existing_channels(channels).select(
         "channel_t", F.col("channel_excl_upgrade").alias("_channel"), "acq_gb", "new_site_code_acq",
-        F.col("channel").alias("channel_gb"),
+        F.col("channel").alias("channel_gb"), "acquiring",
     )
     real = commitments.filter(~matches_any(F.col("name"), vocab.commitment_name_words))
-    columns = ["_channel", "acq_gb", "new_site_code_acq", "channel_gb"]
+    columns = ["_channel", "acq_gb", "new_site_code_acq", "channel_gb", "acquiring"]
     return (
         with_lookup(real, lookup, "channel_t", "channel_t", columns)
         .withColumnRenamed("_channel", "channel")

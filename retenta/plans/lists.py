@@ -1,8 +1,13 @@
-"""Monthly and quarterly donor lists, their read-outs and cross-checks."""
+"""Monthly and quarterly donor lists, their read-outs and cross-checks.
+
+The lists join a few first gifts to the whole gift table. ``stage`` may be given a function that stores
+that short list and reads it back (``operators.staged``): knowing its size, Spark then streams the gifts
+past it instead of shuffling them all. Without it the jobs stay lazy.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +20,11 @@ from ..vocab import (
 )
 
 GIFT_ORDER = ("transaction_date", "transaction_id")
+Stage = Callable[[DataFrame], DataFrame]
+
+
+def _as_is(df: DataFrame) -> DataFrame:
+    return df
 
 
 def _site_code_rule(prefix_rule: bool) -> Column:
@@ -24,7 +34,8 @@ def _site_code_rule(prefix_rule: bool) -> Column:
 
 
 def _new_donors(
-    gifts: DataFrame, transactions: DataFrame, ytd: Period, shown: Period, excluded: Sequence[str], prefix_rule: bool
+    gifts: DataFrame, transactions: DataFrame, ytd: Period, shown: Period, excluded: Sequence[str], prefix_rule: bool,
+    stage: Stage,
 ) -> DataFrame:
     campaign = F.col("campaign_id")
     kept = ~one_of_like(F.lower(campaign), LIST_EXCLUDED_CAMPAIGNS_ANY_CASE)
@@ -37,7 +48,7 @@ def _new_donors(
         & kept
     )
     # Who is new is settled over the year to date; the shown period is cut after that.
-    first = first_per_key(acquired, ["supporter_id"], GIFT_ORDER).filter(shown.holds(F.col("transaction_date")))
+    first = stage(first_per_key(acquired, ["supporter_id"], GIFT_ORDER).filter(shown.holds(F.col("transaction_date"))))
     paid = transactions.select(F.col("tran_uid").alias("_tran"), "tran_amount", "payment_method", "donation_section")
     return first.join(paid, F.col("transaction_id") == F.col("_tran")).select(
         F.col("supporter_id").alias("donor_no"),
@@ -50,20 +61,20 @@ def _new_donors(
 
 def new_donor_month(
     gifts: DataFrame, transactions: DataFrame, month: Period, vocab: Vocabulary = DEFAULT_VOCABULARY,
-    site_code_prefix_rule: bool = False,
+    site_code_prefix_rule: bool = False, stage: Stage = _as_is,
 ) -> DataFrame:
     """Donors whose first acquisition gift of the year falls in the month."""
     ytd = Period.ytd(month.start.year, month.start.month)
     return _new_donors(
-        gifts, transactions, ytd, month, vocab.monthly_list_excluded_campaigns, site_code_prefix_rule
+        gifts, transactions, ytd, month, vocab.monthly_list_excluded_campaigns, site_code_prefix_rule, stage
     )
 
 
 def new_donor_quarter(
-    gifts: DataFrame, transactions: DataFrame, ytd: Period, site_code_prefix_rule: bool = False
+    gifts: DataFrame, transactions: DataFrame, ytd: Period, site_code_prefix_rule: bool = False, stage: Stage = _as_is
 ) -> DataFrame:
     """New donors of the year to date, drawn afresh at quarter end: fewer campaigns are left out."""
-    return _new_donors(gifts, transactions, ytd, ytd, (), site_code_prefix_rule)
+    return _new_donors(gifts, transactions, ytd, ytd, (), site_code_prefix_rule, stage)
 
 
 def active_donor_summary(gift_facts: DataFrame, contacts: DataFrame, window: Period, label: str) -> DataFrame:
@@ -100,14 +111,16 @@ def quarter_slice(report: DataFrame, date_column: str, quarter: Period, columns:
     return report.filter(quarter.holds(F.col(date_column))).select(*columns)
 
 
-def reactivation_list(gifts: DataFrame, transactions: DataFrame, quarter: Period) -> DataFrame:
+def reactivation_list(
+    gifts: DataFrame, transactions: DataFrame, quarter: Period, stage: Stage = _as_is
+) -> DataFrame:
     """Existing donors' first gift per reactivation campaign, if it falls in the quarter."""
     reactivated = gifts.filter(
         F.col("campaign_id").like("Reactivation%") & (F.col("acq_gb_simple") == "Existing")
     )
-    first = first_per_key(reactivated, ["supporter_id", "campaign_id"], GIFT_ORDER).filter(
+    first = stage(first_per_key(reactivated, ["supporter_id", "campaign_id"], GIFT_ORDER).filter(
         quarter.holds(F.col("transaction_date"))
-    )
+    ))
     paid = transactions.select(F.col("tran_uid").alias("_tran"), "tran_amount", "payment_method", "donation_section")
     return first.join(paid, F.col("transaction_id") == F.col("_tran")).select(
         F.col("supporter_id").alias("donor_no"),
@@ -118,11 +131,13 @@ def reactivation_list(gifts: DataFrame, transactions: DataFrame, quarter: Period
     )
 
 
-def conversion_list(gifts: DataFrame, transactions: DataFrame, quarter: Period) -> DataFrame:
+def conversion_list(
+    gifts: DataFrame, transactions: DataFrame, quarter: Period, stage: Stage = _as_is
+) -> DataFrame:
     """Donors' first gift per conversion campaign in the quarter, beside their first one-off gift ever."""
-    converted = first_per_key(
+    converted = stage(first_per_key(
         gifts.filter(F.col("campaign_id").like("CONVERSION%")), ["supporter_id", "campaign_id"], GIFT_ORDER
-    ).filter(quarter.holds(F.col("transaction_date")))
+    ).filter(quarter.holds(F.col("transaction_date"))))
     first_single = first_per_key(
         gifts.filter(F.col("transaction_type") == "Single"), ["supporter_id"], GIFT_ORDER
     ).select(

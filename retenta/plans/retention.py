@@ -12,9 +12,8 @@ from ..functions import one_of_like
 from ..operators import first_per_key, ordinal, with_lookup
 from ..period import Period
 from ..vocab import (
-    CONVERSION_SITE, DEFAULT_VOCABULARY, LAPSED_EXCLUDED_CAMPAIGNS, NON_ACQUIRING_CHANNEL_PATTERNS,
-    NON_ACQUIRING_CHANNELS, OFFICE_ROUTE, OVERDUE_REASON, REACTIVATION_SITE, TENURE_QUARTER_BANDS, TENURE_YEAR_BANDS,
-    Vocabulary,
+    CONVERSION_SITE, DEFAULT_VOCABULARY, LAPSED_EXCLUDED_CAMPAIGNS, OFFICE_ROUTE, OVERDUE_REASON, REACTIVATION_SITE,
+    TENURE_QUARTER_BANDS, TENURE_YEAR_BANDS, Vocabulary,
 )
 from .commitments import classified_pledges, commitment_core, existing_channels
 
@@ -47,10 +46,10 @@ def _eligible(month: Period, vocab: Vocabulary) -> Column:
 def donor_flags(base: DataFrame, month: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Active, new, reactivation and conversion flags of classified pledges in the review month.
 
-    Needs ``all_end_date_contact_level``, which classified pledges carry, so contacts are not joined again.
+    Needs ``all_end_date_contact_level`` and ``acquiring``, which classified pledges carry, so neither
+    contacts nor channels are joined again.
     """
-    channel, site = F.col("channel"), F.col("new_site_code_acq")
-    acquiring = ~channel.isin(*NON_ACQUIRING_CHANNELS) & ~one_of_like(channel, NON_ACQUIRING_CHANNEL_PATTERNS)
+    site, acquiring = F.col("new_site_code_acq"), F.col("acquiring")
     signed = F.col("commitment_date")
     in_month = month.holds(signed)
     existing = F.col("acq_gb") == "Existing"
@@ -65,7 +64,7 @@ def donor_flags(base: DataFrame, month: Period, vocab: Vocabulary = DEFAULT_VOCA
             "conversion": _y_if(eligible & in_month & existing & (site == CONVERSION_SITE)),
             "review_month": F.lit(month.start),
         })
-        .drop("_eligible")
+        .drop("_eligible", "acquiring")
     )
 
 
@@ -156,18 +155,22 @@ def lapsed_flags(lapsed: DataFrame, month: Period) -> DataFrame:
 
 
 def _count_by_dimension(flags: DataFrame, who: str, counts: dict[str, str], vocab: Vocabulary) -> DataFrame:
+    """Counted by channel first and labelled after, so the rule tables run per channel, not per pledge."""
+    raw = flags.groupBy("review_month", "new_site_code_acq", "channel_gb", "channel").agg(
+        *[F.count(F.when(F.col(flag) == "y", F.col(who))).alias(name) for name, flag in counts.items()]
+    )
     return (
-        flags.select(
+        raw.select(
             "review_month",
             F.col("new_site_code_acq").alias("channel_sitecode"),
             "channel_gb",
             classify(vocab.recruit_channel, otherwise=F.col("channel")).alias("recruit_channel"),
             classify(vocab.f2f_type, otherwise="Other").alias("f2f_type_street_b2b"),
             classify(vocab.f2f_detail, otherwise="Not F2F").alias("f2f_channel_gb"),
-            who, *counts.values(),
+            *counts,
         )
         .groupBy(*DIMENSIONS)
-        .agg(*[F.count(F.when(F.col(flag) == "y", F.col(who))).alias(name) for name, flag in counts.items()])
+        .agg(*[F.sum(name).alias(name) for name in counts])
     )
 
 

@@ -11,7 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from .operators import require_unique
+from .operators import require_unique, shared_folder, staged
 from .period import Period
 from .plans import commitments, lists, monthly, oo_profile, retention, rg_profile
 from .sources import LOOKUP_KEYS, REPORTS, Sources, append_period, create_or_replace, read_report, rewrite_without
@@ -41,6 +41,12 @@ def _store(df: DataFrame, report: str, out: str, period: str) -> None:
     append_period(df, REPORTS[report], f"{out}/{report}", period)
 
 
+def _stage(sources: Sources, name: str) -> lists.Stage:
+    """Stores a short list in the shared folder; where the session names none, leaves it lazy."""
+    folder = shared_folder(sources.spark)
+    return (lambda df: staged(df, f"{folder}/retenta", name)) if folder else (lambda df: df)
+
+
 def refresh_commitment_view(sources: Sources, out: str, as_of: date, loaded_at: datetime) -> None:
     """Replace the stored commitment view."""
     check_lookups(sources, "campaigns")
@@ -57,7 +63,10 @@ def run_month(sources: Sources, month: Period, out: str, vocab: Vocabulary = DEF
         sources["pledges"], sources["contacts"], sources["channel_gb"], month, vocab
     )
     _store(summary, "retention_report", out, month.label)
-    new = lists.new_donor_month(sources["classified_gifts"], sources["transactions"], month, vocab)
+    new = lists.new_donor_month(
+        sources["classified_gifts"], sources["transactions"], month, vocab,
+        stage=_stage(sources, f"new_donor-{month.label}"),
+    )
     _store(new, "new_donor", out, month.label)
 
 
@@ -95,13 +104,16 @@ def run_quarter(sources: Sources, quarter: Period, out: str, redraw: bool = Fals
     active = lists.active_donor_summary(sources["gift_facts"], sources["contacts"], window, quarter.label)
     _store(active, "active_donor_summary", out, quarter.label)
     if redraw:
-        new = lists.new_donor_quarter(gifts, transactions, Period.ytd(last.year, last.month))
+        ytd = Period.ytd(last.year, last.month)
+        new = lists.new_donor_quarter(gifts, transactions, ytd, stage=_stage(sources, f"new_donor-{quarter.label}"))
     else:
         new = read_report(sources.spark, REPORTS["new_donor"], f"{out}/new_donor")
     taken = lists.quarter_slice(new, "first_transaction_date", quarter, REPORTS["new_donor"].fieldNames())
     _store(taken, "quarter_new_donor", out, quarter.label)
-    _store(lists.reactivation_list(gifts, transactions, quarter), "reactivation_donor", out, quarter.label)
-    _store(lists.conversion_list(gifts, transactions, quarter), "conversion_donor", out, quarter.label)
+    returned = lists.reactivation_list(gifts, transactions, quarter, _stage(sources, f"reactivation-{quarter.label}"))
+    _store(returned, "reactivation_donor", out, quarter.label)
+    converted = lists.conversion_list(gifts, transactions, quarter, _stage(sources, f"conversion-{quarter.label}"))
+    _store(converted, "conversion_donor", out, quarter.label)
 
 
 def run_year(sources: Sources, year: Period, out: str, vocab: Vocabulary = DEFAULT_VOCABULARY) -> None:

@@ -28,7 +28,9 @@ def ordinal(df: DataFrame, key: str, coarse: Sequence[str], tie: str, name: str)
     added up before their shuffle, meet per key. The slot is a struct: structs with equal NULL fields
     compare as equal, so rows with a NULL key or date keep their number too.
     """
-    slotted = df.withColumn("_slot", F.struct(key, *coarse))
+    slot_columns = [key, *coarse]
+    others = [F.col(c) for c in df.columns if c not in slot_columns]
+    slotted = df.select(F.struct(*slot_columns).alias("_slot"), *others)
     before = Window.partitionBy("_slot_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     earlier = (
         slotted.groupBy("_slot")
@@ -37,8 +39,7 @@ def ordinal(df: DataFrame, key: str, coarse: Sequence[str], tie: str, name: str)
         .select("_slot", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_earlier"))
     )
     within = Window.partitionBy("_slot").orderBy(tie)
-    return (
-        slotted.join(earlier, "_slot")
-        .withColumn(name, (F.row_number().over(within) + F.col("_earlier")).cast("bigint"))
-        .drop("_slot", "_earlier")
+    number = (F.row_number().over(within) + F.col("_earlier")).cast("bigint").alias(name)
+    return slotted.join(earlier, "_slot").select(
+        *[F.col(f"_slot.{c}") if c in slot_columns else F.col(c) for c in df.columns], number
     )

@@ -25,7 +25,10 @@ from .profiles import region_columns, with_region
 FIRST_GIFT_ORDER = ("transaction_date", "transaction_amount", "source_id", "payment_method", "donation_section")
 
 
-_NO_TYPE = 9
+def _cash_place(source: Column) -> Column:
+    """Place of the appeal type in the type table, from 0; one past the end for other appeals."""
+    labels = [rule.label for rule in CASH_TYPE]
+    return rank_map(classify(CASH_TYPE, {"campaign": source}), labels, default=len(labels) + 1) - 1
 
 
 def _one_off() -> Column:
@@ -53,34 +56,35 @@ def supporter_facts(gifts: DataFrame, year: Period, year_only: bool = False) ->
     scope = gifts.filter(in_year if year_only else until).filter(
         _one_off() | ((F.col("payment_type") == "2") & in_year)
     )
-    day = text.cast("int")
-    one_off, regular = F.col("_oo"), F.col("payment_type") == "2"
+    one_off, regular, source = F.col("payment_type") == "1", F.col("payment_type") == "2", F.col("source_id")
     amount = F.col("transaction_amount")
-    source = F.col("source_id")
-    cash = one_off & in_year & source.like("Cash%")
-    appeal = one_off & in_year & source.like("%Cash%")
-    cash_type = classify(CASH_TYPE, {"campaign": source})
-    type_place = rank_map(cash_type, [rule.label for rule in CASH_TYPE], default=_NO_TYPE)
+    rows = scope.select(
+        "supporter_id",
+        text.cast("int").alias("_day"),
+        F.when(one_off, amount).alias("_oo_amount"),
+        F.when(regular, amount).alias("_rg_amount"),
+        one_off.alias("_oo"),
+        (one_off & in_year).alias("_oo_year"),
+        F.when(one_off & in_year & source.like("%Cash%"), _cash_place(source)).alias("_cash"),
+        source.like("Cash%").alias("_plain_cash"),
+    )
+    day, cash = F.col("_day"), F.col("_cash")
     return (
-        scope.withColumn("_oo", F.col("payment_type") == "1")
-        .groupBy("supporter_id")
+        rows.groupBy("supporter_id")
         .agg(
-            F.min(F.when(one_off & in_year, day)).alias("min_oo_day"),
-            F.max(F.when(one_off & ~in_year, day)).alias("prior_oo_day"),
-            F.min(F.when(one_off, day)).alias("first_oo_day"),
-            F.min(F.when(regular, day)).alias("min_rg_day"),
-            F.sum(F.when(one_off, amount)).alias("oo_total"),
-            F.count(F.when(one_off, F.lit(1))).alias("oo_count"),
-            F.count(F.when(one_off, amount)).alias("oo_amounts"),
-            F.sum(F.when(regular, amount)).alias("rg_total"),
-            F.count(F.when(regular, F.lit(1))).alias("rg_count"),
-            *[
-                F.max(F.when(cash & (cash_type == rule.label), F.lit(1)).otherwise(0)).alias(f"has_{rule.label.lower()}")
-                for rule in CASH_TYPE
-            ],
-            F.max(F.when(cash, F.lit(1)).otherwise(0)).alias("has_cash"),
+            F.min(F.when(F.col("_oo_year"), day)).alias("min_oo_day"),
+            F.max(F.when(F.col("_oo") & ~F.col("_oo_year"), day)).alias("prior_oo_day"),
+            F.min(F.when(F.col("_oo"), day)).alias("first_oo_day"),
+            F.min(F.when(~F.col("_oo"), day)).alias("min_rg_day"),
+            F.sum("_oo_amount").alias("oo_total"),
+            F.count(F.when(F.col("_oo"), F.lit(1))).alias("oo_count"),
+            F.count("_oo_amount").alias("oo_amounts"),
+            F.sum("_rg_amount").alias("rg_total"),
+            F.count(F.when(~F.col("_oo"), F.lit(1))).alias("rg_count"),
+            # One bit per appeal type given to.
+            F.bit_or(F.when(F.col("_plain_cash"), F.expr("shiftleft(1, _cash)"))).alias("cash_bits"),
             # Date and type in one number, so that the first type needs no ranking: yyyyMMdd, then the place.
-            F.min(F.when(appeal, day.cast("bigint") * 10 + type_place)).alias("first_cash"),
+            F.min(day.cast("bigint") * 10 + cash).alias("first_cash"),
         )
         .filter(F.col("min_oo_day").isNotNull())
     )
@@ -212,7 +216,7 @@ def cross_sell(gifts: DataFrame, year: Period) -> DataFrame:
 def _first_cash_type() -> Column:
     place = F.col("first_cash") % 10
     ladder = F
-    for number, rule in enumerate(CASH_TYPE, start=1):
+    for number, rule in enumerate(CASH_TYPE):
         ladder = ladder.when(place == number, rule.label)
     return ladder.otherwise(F.lit(None))
 
@@ -223,19 +227,20 @@ def cash_type_first(gifts: DataFrame, year: Period) -> DataFrame:
     return facts.filter(F.col("first_cash").isNotNull()).select("supporter_id", _first_cash_type().alias("cash_type"))
 
 
-def _cash_types() -> Column:
-    """How many of the four appeal types a supporter gave to."""
-    return sum((F.col(f"has_{r.label.lower()}") for r in CASH_TYPE[1:]), F.col(f"has_{CASH_TYPE[0].label.lower()}"))
+def _many_cash_types() -> Column:
+    """More than one of the named appeal types; other appeals do not count."""
+    return F.bit_count(F.col("cash_bits").bitwiseAND(F.lit(2 ** len(CASH_TYPE) - 1))) > 1
 
 
 def cash_type_pivot(gifts: DataFrame, year: Period) -> DataFrame:
     """A flag per appeal type, and one for more than one type."""
-    flags = [
-        F.when(F.col(f"has_{name}") > 0, name).otherwise("").alias(f"ty_{name}")
-        for name in (rule.label.lower() for rule in CASH_TYPE)
-    ]
-    more = F.when(_cash_types() > 1, "cash_more").otherwise("").alias("cash_more")
-    return supporter_facts(gifts, year, year_only=True).filter(F.col("has_cash") > 0).select("supporter_id", *flags, more)
+    flags = []
+    for place, rule in enumerate(CASH_TYPE):
+        given = F.col("cash_bits").bitwiseAND(F.lit(2**place)) > 0
+        flags.append(F.when(given, rule.label.lower()).otherwise("").alias(f"ty_{rule.label.lower()}"))
+    more = F.when(_many_cash_types(), "cash_more").otherwise("").alias("cash_more")
+    facts = supporter_facts(gifts, year, year_only=True)
+    return facts.filter(F.col("cash_bits").isNotNull()).select("supporter_id", *flags, more)
 
 
 def oo_channel_groups(df: DataFrame) -> DataFrame:
@@ -269,7 +274,7 @@ def oo_supporters(
         donor_type_ty=F.when(F.col("rg_count") > 0, "Cross-sell donor").otherwise("OO only donor"),
         duration_days=_gap_days(),
         cash_type=_first_cash_type(),
-        many_cash=_cash_types() > 1,
+        many_cash=_many_cash_types(),
     )
     info = _donor_info(_first_gift(one_off_gifts(gifts, year), facts, channels, sections), contacts, zip_regions)
     value = F.round(F.col("ty_tot_trans_amt") / F.nullif(F.col("ty_oo_count"), F.lit(0)))

@@ -96,8 +96,8 @@ def classify(
     ladder = F
     for rule in rules:
         condition = reduce(lambda a, b: a & b, [_holds(t, columns) for t in rule.tests])
-        ladder = ladder.when(condition, columns[rule.keep] if rule.keep else F.lit(rule.label))
-    return ladder.otherwise(otherwise if isinstance(otherwise, Column) else F.lit(otherwise))
+        ladder = ladder.when(condition, columns[rule.keep] if rule.keep else rule.label)
+    return ladder.otherwise(otherwise)
 
 
 def band(value: Column, bands: Sequence[Band], otherwise: str | None = None) -> Column:
@@ -110,13 +110,13 @@ def band(value: Column, bands: Sequence[Band], otherwise: str | None = None) ->
             inside = value >= low
         else:
             inside = value.between(low, high)
-        ladder = ladder.when(inside, F.lit(label))
-    return ladder.otherwise(F.lit(otherwise))
+        ladder = ladder.when(inside, label)
+    return ladder.otherwise(otherwise)
 
 
 def rank_map(label: Column, order: Sequence[str], default: int = 999) -> Column:
     """1-based place of a label in a fixed order, for report sorting."""
     ladder = F
     for place, name in enumerate(order, start=1):
-        ladder = ladder.when(label == name, F.lit(place))
-    return ladder.otherwise(F.lit(default))
+        ladder = ladder.when(label == name, place)
+    return ladder.otherwise(default)

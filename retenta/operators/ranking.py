@@ -20,17 +20,21 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return df.withColumn(spot, F.row_number().over(window)).filter(F.col(spot) == 1).drop(spot)
 
 
-def ordinal(df: DataFrame, key: str, coarse: Sequence[str], tie: str, name: str) -> DataFrame:
-    """Number the rows of each key by ``coarse`` columns, then ``tie``, from 1.
-
-    A plain window would sort all rows of one key in one task. Here rows are numbered within a slot (key
-    plus coarse columns) and the rows in the key's earlier slots are added; only the slot counts, already
-    added up before their shuffle, meet per key. The slot is a struct: structs with equal NULL fields
-    compare as equal, so rows with a NULL key or date keep their number too.
+def ordinal(
+    df: DataFrame, key: str, coarse: Sequence[str], tie: str, name: str, tie_span: int = 100_000_000
+) -> DataFrame:
+    """Number the rows of each key by ``coarse`` columns, then the unique number ``tie``, from 1.
+
+    A plain window would sort all rows of one key in one task. Here rows are numbered within a slot (key,
+    coarse columns and a span of ``tie`` numbers, so no slot holds more than ``tie_span`` rows) and the rows
+    in the key's earlier slots are added; only the slot counts, already added up before their shuffle, meet
+    per key. The slot is a struct: structs with equal NULL fields compare as equal, so rows with a NULL key
+    or date keep their number too.
     """
     slot_columns = [key, *coarse]
     others = [F.col(c) for c in df.columns if c not in slot_columns]
-    slotted = df.select(F.struct(*slot_columns).alias("_slot"), *others)
+    span = F.floor(F.col(tie) / F.lit(tie_span)).alias("_span")
+    slotted = df.select(F.struct(*slot_columns, span).alias("_slot"), *others)
     before = Window.partitionBy("_slot_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     earlier = (
         slotted.groupBy("_slot")

@@ -183,7 +183,8 @@ def merged_members(header: DataFrame, detail: DataFrame) -> DataFrame:
 
 
 def resolve_merged_donors(
-    checked: DataFrame, header: DataFrame, detail: DataFrame, new_donors: DataFrame, through_chains: bool = False
+    checked: DataFrame, header: DataFrame, detail: DataFrame, new_donors: DataFrame, through_chains: bool = False,
+    stage: Stage = _as_is,
 ) -> DataFrame:
     """Former numbers of conversions missing from the new-donor list, marked if listed under one.
 
@@ -192,9 +193,9 @@ def resolve_merged_donors(
     links = merged_members(header, detail)
     if through_chains:
         links = follow_merges(links)
-    missing = checked.filter(F.col("in_new_donor") == "N").select(
+    missing = stage(checked.filter(F.col("in_new_donor") == "N").select(
         F.col("donor_no").alias("surviving_member_no")
-    ).distinct()
+    ).distinct())
     # Inner and anti join instead of one left join: an often merged member sits on the side that adaptive
     # execution can split only in an inner join.
     never_merged = missing.join(links.select("surviving_member_no").distinct(), "surviving_member_no", "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing
+from . import chat, decontaminate, mixing, near_dedup, quality_rules, token_files
 from .workspace import Workspace
 
 
@@ -12,6 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicate_classes(table(spark, sf_dir, "documents"), Workspace(spark, "op1"))
+    return found.select("doc_id", "class_id", "class_texts")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     space = Workspace(spark, "op2")
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), space)
@@ -21,8 +26,19 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"), Workspace(spark, "op5"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Workspace(spark, 'op8').folder}/tokens"
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path)
+    return token_files.token_digests(spark, path)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark, "op9"))
+    return found.drop("n_lines", "n_capitals", "n_letters")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(table(spark, sf_dir, "documents"), Workspace(spark, "op10"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op5_chat_formatting, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op5_chat_formatting, op8_token_files, op9_quality_rules, op10_source_mixing)}

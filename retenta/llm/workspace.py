@@ -4,12 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import shared_folder
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which need not have it installed; once a Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_retenta_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    archive = f"{tempfile.mkdtemp(prefix='package-')}/{root.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(archive)
+    sc._retenta_shipped = True
+
+
 class Workspace:
     """A folder of one run below ``spark.checkpoint.dir``. Tables written to it survive lost executors.
 
@@ -18,6 +34,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         base = shared_folder(spark)
         if not base:
             if not spark.sparkContext.master.startswith("local["):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near_dedup, quality_rules, token_files
+from . import chat, decontaminate, language_model, mixing, near_dedup, quality_rules, repeats, token_files
 from .workspace import Workspace
 
 
@@ -22,6 +23,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), space)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = ~language_model.held_out(F.col("doc_id"), 7, 2)
+    return language_model.scored(table(spark, sf_dir, "documents"), training, Workspace(spark, "op3"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), Workspace(spark, "op4"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"), Workspace(spark, "op5"))
 
@@ -41,4 +51,4 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(table(spark, sf_dir, "documents"), Workspace(spark, "op10"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op5_chat_formatting, op8_token_files, op9_quality_rules, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_lm_scoring, op4_suffix_dedup, op5_chat_formatting, op8_token_files, op9_quality_rules, op10_source_mixing)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, mixing, near_dedup, quality_rules, repeats, token_files
+from . import chat, decontaminate, language_model, mixing, near_dedup, quality_fm, quality_rules, repeats, token_files, toxicity
 from .workspace import Workspace
 
 
@@ -36,6 +36,14 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rendered(table(spark, sf_dir, "conversations"), Workspace(spark, "op5"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark, "op6"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark, "op7"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Workspace(spark, 'op8').folder}/tokens"
     token_files.write_token_files(table(spark, sf_dir, "documents"), path)
@@ -51,4 +59,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(table(spark, sf_dir, "documents"), Workspace(spark, "op10"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_lm_scoring, op4_suffix_dedup, op5_chat_formatting, op8_token_files, op9_quality_rules, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_lm_scoring, op4_suffix_dedup, op5_chat_formatting, op6_quality_classifier, op7_toxicity,
+                                op8_token_files, op9_quality_rules, op10_source_mixing)}

@@ -1,4 +1,5 @@
-"""``python -m retenta month 2026-06 places.json OUT`` (also ``quarter 2026Q2``, ``year 2025``).
+"""``python -m retenta month 2026-06 places.json OUT``; also ``counts 2026-06``, ``quarter 2026Q2``, ``year 2025``,
+``view 2026-06-30`` (the commitment view as of a day) and ``outliers 2025`` (known bad rows out of a stored profile).
 
 ``places.json`` maps table names to parquet paths or to mappings with a format, see ``Sources``.
 """
@@ -7,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from datetime import date, datetime
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,7 +20,7 @@ from .vocab import Vocabulary
 
 
 def _period(kind: str, text: str) -> Period:
-    if kind == "month":
+    if kind in ("month", "counts"):
         year, month = text.split("-")
         return Period.month(int(year), int(month))
     if kind == "quarter":
@@ -29,12 +31,14 @@ def _period(kind: str, text: str) -> Period:
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="retenta", description=__doc__)
-    parser.add_argument("cadence", choices=("month", "quarter", "year"))
+    parser.add_argument("cadence", choices=("month", "counts", "quarter", "year", "view", "outliers"))
     parser.add_argument("period")
     parser.add_argument("places", type=Path)
     parser.add_argument("out")
     parser.add_argument("--own-name", default=Vocabulary.own_name)
     parser.add_argument("--redraw", action="store_true", help="quarter: draw the new donors afresh")
+    parser.add_argument("--through-chains", action="store_true", help="quarter: follow merged numbers over several merges")
+    parser.add_argument("--loaded-at", type=datetime.fromisoformat, help="view: the load stamp, else midnight of the day")
     args = parser.parse_args(argv)
     builder = SparkSession.builder.appName(f"retenta {args.cadence} {args.period}")
     running = SparkSession.getActiveSession()
@@ -42,11 +46,21 @@ def main(argv: list[str] | None = None) -> None:
         for key, value in workflows.CLUSTER_SETTINGS.items():
             builder = builder.config(key, value)
     sources = Sources(running or builder.getOrCreate(), json.loads(args.places.read_text(encoding="utf-8")))
-    period, vocab = _period(args.cadence, args.period), Vocabulary(own_name=args.own_name)
+    vocab = Vocabulary(own_name=args.own_name)
+    if args.cadence == "view":
+        day = date.fromisoformat(args.period)
+        stamp = args.loaded_at or datetime.combine(day, datetime.min.time())
+        workflows.refresh_commitment_view(sources, args.out, day, stamp)
+        return
+    period = _period(args.cadence, args.period)
     if args.cadence == "month":
         workflows.run_month(sources, period, args.out, vocab)
     elif args.cadence == "quarter":
-        workflows.run_quarter(sources, period, args.out, args.redraw)
+        workflows.run_quarter(sources, period, args.out, args.redraw, args.through_chains)
+    elif args.cadence == "counts":
+        workflows.run_month_counts(sources, period, args.out, vocab)
+    elif args.cadence == "outliers":
+        workflows.remove_rg_outliers(sources, period, args.out)
     else:
         workflows.run_year(sources, period, args.out, vocab)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ def channel_key(campaign: Column) -> Column:
 
 
 def matches_any(text: Column, words: Sequence[str]) -> Column:
-    """True where the lower-cased text holds one of the words; NULL text gives NULL."""
-    return F.lower(text).rlike("|".join(words))
+    """True where the lower-cased text holds one of the words, taken literally; NULL text gives NULL."""
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(w)) for w in words])
 
 
 def part_from_right(text: Column, n: int) -> Column:

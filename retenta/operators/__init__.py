@@ -1,7 +1,7 @@
 from .joins import follow_merges, with_lookup, with_membership
 from .quality import duplicate_keys, require_unique, split_outliers
 from .ranking import first_per_key, ordinal
-from .staging import shared_folder, staged
+from .staging import RunFolder, Stage, as_is, shared_folder, staged
 
-__all__ = ["duplicate_keys", "first_per_key", "follow_merges", "ordinal", "require_unique", "shared_folder",
+__all__ = ["RunFolder", "Stage", "as_is", "duplicate_keys", "first_per_key", "follow_merges", "ordinal", "require_unique", "shared_folder",
            "split_outliers", "staged", "with_lookup", "with_membership"]

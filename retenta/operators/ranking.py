@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import Stage, as_is
+
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key.
@@ -20,30 +22,24 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return df.withColumn(spot, F.row_number().over(window)).filter(F.col(spot) == 1).drop(spot)
 
 
-def ordinal(
-    df: DataFrame, key: str, coarse: Sequence[str], tie: str, name: str, tie_span: int = 100_000_000
-) -> DataFrame:
-    """Number the rows of each key by ``coarse`` columns, then the unique number ``tie``, from 1.
+def ordinal(df: DataFrame, key: str, coarse: Sequence[str], tie: str, name: str, stage: Stage = as_is) -> DataFrame:
+    """Number the rows of each key by ``coarse`` columns, then the unique ``tie``, from 1. NULL keys are one key.
 
-    A plain window would sort all rows of one key in one task. Here rows are numbered within a slot (key,
-    coarse columns and a span of ``tie`` numbers, so no slot holds more than ``tie_span`` rows) and the rows
-    in the key's earlier slots are added; only the slot counts, already added up before their shuffle, meet
-    per key. The slot is a struct: structs with equal NULL fields compare as equal, so rows with a NULL key
-    or date keep their number too.
+    A plain window would sort all rows of one key in one task. Here the rows are dealt by ranges of (key, coarse
+    columns, tie), so a key with many rows spans several ranges; they are numbered within (range, key), and the
+    key's rows in earlier ranges are added, of which only counts meet. ``stage`` stores the dealt rows, so that they
+    are worked out once; without it they are worked out twice.
     """
-    slot_columns = [key, *coarse]
-    others = [F.col(c) for c in df.columns if c not in slot_columns]
-    span = F.floor(F.col(tie) / F.lit(tie_span)).alias("_span")
-    slotted = df.select(F.struct(*slot_columns, span).alias("_slot"), *others)
-    before = Window.partitionBy("_slot_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    part = "_range"
+    dealt = stage(df.repartitionByRange(key, *coarse, tie).withColumn(part, F.spark_partition_id()))
+    before = Window.partitionBy("_of").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
     earlier = (
-        slotted.groupBy("_slot")
+        dealt.groupBy(F.col(key).alias("_of"), F.col(part).alias("_in"))
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_slot_key", F.struct(F.col(f"_slot.{key}")))
-        .select("_slot", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_earlier"))
-    )
-    within = Window.partitionBy("_slot").orderBy(tie)
-    number = (F.row_number().over(within) + F.col("_earlier")).cast("bigint").alias(name)
-    return slotted.join(earlier, "_slot").select(
-        *[F.col(f"_slot.{c}") if c in slot_columns else F.col(c) for c in df.columns], number
+        .select("_of", "_in", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_earlier"))
     )
+    within = Window.partitionBy(part, key).orderBy(*coarse, tie)
+    number = (F.col("_place") + F.col("_earlier")).cast("bigint").alias(name)
+    placed = dealt.withColumn("_place", F.row_number().over(within))
+    same = (F.col(part) == F.col("_in")) & F.col(key).eqNullSafe(F.col("_of"))
+    return placed.join(earlier, same).select(*df.columns, number)

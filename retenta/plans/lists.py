@@ -7,24 +7,19 @@ past it instead of shuffling them all. Without it the jobs stay lazy.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import one_of_like, whole_number
-from ..operators import first_per_key, follow_merges, with_membership
+from ..operators import Stage, as_is, first_per_key, follow_merges, with_membership
 from ..period import Period
 from ..vocab import (
     DEFAULT_VOCABULARY, LIST_EXCLUDED_CAMPAIGNS_ANY_CASE, SITE_CODE_LITERAL, Vocabulary,
 )
 
 GIFT_ORDER = ("transaction_date", "transaction_id")
-Stage = Callable[[DataFrame], DataFrame]
-
-
-def _as_is(df: DataFrame) -> DataFrame:
-    return df
 
 
 def _site_code_rule(prefix_rule: bool) -> Column:
@@ -61,7 +56,7 @@ def _new_donors(
 
 def new_donor_month(
     gifts: DataFrame, transactions: DataFrame, month: Period, vocab: Vocabulary = DEFAULT_VOCABULARY,
-    site_code_prefix_rule: bool = False, stage: Stage = _as_is,
+    site_code_prefix_rule: bool = False, stage: Stage = as_is,
 ) -> DataFrame:
     """Donors whose first acquisition gift of the year falls in the month."""
     ytd = Period.ytd(month.start.year, month.start.month)
@@ -71,7 +66,7 @@ def new_donor_month(
 
 
 def new_donor_quarter(
-    gifts: DataFrame, transactions: DataFrame, ytd: Period, site_code_prefix_rule: bool = False, stage: Stage = _as_is
+    gifts: DataFrame, transactions: DataFrame, ytd: Period, site_code_prefix_rule: bool = False, stage: Stage = as_is
 ) -> DataFrame:
     """New donors of the year to date, drawn afresh at quarter end: fewer campaigns are left out."""
     return _new_donors(gifts, transactions, ytd, ytd, (), site_code_prefix_rule, stage)
@@ -93,7 +88,7 @@ def active_donor_summary(gift_facts: DataFrame, contacts: DataFrame, window: Per
         givers.join(ends, "supporter_id")
         .filter(counted)
         .groupBy(F.when(F.col("_regular"), "RG").otherwise("Pure OO").alias("donor_type"))
-        .agg(F.countDistinct("supporter_id").alias("supporter_count"))
+        .agg(F.count("supporter_id").alias("supporter_count"))
         .select(F.lit(label).alias("reporting"), "donor_type", "supporter_count")
     )
 
@@ -112,7 +107,7 @@ def quarter_slice(report: DataFrame, date_column: str, quarter: Period, columns:
 
 
 def reactivation_list(
-    gifts: DataFrame, transactions: DataFrame, quarter: Period, stage: Stage = _as_is
+    gifts: DataFrame, transactions: DataFrame, quarter: Period, stage: Stage = as_is
 ) -> DataFrame:
     """Existing donors' first gift per reactivation campaign, if it falls in the quarter."""
     reactivated = gifts.filter(
@@ -132,14 +127,15 @@ def reactivation_list(
 
 
 def conversion_list(
-    gifts: DataFrame, transactions: DataFrame, quarter: Period, stage: Stage = _as_is
+    gifts: DataFrame, transactions: DataFrame, quarter: Period, stage: Stage = as_is
 ) -> DataFrame:
     """Donors' first gift per conversion campaign in the quarter, beside their first one-off gift ever."""
     converted = stage(first_per_key(
         gifts.filter(F.col("campaign_id").like("CONVERSION%")), ["supporter_id", "campaign_id"], GIFT_ORDER
     ).filter(quarter.holds(F.col("transaction_date"))))
     first_single = first_per_key(
-        gifts.filter(F.col("transaction_type") == "Single"), ["supporter_id"], GIFT_ORDER
+        gifts.filter(F.col("transaction_type") == "Single").join(converted.select("supporter_id"), "supporter_id", "left_semi"),
+        ["supporter_id"], GIFT_ORDER,
     ).select(
         F.col("supporter_id").alias("_supporter"),
         F.col("transaction_date").alias("first_oo_transaction_date"),
@@ -184,7 +180,7 @@ def merged_members(header: DataFrame, detail: DataFrame) -> DataFrame:
 
 def resolve_merged_donors(
     checked: DataFrame, header: DataFrame, detail: DataFrame, new_donors: DataFrame, through_chains: bool = False,
-    stage: Stage = _as_is,
+    stage: Stage = as_is,
 ) -> DataFrame:
     """Former numbers of conversions missing from the new-donor list, marked if listed under one.
 

@@ -23,6 +23,10 @@ from .profiles import region_columns, with_region
 
 # Gifts carry no id, so ties end on what else tells two gifts apart; beyond that they are equal.
 FIRST_GIFT_ORDER = ("transaction_date", "transaction_amount", "source_id", "payment_method", "donation_section")
+# A date and a place in the type table share one number; the bits of a long hold the types given to.
+PLACES = len(CASH_TYPE) + 1
+if PLACES > 63:
+    raise ValueError("at most 62 appeal types")
 
 
 def _cash_place(source: Column) -> Column:
@@ -82,9 +86,9 @@ def supporter_facts(gifts: DataFrame, year: Period, year_only: bool = False) ->
             F.sum("_rg_amount").alias("rg_total"),
             F.count(F.when(~F.col("_oo"), F.lit(1))).alias("rg_count"),
             # One bit per appeal type given to.
-            F.bit_or(F.when(F.col("_plain_cash"), F.expr("shiftleft(1, _cash)"))).alias("cash_bits"),
+            F.bit_or(F.when(F.col("_plain_cash"), F.expr("shiftleft(1L, _cash)"))).alias("cash_bits"),
             # Date and type in one number, so that the first type needs no ranking: yyyyMMdd, then the place.
-            F.min(day.cast("bigint") * 10 + cash).alias("first_cash"),
+            F.min(day.cast("bigint") * PLACES + cash).alias("first_cash"),
         )
         .filter(F.col("min_oo_day").isNotNull())
     )
@@ -214,7 +218,7 @@ def cross_sell(gifts: DataFrame, year: Period) -> DataFrame:
 
 
 def _first_cash_type() -> Column:
-    place = F.col("first_cash") % 10
+    place = F.col("first_cash") % PLACES
     ladder = F
     for number, rule in enumerate(CASH_TYPE):
         ladder = ladder.when(place == number, rule.label)

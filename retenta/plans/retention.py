@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import band, channel_key, classify, first_of_month_text, matches_any, month_diff, month_start
 from ..functions import one_of_like
-from ..operators import first_per_key, ordinal, with_lookup
+from ..operators import Stage, as_is, first_per_key, ordinal, with_lookup
 from ..period import Period
 from ..vocab import (
     CONVERSION_SITE, DEFAULT_VOCABULARY, LAPSED_EXCLUDED_CAMPAIGNS, OFFICE_ROUTE, OVERDUE_REASON, REACTIVATION_SITE,
@@ -95,13 +95,16 @@ def _counted_pledges(pledges: DataFrame) -> DataFrame:
     )
 
 
-def _with_cancellation(counted: DataFrame, cancelled: DataFrame, vocab: Vocabulary) -> DataFrame:
-    own_wish = cancelled.filter(~F.col("cancel_reason").like(OVERDUE_REASON)).select(
+def _own_wish(cancelled: DataFrame) -> DataFrame:
+    return cancelled.filter(~F.col("cancel_reason").like(OVERDUE_REASON)).select(
         "donor_no", "contact_date", "cancel_date", "tot_amt", "tot_tran", "cancel_route", "cancel_reason"
     )
+
+
+def _with_cancellation(counted: DataFrame, cancelled: DataFrame, vocab: Vocabulary) -> DataFrame:
     lifetime = F.col("lifetime")
     return (
-        counted.join(own_wish, "donor_no")
+        counted.join(_own_wish(cancelled), "donor_no")
         .withColumn("lifetime", month_diff(F.col("cancel_date"), F.col("contact_date")))
         .withColumns({
             "cancel_year": F.date_format("cancel_date", "yyyy"),
@@ -114,11 +117,11 @@ def _with_cancellation(counted: DataFrame, cancelled: DataFrame, vocab: Vocabula
 
 
 def cancelled_pledges(
-    pledges: DataFrame, cancelled: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY
+    pledges: DataFrame, cancelled: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, stage: Stage = as_is
 ) -> DataFrame:
     """All counted pledges of the cancelled donors, numbered per donor, with tenure and route labels."""
     rows = _with_cancellation(_counted_pledges(pledges), cancelled, vocab)
-    numbered = ordinal(rows, "donor_no", ["submit_date", "start_month"], "pledge_uid", "pledge_nm")
+    numbered = ordinal(rows, "donor_no", ["submit_date", "start_month"], "pledge_uid", "pledge_nm", stage)
     return numbered.select(*CANCELLED_COLUMNS)
 
 
@@ -127,9 +130,11 @@ def lapsed_donors(
 ) -> DataFrame:
     """Cancelled donors by the channel of their first pledge, excluded site codes left out.
 
-    A donor cancels as a whole, so the first pledge is found before the join: one row per donor meets it.
+    Only the cancelled donors' pledges are ranked. A donor cancels as a whole, so the first pledge is found before
+    the join: one row per donor meets it.
     """
-    first = first_per_key(_counted_pledges(pledges), ["donor_no"], ["submit_date", "start_month", "pledge_uid"])
+    theirs = _counted_pledges(pledges).join(_own_wish(cancelled).select("donor_no"), "donor_no", "left_semi")
+    first = first_per_key(theirs, ["donor_no"], ["submit_date", "start_month", "pledge_uid"])
     rows = _with_cancellation(first, cancelled, vocab)
     numbered = rows.withColumn("pledge_nm", F.lit(1).cast("bigint")).select(*CANCELLED_COLUMNS)
     lookup = existing_channels(channels).select(

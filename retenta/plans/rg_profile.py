@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import (
@@ -111,35 +111,48 @@ def _spend() -> Column:
     return F.col("donation_spend").cast("decimal(18,2)")
 
 
-def _income_facts(income: DataFrame) -> DataFrame:
-    """Upgrade and one-off totals per donor from one pass over the year's income."""
-    upgrade = F.col("channel_raw").like("%UP%")
-    one_off = F.col("donor_type") == ONE_OFF
-    return (
-        income.filter(upgrade | one_off)
-        .groupBy(F.col("donor_no").alias("_donor"))
-        .agg(
-            F.count(F.when(upgrade, F.col("donor_no"))).alias("_up_count"),
-            F.round(F.avg(F.when(upgrade, _spend()))).cast("decimal(38,0)").alias("avg_up_amt"),
-            F.sum(F.when(upgrade, _spend())).cast("decimal(38,2)").alias("tot_up_amt"),
-            F.count(F.when(one_off, F.lit(1))).alias("_oo_count"),
-            F.avg(F.when(one_off, _spend())).alias("_avg_oo_gift"),
-        )
+def _income_sums(income: DataFrame) -> DataFrame:
+    """Upgrade, one-off and cash sums per donor and appeal type, from one pass over the year's income."""
+    upgrade, one_off = F.col("channel_raw").like("%UP%"), F.col("donor_type") == ONE_OFF
+    cash = F.col("channel_raw").like("%Cash%")
+    kind = F.when(cash, classify(CASH_TYPE, {"campaign": F.col("channel_raw")}, "No_cash_donor"))
+    rows = income.filter(upgrade | one_off | cash).select(
+        F.col("donor_no").alias("_donor"), kind.alias("cash_type"), _spend().alias("_spend"),
+        upgrade.alias("_up"), one_off.alias("_oo"), cash.alias("_cash"),
     )
 
-
-def cash_facts(income: DataFrame) -> DataFrame:
-    """Cash-appeal gifts per donor and appeal type: a donor with two types has two rows."""
-    return (
-        income.filter(F.col("channel_raw").like("%Cash%"))
-        .withColumn("cash_type", classify(CASH_TYPE, {"campaign": F.col("channel_raw")}, "No_cash_donor"))
-        .groupBy(F.col("donor_no").alias("_cash_donor"), "cash_type")
-        .agg(
-            F.count("donor_no").alias("cash_count"),
-            F.round(F.avg(_spend())).cast("decimal(38,0)").alias("avg_cash_amt"),
-            F.sum(_spend()).cast("decimal(38,2)").alias("tot_cash_amt"),
-        )
+    def sums(name: str) -> list[Column]:
+        flag = F.col(f"_{name}")
+        return [F.count(F.when(flag, F.lit(1))).alias(f"{name}_rows"), F.count(F.when(flag, F.col("_spend"))).alias(f"{name}_amounts"),
+                F.sum(F.when(flag, F.col("_spend"))).alias(f"{name}_sum")]
+
+    return rows.groupBy("_donor", "cash_type").agg(*sums("up"), *sums("oo"), *sums("cash"))
+
+
+def _mean(total: Column, count: Column) -> Column:
+    return total.cast("decimal(28,2)") / F.nullif(count, F.lit(0))
+
+
+def with_income(info: DataFrame, income: DataFrame) -> DataFrame:
+    """Donors beside their upgrade and one-off totals, and a row for each of their cash appeal types."""
+    sums = _income_sums(income)
+    whole = Window.partitionBy("_donor")
+    total = {c: F.sum(c).over(whole).alias(f"_{c}") for n in ("up", "oo") for c in (f"{n}_rows", f"{n}_amounts", f"{n}_sum")}
+    has_cash = F.max((F.col("cash_rows") > 0).cast("int")).over(whole).alias("_has_cash")
+    # One row a donor and type: a donor without cash appeals keeps one, a donor with them those of the types.
+    facts = sums.select("_donor", "cash_type", "cash_rows", "cash_amounts", "cash_sum", *total.values(), has_cash)
+    facts = facts.filter((F.col("_has_cash") == 0) | (F.col("cash_rows") > 0)).select(
+        "_donor", "cash_type",
+        F.when(F.col("cash_rows") > 0, F.col("cash_rows")).alias("cash_count"),
+        F.round(_mean(F.col("cash_sum"), F.col("cash_amounts"))).cast("decimal(38,0)").alias("avg_cash_amt"),
+        F.col("cash_sum").cast("decimal(38,2)").alias("tot_cash_amt"),
+        F.col("_up_rows").alias("_up_count"),
+        F.round(_mean(F.col("_up_sum"), F.col("_up_amounts"))).cast("decimal(38,0)").alias("avg_up_amt"),
+        F.col("_up_sum").cast("decimal(38,2)").alias("tot_up_amt"),
+        F.col("_oo_rows").alias("_oo_count"),
+        _mean(F.col("_oo_sum"), F.col("_oo_amounts")).alias("_avg_oo_gift"),
     )
+    return info.join(facts, F.col("donor_no") == F.col("_donor"), "left")
 
 
 def rg_addons(info: DataFrame, income: DataFrame, zip_regions: DataFrame) -> DataFrame:
@@ -149,11 +162,8 @@ def rg_addons(info: DataFrame, income: DataFrame, zip_regions: DataFrame) -> Dat
     """
     average = F.col("_avg_oo_gift")
     over, over_label = CROSS_SELL_OVER
-    with_income = info.join(_income_facts(income), F.col("donor_no") == F.col("_donor"), "left").join(
-        cash_facts(income), F.col("donor_no") == F.col("_cash_donor"), "left"
-    )
     extended = (
-        region_columns(with_region(with_income, zip_regions).withColumn("region", F.coalesce("region", F.lit(""))))
+        region_columns(with_region(with_income(info, income), zip_regions).withColumn("region", F.coalesce("region", F.lit(""))))
         .withColumns({
             "upgrade": F.when(F.col("_up_count") > 0, "RG_Upgrade").otherwise("No_Upgrade"),
             "up_count": F.nullif(F.col("_up_count"), F.lit(0)),

@@ -86,6 +86,8 @@ LOOKUP_KEYS: dict[str, list[str]] = {
     "ltv_channel_gb": ["channel_t", "acq_gb"],
     "don_section": ["d_sec_raw"],
     "zip_code_region": ["zip_code", "gb"],
+    "contacts": ["donor_no"],
+    "transactions": ["tran_uid"],
 }
 
 REPORTS: dict[str, T.StructType] = {

@@ -28,15 +28,8 @@ def create_or_replace(df: DataFrame, path: str) -> None:
 
 
 def append_period(df: DataFrame, schema: StructType, path: str, period: str) -> None:
-    """Add one period's rows; a re-run replaces that period only."""
-    (
-        typed(df, schema)
-        .withColumn(PARTITION, F.lit(period))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PARTITION)
-        .parquet(path)
-    )
+    """Add one period's rows; a re-run replaces that period only, also by no rows at all."""
+    typed(df, schema).write.mode("overwrite").parquet(f"{path}/{PARTITION}={period}")
 
 
 def read_report(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
@@ -47,13 +40,14 @@ def read_report(spark: SparkSession, schema: StructType, path: str) -> DataFrame
 def rewrite_without(
     kept: DataFrame, removed: DataFrame, schema: StructType, path: str, period: str, audit_path: str
 ) -> None:
-    """Replace a period by its kept rows and store the removed rows for review.
+    """Replace a period by its kept rows and add the removed rows to those kept for review.
 
     ``kept`` must not be read from ``path`` lazily while that partition is replaced, so both halves are
-    written to the audit place first and the partition is rewritten from there.
+    written to the audit place first and the partition is rewritten from there. Removed rows are only ever added: a
+    second run, which finds none, leaves the earlier ones.
     """
     spark = kept.sparkSession
     kept_path, removed_path = f"{audit_path}/kept/{period}", f"{audit_path}/removed/{period}"
-    create_or_replace(typed(removed, schema), removed_path)
+    typed(removed, schema).write.mode("append").parquet(removed_path)
     create_or_replace(typed(kept, schema), kept_path)
     append_period(spark.read.schema(schema).parquet(kept_path), schema, path, period)

@@ -135,7 +135,7 @@ RECRUIT_CHANNEL = (
 )
 F2F_TYPE = (
     Rule.of("B2B", like("channel", "%B2B")),
-    Rule.of("Street", like("channel", "F2F%"), unlike("channel", "%B2B%")),
+    Rule.of("Street", like("channel", "F2F%"), unlike("channel", "%B2B")),
 )
 F2F_DETAIL = (
     Rule.of(

@@ -11,7 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from .operators import require_unique, shared_folder, staged
+from .operators import RunFolder, require_unique
 from .period import Period
 from .plans import commitments, lists, monthly, oo_profile, retention, rg_profile
 from .sources import LOOKUP_KEYS, REPORTS, Sources, append_period, create_or_replace, read_report, rewrite_without
@@ -41,15 +41,36 @@ def _store(df: DataFrame, report: str, out: str, period: str) -> None:
     append_period(df, REPORTS[report], f"{out}/{report}", period)
 
 
-def _stage(sources: Sources, name: str) -> lists.Stage:
-    """Stores a short list in the shared folder; where the session names none, leaves it lazy."""
-    folder = shared_folder(sources.spark)
-    return (lambda df: staged(df, f"{folder}/retenta", name)) if folder else (lambda df: df)
+def _keep(df: DataFrame, name: str, out: str, period: str) -> None:
+    """Store a list or count that has no fixed report schema, in its own columns."""
+    append_period(df, df.schema, f"{out}/{name}", period)
+
+
+def _run_folder(sources: Sources, out: str) -> RunFolder:
+    """Where a run stores its short lists: beside its output, in a folder no other run uses."""
+    return RunFolder(sources.spark, f"{out}/_staging")
+
+
+class MissingMonths(ValueError):
+    """A quarter was asked for before all its months were run."""
+
+
+def _stored_new_donors(sources: Sources, quarter: Period, out: str) -> DataFrame:
+    stored = read_report(sources.spark, REPORTS["new_donor"], f"{out}/new_donor")
+    first = quarter.start.month
+    wanted = {Period.month(quarter.start.year, m).label for m in range(first, quarter.last_day.month + 1)}
+    fs = sources.spark.sparkContext._jvm.org.apache.hadoop.fs
+    places = {m: fs.Path(f"{out}/new_donor/report_period={m}") for m in wanted}
+    system = fs.Path(out).getFileSystem(sources.spark.sparkContext._jsc.hadoopConfiguration())
+    missing = sorted(m for m, place in places.items() if not system.exists(place))
+    if missing:
+        raise MissingMonths(f"no stored new-donor list for {', '.join(missing)}")
+    return stored
 
 
 def refresh_commitment_view(sources: Sources, out: str, as_of: date, loaded_at: datetime) -> None:
     """Replace the stored commitment view."""
-    check_lookups(sources, "campaigns")
+    check_lookups(sources, "campaigns", "contacts", "transactions")
     view = commitments.commitment_view(
         sources["pledges"], sources["transactions"], sources["contacts"], sources["campaigns"], as_of, loaded_at
     )
@@ -58,16 +79,36 @@ def refresh_commitment_view(sources: Sources, out: str, as_of: date, loaded_at:
 
 def run_month(sources: Sources, month: Period, out: str, vocab: Vocabulary = DEFAULT_VOCABULARY) -> None:
     """The retention report and the month's new-donor list."""
-    check_lookups(sources, "channel_gb")
+    check_lookups(sources, "channel_gb", "contacts", "transactions")
     summary = retention.donor_retention_summary(
         sources["pledges"], sources["contacts"], sources["channel_gb"], month, vocab
     )
     _store(summary, "retention_report", out, month.label)
-    new = lists.new_donor_month(
-        sources["classified_gifts"], sources["transactions"], month, vocab,
-        stage=_stage(sources, f"new_donor-{month.label}"),
-    )
-    _store(new, "new_donor", out, month.label)
+    with _run_folder(sources, out) as stage:
+        new = lists.new_donor_month(sources["classified_gifts"], sources["transactions"], month, vocab, stage=stage)
+        _store(new, "new_donor", out, month.label)
+
+
+def run_month_counts(sources: Sources, month: Period, out: str, vocab: Vocabulary = DEFAULT_VOCABULARY) -> None:
+    """Store the month's counts and small lists, the data checks and the flag cross-tab, a table each."""
+    check_lookups(sources, "channel_gb", "contacts")
+    for name, frame in {**month_counts(sources, month, vocab), **data_checks(sources, month, vocab)}.items():
+        _keep(frame, name, out, month.label)
+
+
+def data_checks(sources: Sources, month: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> dict[str, DataFrame]:
+    """Pledges to correct before the report, and the flags counted against each other."""
+    pledges, contacts, channels = sources["pledges"], sources["contacts"], sources["channel_gb"]
+    base = commitments.classified_pledges(commitments.commitment_core(pledges, contacts), channels, vocab)
+    cancelled = retention.cancelled_contacts(contacts, month, vocab)
+    lapsed = retention.lapsed_donors(pledges, cancelled, channels, vocab)
+    return {
+        "dq_missing_campaign": commitments.missing_campaign(pledges, month),
+        "dq_inhouse_unmarked": commitments.inhouse_unmarked(pledges, month),
+        "flag_crosstab": retention.flag_crosstab(
+            retention.donor_flags(base, month, vocab), retention.lapsed_flags(lapsed, month)
+        ),
+    }
 
 
 def month_counts(
@@ -92,33 +133,44 @@ def month_counts(
     }
 
 
-def run_quarter(sources: Sources, quarter: Period, out: str, redraw: bool = False) -> None:
-    """The quarter's active-donor summary and new-donor, reactivation and conversion lists.
+def run_quarter(sources: Sources, quarter: Period, out: str, redraw: bool = False, through_chains: bool = False) -> None:
+    """The quarter's active-donor summary, its donor lists with their read-outs, and the conversion cross-check.
 
-    New donors come from the stored monthly lists; ``redraw`` draws them afresh, because member numbers may
-    have changed since.
+    New donors come from the stored monthly lists, of which all three months must be there; ``redraw`` draws them
+    afresh, because member numbers may have changed since. The cross-check marks conversions that stand in the
+    new-donor list, and looks the others up under their former numbers (``through_chains``: over several merges).
     """
+    check_lookups(sources, "contacts", "transactions")
     gifts, transactions = sources["classified_gifts"], sources["transactions"]
     last = quarter.last_day
-    window = Period.trailing(last.year, last.month)
-    active = lists.active_donor_summary(sources["gift_facts"], sources["contacts"], window, quarter.label)
-    _store(active, "active_donor_summary", out, quarter.label)
-    if redraw:
-        ytd = Period.ytd(last.year, last.month)
-        new = lists.new_donor_quarter(gifts, transactions, ytd, stage=_stage(sources, f"new_donor-{quarter.label}"))
-    else:
-        new = read_report(sources.spark, REPORTS["new_donor"], f"{out}/new_donor")
-    taken = lists.quarter_slice(new, "first_transaction_date", quarter, REPORTS["new_donor"].fieldNames())
-    _store(taken, "quarter_new_donor", out, quarter.label)
-    returned = lists.reactivation_list(gifts, transactions, quarter, _stage(sources, f"reactivation-{quarter.label}"))
-    _store(returned, "reactivation_donor", out, quarter.label)
-    converted = lists.conversion_list(gifts, transactions, quarter, _stage(sources, f"conversion-{quarter.label}"))
-    _store(converted, "conversion_donor", out, quarter.label)
+    window, ytd = Period.trailing(last.year, last.month), Period.ytd(last.year, last.month)
+    with _run_folder(sources, out) as stage:
+        new = lists.new_donor_quarter(gifts, transactions, ytd, stage=stage) if redraw else _stored_new_donors(sources, quarter, out)
+        active = lists.active_donor_summary(sources["gift_facts"], sources["contacts"], window, quarter.label)
+        _store(active, "active_donor_summary", out, quarter.label)
+        taken = lists.quarter_slice(new, "first_transaction_date", quarter, REPORTS["new_donor"].fieldNames())
+        _store(taken, "quarter_new_donor", out, quarter.label)
+        returned = lists.reactivation_list(gifts, transactions, quarter, stage)
+        _store(returned, "reactivation_donor", out, quarter.label)
+        converted = stage(lists.conversion_list(gifts, transactions, quarter, stage))
+        _store(converted, "conversion_donor", out, quarter.label)
+        for name, listed, date in (
+            ("new_donor_readout", taken, "first_transaction_date"), ("reactivation_readout", returned, "reactivation_date"),
+            ("conversion_readout", converted, "conversion_date"),
+        ):
+            _keep(lists.read_out(listed, date, quarter), name, out, quarter.label)
+        checked = stage(lists.conversion_in_new_donor(converted, new, quarter))
+        _keep(checked, "conversion_in_new_donor", out, quarter.label)
+        former = lists.resolve_merged_donors(
+            checked, sources["merge_history"], sources["merge_history_detail"], new, through_chains, stage
+        )
+        _keep(former, "former_member_numbers", out, quarter.label)
 
 
 def run_year(sources: Sources, year: Period, out: str, vocab: Vocabulary = DEFAULT_VOCABULARY) -> None:
     """The yearly profiles of regular and one-off givers."""
-    check_lookups(sources, "channel_gb", "ltv_channel_gb", "don_section", "zip_code_region")
+    check_lookups(sources, "channel_gb", "ltv_channel_gb", "don_section", "zip_code_region", "contacts")
+    _keep(rg_profile.income_control_totals(sources["income"]), "income_control_totals", out, year.label)
     base = rg_profile.rg_active_base(sources["pledges"], year, vocab)
     info = rg_profile.rg_donor_info(base, sources["contacts"], sources["channel_gb"], year)
     addons = rg_profile.rg_addons(info, sources["income"], sources["zip_code_region"])

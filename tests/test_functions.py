@@ -66,3 +66,10 @@ def test_three_valued_filters_drop_null(values):
 
 def test_underscore_in_like_stands_for_one_character(values):
     assert values("a string", ["UP", "UPGRADE", "UP_X", None], lambda c: c.like("UP_%")) == [False, True, True, None]
+
+
+def test_words_are_taken_literally(values):
+    from retenta.functions import matches_any
+
+    inputs = ["Care (Korea) donor", "carekorea", "A.B", "AxB", None]
+    assert values("t string", inputs, lambda c: matches_any(c, ["care (korea", "a.b"])) == [True, False, True, False, None]

@@ -82,6 +82,8 @@ def test_lapsed_pledges_are_cut_before_they_are_joined(src):
     cancelled = retention.cancelled_contacts(src["contacts"], p.MONTH)
     text = plan(retention.lapsed_donors(src["pledges"], cancelled, src["channel_gb"]))
     assert "WindowGroupLimit" in text and "Partial" in text
+    tree = text[:text.index("\n\n(1)")]
+    assert "LeftSemi" in text and max(tree.rfind("WindowGroupLimit"), 0) < tree.rfind("LeftSemi")  # the cut stands below the ranking
 
 
 def test_gift_extremes_meet_their_pledge_once(src):
@@ -117,3 +119,15 @@ def test_lookup_is_broadcast_only_by_its_size(spark, src):
         assert "BroadcastHashJoin" not in plan(job())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_conversions_rank_the_single_gifts_of_converted_donors(src):
+    text = plan(lists.conversion_list(src["classified_gifts"], src["transactions"], p.QUARTER))
+    assert "LeftSemi" in text
+
+
+def test_income_is_read_once(spark, src):
+    tables = StandIns(spark, SF)
+    info = rg_profile.rg_donor_info(rg_profile.rg_active_base(src["pledges"], p.YEAR), src["contacts"], src["channel_gb"], p.YEAR)
+    text = plan(rg_profile.rg_addons(info, src["income"], tables["zip_code_region"]))
+    assert text.count("/income]") == 1

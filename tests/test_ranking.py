@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from retenta.operators import ordinal
+from retenta.operators import RunFolder, as_is, ordinal
 
 
 def test_ordinal_equals_a_plain_window_under_skew(spark):
@@ -14,8 +14,23 @@ def test_ordinal_equals_a_plain_window_under_skew(spark):
         "id",
     )
     plain = frame.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("d", "m", "id")).cast("bigint"))
-    for span in (100_000_000, 700):
-        got = ordinal(frame, "k", ["d", "m"], "id", "n", span)
+    for stage in (as_is, RunFolder.of_session(spark)):
+        got = ordinal(frame, "k", ["d", "m"], "id", "n", stage)
         assert got.columns == plain.columns
         assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
         assert got.filter("k IS NULL").count() > 0
+
+
+def test_a_hot_key_and_sparse_ids_are_spread_over_the_ranges(spark):
+    frame = spark.range(4000).select(
+        F.when(F.col("id") % 10 > 0, F.lit(7)).cast("bigint").alias("k"), F.lit("d").alias("d"), F.xxhash64("id").alias("id"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one range
+    seen = []
+    stage = RunFolder.of_session(spark)
+    got = ordinal(frame, "k", ["d"], "id", "n", lambda df: seen.append(stage(df)) or seen[-1])
+    assert [tuple(r) for r in got.groupBy("k").agg(F.min("n"), F.max("n"), F.count_distinct("n")).orderBy("k").collect()] == [
+        (None, 1, 400, 400), (7, 1, 3600, 3600)]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(seen) == 1
+    largest = max(r["count"] for r in seen[0].filter("k = 7").groupBy("_range").count().collect())
+    assert largest < 2000

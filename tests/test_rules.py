@@ -43,7 +43,7 @@ def test_recruit_channel(values):
 
 def test_f2f_type(values):
     inputs = ["F2F SW B2B", "F2F SW", "F2F B2B x", "X B2B", "DRTV", None]
-    assert labels(values, v.F2F_TYPE, "channel", inputs, "Other") == ["B2B", "Street", "Other", "B2B", "Other", "Other"]
+    assert labels(values, v.F2F_TYPE, "channel", inputs, "Other") == ["B2B", "Street", "Street", "B2B", "Other", "Other"]
 
 
 def test_f2f_detail_keeps_the_channel(values):

@@ -96,3 +96,21 @@ def test_report_types():
     assert [f.name for f in REPORTS["oo_profile"].fields][-4:] == [
         "oo_tygift_band_order", "age_band_order", "life_year_band_order", "region_3_order"]
     assert [len(REPORTS[n].fields) for n in ("retention_report", "new_donor", "rg_profile", "oo_profile")] == [14, 10, 21, 26]
+
+
+def test_an_empty_result_replaces_its_period(spark, tmp_path):
+    path = str(tmp_path / "new")
+    append_period(new_donors(spark, (1, date(2026, 5, 1)), (2, date(2026, 5, 2))), NEW, path, "2605")
+    append_period(new_donors(spark, (3, date(2026, 4, 1))), NEW, path, "2604")
+    append_period(new_donors(spark, (1, date(2026, 5, 1))).filter("false"), NEW, path, "2605")
+    assert [(r.donor_no, r.report_period) for r in read_report(spark, NEW, path).collect()] == [(3, "2604")]
+
+
+def test_removed_rows_outlive_a_second_run_and_all_rows_can_go(spark, tmp_path):
+    path, audit = str(tmp_path / "new"), str(tmp_path / "audit")
+    append_period(new_donors(spark, (1, date(2026, 5, 1)), (2, date(2026, 5, 1))), NEW, path, "2605")
+    for _ in range(2):
+        stored = read_report(spark, NEW, path).filter("report_period = '2605'")
+        rewrite_without(stored.filter("donor_no > 2"), stored.filter("donor_no <= 2"), NEW, path, "2605", audit)
+        assert read_report(spark, NEW, path).count() == 0
+        assert sorted(r.donor_no for r in spark.read.parquet(audit + "/removed/2605").collect()) == [1, 2]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from retenta.functions import (
     band, channel_key, first_of_month_text, month_diff, month_start, part_from_right, rank_map, whole_number,
     whole_years_between, zip_class,
 )
-from retenta.operators import duplicate_keys, follow_merges
+from retenta.operators import RunFolder, duplicate_keys, follow_merges
 from retenta.plans import commitments as com
 from retenta.plans import lists
 from retenta.plans import monthly as mon
@@ -46,6 +45,11 @@ def presented(df: DataFrame) -> DataFrame:
     ])
 
 
+def _stage(t: StandIns) -> RunFolder:
+    """Short lists and dealt rows are stored, as in the workflows."""
+    return RunFolder.of_session(t["contacts"].sparkSession)
+
+
 def _query(job: Callable[[StandIns], DataFrame]) -> Query:
     return lambda spark, sf_dir: presented(job(StandIns(spark, sf_dir)))
 
@@ -80,7 +84,7 @@ def _classified(t):
 
 @_job
 def pledge_base(t):
-    return com.pledge_base(com.commitment_core(t["pledges"], t["contacts"]), t["channel_gb"])
+    return com.pledge_base(com.commitment_core(t["pledges"], t["contacts"]), t["channel_gb"], stage=_stage(t))
 
 
 def _flags(t):
@@ -106,7 +110,7 @@ def cancelled_contacts(t):
 
 @_job
 def cancelled_pledges(t):
-    return ret.cancelled_pledges(t["pledges"], _cancelled(t))
+    return ret.cancelled_pledges(t["pledges"], _cancelled(t), stage=_stage(t))
 
 
 def _lapsed(t):
@@ -154,13 +158,13 @@ def flag_crosstab(t):
 
 @_job
 def new_donor_month(t):
-    return lists.new_donor_month(t["classified_gifts"], t["transactions"], p.MONTH)
+    return lists.new_donor_month(t["classified_gifts"], t["transactions"], p.MONTH, stage=_stage(t))
 
 
 @_job
 def new_donor_month_prefix_rule(t):
     """The option that leaves out all ``2.`` site codes."""
-    return lists.new_donor_month(t["classified_gifts"], t["transactions"], p.MONTH, site_code_prefix_rule=True)
+    return lists.new_donor_month(t["classified_gifts"], t["transactions"], p.MONTH, site_code_prefix_rule=True, stage=_stage(t))
 
 
 @_job
@@ -169,7 +173,7 @@ def active_donor_summary(t):
 
 
 def _new_quarter(t):
-    return lists.new_donor_quarter(t["classified_gifts"], t["transactions"], p.YTD)
+    return lists.new_donor_quarter(t["classified_gifts"], t["transactions"], p.YTD, stage=_stage(t))
 
 
 @_job
@@ -190,17 +194,17 @@ def append_new_donor(t):
 
 @_job
 def reactivation_list(t):
-    return lists.reactivation_list(t["classified_gifts"], t["transactions"], p.QUARTER)
+    return lists.reactivation_list(t["classified_gifts"], t["transactions"], p.QUARTER, stage=_stage(t))
 
 
 @_job
 def reactivation_readout(t):
-    listed = lists.reactivation_list(t["classified_gifts"], t["transactions"], p.YEAR)
+    listed = lists.reactivation_list(t["classified_gifts"], t["transactions"], p.YEAR, stage=_stage(t))
     return lists.read_out(listed, "reactivation_date", p.HALF)
 
 
 def _conversions(t, period):
-    return lists.conversion_list(t["classified_gifts"], t["transactions"], period)
+    return lists.conversion_list(t["classified_gifts"], t["transactions"], period, stage=_stage(t))
 
 
 @_job
@@ -225,30 +229,23 @@ def merged_members(t):
 
 @_job
 def resolve_merged_donors(t):
-    new = lists.new_donor_month(t["classified_gifts"], t["transactions"], p.MONTH)
+    new = lists.new_donor_month(t["classified_gifts"], t["transactions"], p.MONTH, stage=_stage(t))
     checked = lists.conversion_in_new_donor(_conversions(t, p.HALF), new, p.HALF)
     return lists.resolve_merged_donors(checked, t["merge_history"], t["merge_history_detail"], new)
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
-    """A folder of our own where the session names none, as on a test machine."""
-    if not spark.sparkContext.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
-
-
 @_job
 def merge_survivors(t):
     links = lists.merged_members(t["merge_history"], t["merge_history_detail"])
-    _checkpoint_folder(links.sparkSession)
+    _stage(t)
     return follow_merges(links)
 
 
 @_job
 def resolve_merged_donors_chained(t):
     """The option that follows merges over several steps."""
-    new = lists.new_donor_month(t["classified_gifts"], t["transactions"], p.MONTH)
+    new = lists.new_donor_month(t["classified_gifts"], t["transactions"], p.MONTH, stage=_stage(t))
     checked = lists.conversion_in_new_donor(_conversions(t, p.HALF), new, p.HALF)
-    _checkpoint_folder(new.sparkSession)
     return lists.resolve_merged_donors(
         checked, t["merge_history"], t["merge_history_detail"], new, through_chains=True
     )

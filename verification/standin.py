@@ -80,7 +80,9 @@ STANDIN: dict[str, str] = {
             WHEN 7 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'ONEOFF/X/01' ELSE 'UP_X/TM/01' END WHEN 8 THEN 'Reactivation/TM/01'
             WHEN 9 THEN 'CONVERSION/TM/02' WHEN 10 THEN 'PPHCORP/X/01'
             WHEN 11 THEN CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'Cash_SMS' WHEN 1 THEN 'Cash_DM/1' WHEN 2 THEN 'Cash_EMAIL'
-              WHEN 3 THEN 'X Cash_MULTI' ELSE 'Cash_OTHER' END END AS campaign_raw,
+              WHEN 3 THEN 'X Cash_MULTI' ELSE 'Cash_OTHER' END
+            WHEN 12 THEN CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN 'F2FSW/B2BEast/01' WHEN 1 THEN 'F2FAP/X/01' WHEN 2 THEN 'F2FKD/A/01'
+              WHEN 3 THEN 'Multi/SMS/01' WHEN 4 THEN 'Multi/DRTV/01' END END AS campaign_raw,
           CASE WHEN o_orderstatus = 'F' THEN 'N' ELSE 'Y' END AS pledge_active,
           CASE o_orderstatus WHEN 'F' THEN '3' WHEN 'O' THEN '1' ELSE '2' END AS status,
           CASE o_orderstatus WHEN 'F' THEN '종료' WHEN 'O' THEN '진행' ELSE '대기' END AS pledge_status,
@@ -105,6 +107,9 @@ STANDIN: dict[str, str] = {
     "channel_gb": """
         SELECT * FROM (VALUES ('F2FSW','Existing','F2F SW','F2F','1.1 F2F'), ('F2FSWA','Existing','F2F SW A','F2F','1.1 F2F'),
           ('F2FSWB2B','Existing','F2F SW B2B','F2F','1.1 F2F'), ('F2FDNA','Existing','F2F DN A','F2F','1.1 F2F'),
+          ('F2FSWB2BEast','Existing','F2F SW B2B East','F2F','1.1 F2F'), ('F2FAPX','Existing','F2F APPCO X','F2F','1.1 F2F'),
+          ('F2FKDA','Existing','F2F KDA','F2F','1.1 F2F'), ('MultiSMS','Existing','Multi_SMS','Digital','1.2 Digital'),
+          ('MultiDRTV','Existing','Multi_DRTV','DRTV','1.4 DRTV'),
           ('F2FIHA','Existing','F2F IH A','F2F','1.1 F2F'), ('F2FIH','Existing','F2F IH','F2F','1.1 F2F'),
           ('ONLINE','Existing','ONLINE','Digital','1.2 Digital'),
           ('DRTV','Existing','DRTV','DRTV','1.4 DRTV'), ('UPGRADETM','Existing','UPGRADE','TM','2.5 Upgrade'),

@@ -280,10 +280,10 @@ def scored(docs: DataFrame, training: Column, space: Workspace, max_bytes: int =
 
     ``training`` marks the rows to learn from; the others are held out. Null texts are empty and consist of an end
     token. Without training rows no token is known, and the base probability of a token is 1. Rows that repeat a
-    doc_id are scored each; other columns are not looked at. ``docs`` must be a stored table, as it is read several
-    times and a row is known by its place.
+    doc_id are scored each; other columns are not looked at. A row is known by its place, so ``docs`` is written first
+    unless it is a table of files.
     """
-    texts = docs.select("doc_id", "text", (~training).alias("held_out"))
+    texts = space.stored(docs.select("doc_id", "text", (~training).alias("held_out")), "documents")
     model, vocabulary = train(texts.where(~F.col("held_out")), space, max_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     log_total = float(np.log10(model.total + model.distinct + 1))

@@ -179,10 +179,10 @@ def without_repeats(docs: DataFrame, space: Workspace) -> DataFrame:
 
     Every byte covered by a string of ``LENGTH`` bytes that also starts anywhere else is removed, in all its places.
     Null texts are empty; texts shorter than ``LENGTH`` stay whole; rows that repeat are copies of each other, with
-    the same or another doc_id. An empty table gives an empty one; other columns are not looked at. ``docs`` must be a
-    stored table, as it is read several times and a row is known by its place.
+    the same or another doc_id. An empty table gives an empty one; other columns are not looked at. A row is known by
+    its place, so ``docs`` is written first unless it is a table of files.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = space.stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "documents")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 << int(np.clip(np.ceil(np.log2(max(size, 1) / (1 << 20))), 6, 18))
 

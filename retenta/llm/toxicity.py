@@ -32,6 +32,8 @@ STEM, SURROUNDINGS, MANY = 4, 5, 16
 WEIGHT, STRONG, ADDS = 1.2, 3.0, 0.8
 #: Standard errors of the confidence bound of a term's share of toxic texts.
 CONFIDENCE = 3.0
+#: A kind of hits in fewer texts than this has no weight of its own.
+FEW = 20
 #: Words before and after a hit that tell a quotation.
 WINDOW = 6
 #: Words that report what others say.
@@ -301,6 +303,10 @@ def train(sample: DataFrame, space: Workspace) -> Toxicity:
     rows = sample.where(~half).select("text", "y").mapInArrow(count, "y int, a double, b double, c double, d double, e double").toArrow()
     x = np.stack([rows.column(c).to_numpy() for c in "abcde"], 1)
     weights = fit_weights(x, rows.column("y").to_numpy())
+    # Kinds of hits that the sample hardly has weigh by their prior share of what exact hits do.
+    for kind in range(3, 6):
+        if (x[:, kind - 1] > 0).sum() < FEW:
+            weights[kind] = weights[2] * PRIOR[kind] / PRIOR[2]
     # Both halves tell which words are no misspelling; the weights were fitted without that knowledge of their own half.
     return Toxicity(Matcher(terms, matcher.clean | _clean_variants(sample.where(~half), terms)), weights)
 

@@ -49,6 +49,16 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` itself if it only reads files and picks rows and columns, else written and read back.
+
+        The rows of a table of files come in the same partitions and order each time, so they can be known by place.
+        """
+        plan = df._jdf.queryExecution().optimizedPlan()
+        while plan.nodeName() in ("Project", "Filter"):
+            plan = plan.children().head()
+        return df if plan.nodeName() == "LogicalRelation" else self.stage(df, name)
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

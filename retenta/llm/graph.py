@@ -19,12 +19,12 @@ def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
     labels = space.stage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), f"{name}-0")
     step, changed = 0, 1
     while changed:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        low = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
+        near = both.join(labels.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        low = labels.join(near.hint("merge"), labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("low"))
         own = labels.select(F.col("node").alias("of"), F.col("label").alias("jump"))
         step += 1
         after = space.stage(
-            low.join(own, F.col("low") == F.col("of")).select("node", F.least("low", "jump").alias("label"), (F.least("low", "jump") != F.col("label")).alias("moved")),
+            low.join(own.hint("merge"), F.col("low") == F.col("of")).select("node", F.least("low", "jump").alias("label"), (F.least("low", "jump") != F.col("label")).alias("moved")),
             f"{name}-{step}")
         changed = after.where("moved").count()
         space.drop(f"{name}-{step - 1}")

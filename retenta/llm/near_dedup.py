@@ -1,15 +1,20 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Shingles are runs of five lower-cased words, weighted by their number in the text times an inverse document frequency.
-Every text gets 64 consistent weighted samples, taken bin-wise: a shingle's hash sends it to one bin, and a bin keeps
+Every text gets 132 consistent weighted samples, taken bin-wise: a shingle's hash sends it to one bin, and a bin keeps
 the shingle that improved consistent weighted sampling picks there; a bin that got none samples all shingles with
-draws of its own. Texts that agree on all four samples of one of 16 bands share a bucket; those at a similarity of
-0.8 share one with a probability of 0.9998.
-
-Within a bucket no pairs are listed. A few members (pivots) are compared with those that are not yet in their class;
-classes are joined over all buckets, and the next round takes four times as many pivots from the members outside each
-bucket's largest class. It ends when every bucket is of one class or all members outside its largest class have been
-pivots: then every two members either are in one class or were compared.
+draws of its own. Texts that agree on all six samples of one of 22 bands share a bucket; those at a similarity of 0.8
+share one with a probability of 0.9988, at 0.85 of 0.99998.
+
+Within a bucket no pairs are listed: members are compared with a pivot, the member whose buckets are largest (a text
+that others were copied from keeps all its bands, its copies lose some). Similar pairs join their classes. What then
+is still of several classes goes on: in a bucket of up to ``SMALL`` members, all members outside the largest class
+become pivots, so every two members are in one class or were compared. Members of a larger bucket are dealt anew to
+finer buckets, by two bands; texts at a similarity of 0.8 share two with a probability of 0.989, at 0.85 of 0.9996.
+The finer buckets are settled by ever more pivots, whatever their size.
+
+Pairs are first judged on their samples, of which at least ``AGREE`` must be equal (106 are expected at a similarity of
+0.8); only then the shingles of both are fetched for the exact weighted Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -25,15 +30,18 @@ from . import vectext as v
 from .graph import components
 from .workspace import Workspace
 
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 22, 6
 BINS = BANDS * ROWS
+#: Equal samples that a pair needs to be verified: five standard errors below those expected at 0.8.
+AGREE = 82
+SMALL = 8
 #: Shingles in at least this share of the documents have a document frequency; rarer ones all weigh 1.
 FREQUENT = 0.01
 #: The weight of a shingle that is in every document. Near copies of one text that make up much of the corpus must
 #: stay near copies, so what they share may not lose much weight.
 LEAST_IDF = 0.7
 #: Texts whose shingles are counted together in the search for frequent ones.
-GROUP_TEXTS, GROUP_SHINGLES = 4000, 8 << 20
+GROUP_TEXTS, GROUP_SHINGLES = 4000, 2 << 20
 
 
 def text_key(text: Column) -> Column:
@@ -130,7 +138,7 @@ def signatures(n: int, doc: np.ndarray, ids: np.ndarray, weight: np.ndarray) ->
         return out.reshape(n, BINS)
     log_w = np.log(weight)
     value, t = _icws(ids, log_w)
-    key = doc * BINS + (v.mix(ids, 16) & v.U64(BINS - 1)).astype(np.int64)
+    key = doc * BINS + (((v.mix(ids, 16) >> v.U64(32)) * v.U64(BINS)) >> v.U64(32)).astype(np.int64)
     best = np.full(n * BINS, np.inf)
     np.minimum.at(best, key, value)
     won = value == best[key]
@@ -140,7 +148,7 @@ def signatures(n: int, doc: np.ndarray, ids: np.ndarray, weight: np.ndarray) ->
     first = np.cumsum(counts) - counts
     empty = np.flatnonzero(np.isinf(best) & np.repeat(counts > 0, BINS))
     # All shingles of the text, for each of its empty bins; some texts at a time to bound the arrays.
-    for part in np.array_split(empty, 1 + int(counts[empty // BINS].sum() >> 21)):
+    for part in np.array_split(empty, 1 + int(counts[empty // BINS].sum() >> 18)):
         if not len(part):
             continue
         d, size = part // BINS, counts[part // BINS]
@@ -160,84 +168,148 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, weights: Weights) -> DataFrame:
-    """doc_id, key and bands (empty for texts without words) of each row."""
+    """doc_id, key, bands (empty for texts without words) and sketch (16 bits of each sample) of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = []
             for t in v.pieces(batch.column("text")):
                 doc, ids, tf = _shingle_counts(t)
-                band = band_keys(signatures(len(t), doc, ids, shared.value.of(ids, tf))).view(np.int64)
+                samples = signatures(len(t), doc, ids, shared.value.of(ids, tf))
+                band = band_keys(samples).view(np.int64)
                 has = v.per_doc(doc, len(t)) > 0
                 at = np.concatenate([[0], np.cumsum(has * BANDS)]).astype(np.int32)
-                keys.append(pa.ListArray.from_arrays(pa.array(at), pa.array(band[has].ravel())))
-            if keys:
-                yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.concat_arrays(keys)], ["doc_id", "key", "bands"])
+                sketch = [x.tobytes() for x in (samples >> v.U64(48)).astype("<u2")]
+                fixed = [batch.column(c).slice(t.first, len(t)) for c in ("doc_id", "key")]
+                bands = pa.ListArray.from_arrays(pa.array(at), pa.array(band[has].ravel()))
+                yield pa.RecordBatch.from_arrays([*fixed, bands, pa.array(sketch, pa.binary())], names=["doc_id", "key", "bands", "sketch"])
 
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    return rows.mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>")
+    return rows.mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>, sketch binary")
 
 
 def _vectors(texts: DataFrame) -> DataFrame:
-    """(key, shingles): the distinct shingles of each text, 40 bits, and their number, 24 bits, packed and sorted."""
+    """(id, shingles): 32 bits of each shingle of each text, sorted, repeated as often as it occurs."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in v.pieces(batch.column("text")):
                 doc, ids, tf = _shingle_counts(t)
-                packed = (ids << v.U64(24)) | np.minimum(tf, (1 << 24) - 1).astype(v.U64)
-                at = np.concatenate([[0], np.cumsum(v.per_doc(doc, len(t)))])
+                packed = np.repeat((ids >> v.U64(8)).astype("<u4"), tf)
+                at = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=tf, minlength=len(t)).astype(np.int64))])
                 rows = [packed[at[i]:at[i + 1]].tobytes() for i in range(len(t))]
-                yield pa.record_batch([batch.column("key").slice(t.first, len(t)), pa.array(rows, pa.binary())], ["key", "shingles"])
+                yield pa.record_batch([batch.column("id").slice(t.first, len(t)), pa.array(rows, pa.binary())], ["id", "shingles"])
 
-    return texts.mapInArrow(pack, "key binary, shingles binary")
+    return texts.mapInArrow(pack, "id long, shingles binary")
 
 
 def weighted_jaccard(a: bytes, b: bytes, weights: Weights) -> float:
     """Sum of the lower over sum of the higher weights of two packed shingle sets."""
-    x, y = np.frombuffer(a, v.U64), np.frombuffer(b, v.U64)
-    xi, yi = x >> v.U64(24), y >> v.U64(24)
-    xw, yw = weights.of(xi, x & v.U64(0xFFFFFF)), weights.of(yi, y & v.U64(0xFFFFFF))
-    both, i, j = np.intersect1d(xi, yi, assume_unique=True, return_indices=True)
+    (x, x_tf), (y, y_tf) = (np.unique(np.frombuffer(s, "<u4"), return_counts=True) for s in (a, b))
+    xw, yw = weights.of(x, x_tf), weights.of(y, y_tf)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     low = np.minimum(xw[i], yw[j]).sum()
     return float(low / (xw.sum() + yw.sum() - low))
 
 
+def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches agree often enough."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BINS) for c in ("x", "y"))
+            keep = pa.array((x == y).sum(axis=1) >= AGREE)
+            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(keep)
+
+    of = lambda c, s: texts.select(F.col("id").alias(c), F.col("sketch").alias(s))
+    return pairs.join(of("b", "y").hint("merge"), "b").join(of("a", "x").hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+
+
 def _similar(pairs: DataFrame, vectors: DataFrame, weights: Weights, share: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose weighted Jaccard similarity is at least ``share``."""
-    shared = pairs.sparkSession.sparkContext.broadcast(weights)
+    short = Weights.__new__(Weights)
+    short.ids, short.idf = (weights.ids >> v.U64(8)).astype("<u4"), weights.idf
+    shared = pairs.sparkSession.sparkContext.broadcast(short)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("x"), batch.column("y")
-            same = [weighted_jaccard(x[i].as_py(), y[i].as_py(), shared.value) >= share for i in range(len(batch))]
+            same = [weighted_jaccard(x[i].as_buffer(), y[i].as_buffer(), shared.value) >= share for i in range(len(batch))]
             yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    x = vectors.select(F.col("key").alias("a"), F.col("shingles").alias("x"))
-    y = vectors.select(F.col("key").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
-
-
-def _next_pairs(members: DataFrame, labels: DataFrame | None, tested: DataFrame | None, pivots: int) -> DataFrame:
-    """Pairs of a pivot with the members of its bucket outside its class, not compared before."""
-    if labels is None:
-        placed = members.withColumn("label", F.col("key"))
-    else:
-        placed = members.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("largest"), F.count("*").alias("classes")).where("classes > 1")
-    largest = largest.select("bucket", F.col("largest.label").alias("main"))
-    outside = placed.join(largest, "bucket")
-    if labels is None:  # all classes have one member: the lowest member is the first pivot
-        chosen = placed.groupBy("bucket").agg(F.min("key").alias("pivot")).withColumn("pivot_label", F.col("pivot"))
-    else:
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-        chosen = outside.where("label != main").withColumn("rank", rank).where(F.col("rank") <= pivots)
-        chosen = chosen.select("bucket", F.col("key").alias("pivot"), F.col("label").alias("pivot_label"))
-    pairs = placed.join(chosen, "bucket").where("label != pivot_label")
-    pairs = pairs.select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b")).distinct()
-    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    of = lambda c, s: vectors.select(F.col("id").alias(c), F.col("shingles").alias(s))
+    return pairs.join(of("b", "y").hint("merge"), "b").join(of("a", "x").hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+
+
+def _finer(texts: DataFrame, bands: int) -> DataFrame:
+    """(bucket, id, n): the buckets of texts by one or two bands and their sizes, without those of one text."""
+    keys = F.col("bands")
+    if bands == 2:
+        after = lambda i: F.sequence(i + 1, F.lit(BANDS - 1))
+        pairs = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 2)), lambda i: F.transform(after(i), lambda j: F.xxhash64(F.get("bands", i), F.get("bands", j))))
+        keys = F.flatten(pairs)
+    each = texts.where(F.size("bands") > 0).select("id", F.explode(keys).alias("bucket"))
+    several = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return each.join(several.hint("merge"), "bucket")
+
+
+class _Classes:
+    """The links found so far, their classes and the pairs compared."""
+
+    def __init__(self, texts: DataFrame, weights: Weights, share: float, space: Workspace):
+        self.texts, self.weights, self.share, self.space = texts, weights, share, space
+        self.vectors = self.labels = self.tested = self.links = None
+        self.step, self.labelled = 0, True
+
+    def placed(self, members: DataFrame) -> DataFrame:
+        """The members of buckets of several classes, with their label."""
+        self.label()
+        if self.labels is None:
+            return members.withColumn("label", F.col("id"))
+        all_of = members.join(self.labels.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        mixed = all_of.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        return all_of.join(mixed.hint("merge"), "bucket")
+
+    def label(self) -> None:
+        """Classes by all links found so far."""
+        if not self.labelled:
+            self.labels, self.labelled = components(self.links, self.space, f"classes-{self.step}"), True
+
+    def compare(self, placed: DataFrame, pivots: DataFrame) -> bool:
+        """Compare ``pivots`` (bucket, a, a_label) with the members outside their class. False if there was nothing left."""
+        pairs = placed.join(pivots.hint("merge"), "bucket").where("label != a_label").select("a", F.col("id").alias("b")).distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested.hint("merge"), ["a", "b"], "left_anti")
+        pairs = self.space.stage(pairs, f"pairs-{self.step}")
+        if pairs.isEmpty():
+            return False
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        found = self.space.stage(_similar(_likely(pairs, self.texts), self.vectors, self.weights, self.share), f"links-{self.step}")
+        self.links = found if self.links is None else self.links.unionByName(found)
+        self.step, self.labelled = self.step + 1, False
+        return True
+
+    def settle(self, members: DataFrame, last: bool) -> DataFrame:
+        """Compare what the buckets ask for; the members of crowded buckets of several classes that are left over."""
+        placed = self.placed(members)
+        hubs = placed.groupBy("bucket").agg(F.max_by("id", "rank").alias("a"), F.max_by("label", "rank").alias("a_label"))
+        self.compare(placed, hubs)
+        placed = self.placed(members)
+        sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+        largest = sizes.groupBy("bucket").agg(F.max_by("label", F.col("c") * 1024 + F.col("label") % 1024).alias("main"))
+        outside = placed.join(largest.hint("merge"), "bucket").where("label != main")
+        few = outside.where(F.col("n") <= SMALL).select("bucket", F.col("id").alias("a"), F.col("label").alias("a_label"))
+        self.compare(placed.where(F.col("n") <= SMALL), few)
+        pivots = 8
+        while last:
+            placed = self.placed(members.where(F.col("n") > SMALL))
+            sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+            largest = sizes.groupBy("bucket").agg(F.max_by("label", F.col("c") * 1024 + F.col("label") % 1024).alias("main"))
+            order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank")))
+            some = placed.join(largest.hint("merge"), "bucket").where("label != main").withColumn("order", order).where(F.col("order") <= pivots)
+            last = self.compare(placed, some.select("bucket", F.col("id").alias("a"), F.col("label").alias("a_label")))
+            pivots *= 4
+        return placed.where(F.col("n") > SMALL).select("id").distinct()
 
 
 def near_duplicate_classes(docs: DataFrame, space: Workspace, share: float = 0.8) -> DataFrame:
@@ -251,29 +323,26 @@ def near_duplicate_classes(docs: DataFrame, space: Workspace, share: float = 0.8
     docs = docs.select("doc_id", "text")
     weights = Weights(*frequent_shingles(docs))
     rows = space.stage(_signed(docs, weights), "rows")
-    texts = space.stage(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "texts")
-    banded = texts.select("key", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = space.stage(banded.join(shared, "bucket"), "members")
-    candidates = space.stage(members.select("key").distinct(), "candidates")
-    whole = docs.select(text_key(F.col("text")).alias("key"), "text").join(candidates, "key", "left_semi")
-    vectors = space.stage(_vectors(whole.groupBy("key").agg(F.first("text").alias("text"))), "vectors")
-
-    labels = tested = links = None
-    step = 0
-    while True:
-        pairs = space.stage(_next_pairs(members, labels, tested, 4 ** step), f"pairs-{step}")
-        if pairs.isEmpty():
-            break
-        found = space.stage(_similar(pairs, vectors, weights, share), f"links-{step}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, space, f"classes-{step}")
-        step += 1
-    space.drop("members", "candidates", "vectors")
-    joined = texts.select("key", "doc_id").withColumn("label", F.col("key"))
-    if labels is not None:
-        joined = joined.drop("label").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    texts = rows.groupBy("key").agg(*[f(c).alias(c) for f, c in ((F.min, "doc_id"), (F.first, "bands"), (F.first, "sketch"))])
+    texts = space.stage(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+    members = space.stage(_finer(texts, 1), "buckets")
+    # Pivots come in the order of the sizes of their buckets; the lower bits settle ties.
+    rank = (F.sum("n") * 65536 + F.pmod(F.xxhash64("id"), F.lit(65536))).alias("rank")
+    ranks = space.stage(members.groupBy("id").agg(rank), "ranks")
+    found = _Classes(texts, weights, share, space)
+    candidates = space.stage(ranks.select("id").join(texts, "id").select("id", F.col("key").alias("of"), F.col("doc_id").alias("first_id")), "candidates")
+    here = (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    whole = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text").join(candidates.hint("merge"), here).select("id", "text")
+    found.vectors = space.stage(_vectors(whole), "vectors")
+    members = space.stage(members.join(ranks.hint("merge"), "id"), "members")
+    crowded = space.stage(found.settle(members, last=False), "crowded")
+    if not crowded.isEmpty():
+        finer = _finer(texts.select("id", "bands").join(crowded.hint("merge"), "id"), 2)
+        found.settle(space.stage(finer.join(ranks.hint("merge"), "id"), "finer"), last=True)
+    found.label()
+    joined = texts.select("key", "doc_id", "id").withColumn("label", F.col("id"))
+    if found.labels is not None:
+        joined = joined.drop("label").join(found.labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     classes = joined.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_texts"))
     by_text = space.stage(joined.select("key", "label").join(classes, "label").drop("label"), "classes")
     return rows.select("doc_id", "key").join(by_text, "key").select("doc_id", "key", "class_id", "class_texts")

@@ -15,7 +15,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +67,7 @@ def text_statistics(t: v.Texts) -> dict[str, np.ndarray]:
     covered = np.cumsum(step)[:-1] > 0
     # Lines: from a text's start or the byte after a line feed to the next line feed or the text's end.
     feeds = np.flatnonzero(buf == 0x0A)
-    begin, stop = np.union1d(t.offsets[:-1], feeds + 1), None
+    begin = np.union1d(t.offsets[:-1], feeds + 1)
     begin = begin[begin < len(buf)] if len(buf) else begin[:0]
     stop = np.minimum(np.append(begin[1:], len(buf)), len(buf))
     stop = np.where((stop > begin) & (buf[stop - 1] == 0x0A) if len(begin) else False, stop - 1, stop)
@@ -147,16 +146,16 @@ def calibrated(stats: DataFrame, labels: DataFrame, space: Workspace, risk: floa
     counts = space.stage(counts, "counts")
     strata = max(1, counts.select("stratum").distinct().count())
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        by = {bool(r["good"]): r for _, r in rows.iterrows()}
+    def pick(rows: pa.Table) -> pa.Table:
+        by = {bool(r["good"]): r for r in rows.to_pylist()}
         of = lambda side, r: [int(by[side][f"{r}_{i}"]) if side in by else 0 for i in range(len(CUTOFFS))]
         n = int(by[True]["n"]) if True in by else 0
         found = {r: pick_cutoff(of(True, r), of(False, r), n, risk / len(RULES), error / (len(RULES) * strata)) for r in RULES}
-        return pd.DataFrame([{"of": rows["stratum"].iloc[0]} | {f"cut_{r}": found[r] for r in RULES}]).astype({f"cut_{r}": float for r in RULES})
+        stratum = rows.column("stratum").combine_chunks().slice(0, 1)
+        return pa.table([stratum, *(pa.array([found[r]], pa.float64()) for r in RULES)], names=["of", *(f"cut_{r}" for r in RULES)])
 
     kind = stats.schema["stratum"].dataType.simpleString()
-    picked = counts.groupBy("stratum").applyInPandas(pick, f"of {kind}, " + ", ".join(f"cut_{r} double" for r in RULES))
-    return picked.select("of", *[F.when(~F.isnan(f"cut_{r}"), F.col(f"cut_{r}")).alias(f"cut_{r}") for r in RULES])
+    return counts.groupBy("stratum").applyInArrow(pick, f"of {kind}, " + ", ".join(f"cut_{r} double" for r in RULES))
 
 
 def _verdicts(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:

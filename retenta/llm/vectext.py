@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: A batch is cut into pieces of about so many bytes of text, to bound the arrays made from it. A longer text is a piece.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -42,7 +42,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for the next batch."""
     known = _POWERS[base]
     if len(known) < n:
-        steps = np.full(max(n, 2 * len(known)), base, U64)
+        steps = np.full(max(n, len(known) + len(known) // 4), base, U64)
         steps[0] = 1
         known = _POWERS[base] = np.cumprod(steps, dtype=U64)
     return known[:n]

@@ -37,7 +37,7 @@ class Workspace:
         ship_package(spark)
         base = shared_folder(spark)
         if not base:
-            if not spark.sparkContext.master.startswith("local["):
+            if not spark.sparkContext.master.split("[")[0] == "local":
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             base = f"file://{tempfile.mkdtemp(prefix='llm-')}"
             spark.sparkContext.setCheckpointDir(base)

@@ -57,7 +57,7 @@ class RunFolder:
         """In the session's shared folder; a local session that names none gets a temporary one."""
         folder = shared_folder(spark)
         if not folder:
-            if not spark.sparkContext.master.startswith("local["):
+            if not spark.sparkContext.master.split("[")[0] == "local":
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="retenta-")
             spark.sparkContext.setCheckpointDir(folder)

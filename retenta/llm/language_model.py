@@ -33,7 +33,7 @@ BITS = 12
 LEVEL_BASE = 1.5
 FREQUENT = 1_000_000
 #: Tokens counted together before they are shuffled.
-FLUSH = 4 << 20
+FLUSH = 1 << 20
 #: Training texts, and bytes of them, that the weights lambda are fitted on.
 SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 8 << 20
 END = v.mix(np.array([0xE0D], v.U64), 41)[0]

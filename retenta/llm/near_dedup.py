@@ -1,9 +1,10 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Shingles are runs of five lower-cased words, weighted by their number in the text times an inverse document frequency.
-Every text gets 132 consistent weighted samples, taken bin-wise: a shingle's hash sends it to one bin, and a bin keeps
-the shingle that improved consistent weighted sampling picks there; a bin that got none samples all shingles with
-draws of its own. Texts that agree on all six samples of one of 22 bands share a bucket; those at a similarity of 0.8
+Every text gets 132 consistent weighted samples, taken bin-wise. A shingle is split into elements that weigh 1 and one
+for what is left, so that no bin gets more weight than others by a heavy shingle; the elements two texts share weigh
+just what the shingles share. An element's hash sends it to one bin, and a bin keeps the element that improved
+consistent weighted sampling picks there; a bin that got none samples all elements with draws of its own. Texts that agree on all six samples of one of 22 bands share a bucket; those at a similarity of 0.8
 share one with a probability of 0.9988, at 0.85 of 0.99998.
 
 Within a bucket no pairs are listed: members are compared with a pivot, the member whose buckets are largest (a text
@@ -131,11 +132,23 @@ def _icws(ids: np.ndarray, log_w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.log(c) - r * (t - beta + 1), t
 
 
+def _elements(doc: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries split into elements: the j-th of a shingle is the same in all texts and weighs 1, the last one the rest."""
+    times = np.maximum(np.ceil(weight), 1).astype(np.int64)
+    if len(times) == times.sum():
+        return doc, ids, weight
+    entry = np.repeat(np.arange(len(ids)), times)
+    j = np.arange(len(entry)) - np.repeat(np.cumsum(times) - times, times)
+    later = np.where(j > 0, v.mix(j.astype(v.U64), 23), v.U64(0))
+    return doc[entry], ids[entry] ^ later, np.minimum(weight[entry] - j, 1)
+
+
 def signatures(n: int, doc: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """``n`` rows of ``BINS`` samples (0 in rows without shingles) of weighted sets given as sorted (doc, id) entries."""
     out = np.zeros(n * BINS, v.U64)
     if not len(doc):
         return out.reshape(n, BINS)
+    doc, ids, weight = _elements(doc, ids, weight)
     log_w = np.log(weight)
     value, t = _icws(ids, log_w)
     key = doc * BINS + (((v.mix(ids, 16) >> v.U64(32)) * v.U64(BINS)) >> v.U64(32)).astype(np.int64)
@@ -147,7 +160,7 @@ def signatures(n: int, doc: np.ndarray, ids: np.ndarray, weight: np.ndarray) ->
     counts = v.per_doc(doc, n)
     first = np.cumsum(counts) - counts
     empty = np.flatnonzero(np.isinf(best) & np.repeat(counts > 0, BINS))
-    # All shingles of the text, for each of its empty bins; some texts at a time to bound the arrays.
+    # All elements of the text, for each of its empty bins; some texts at a time to bound the arrays.
     for part in np.array_split(empty, 1 + int(counts[empty // BINS].sum() >> 18)):
         if not len(part):
             continue

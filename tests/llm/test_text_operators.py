@@ -119,6 +119,23 @@ def test_samples_agree_as_often_as_weights_overlap():
     assert np.mean(share) == pytest.approx(0.75, abs=0.03)
 
 
+@pytest.mark.parametrize("shared, own, tf", [(100, 130, 20), (30, 60, 20), (10, 40, 50.5)])
+def test_samples_of_repeated_passages(shared, own, tf):
+    rng = np.random.default_rng(4)
+    share, met = [], 0
+    for _ in range(100):
+        ids = rng.choice(1 << 40, shared + 2 * own, replace=False).astype(np.uint64)
+        sides = []
+        for mine in (ids[shared:shared + own], ids[shared + own:]):
+            x = np.concatenate([ids[:shared], mine])
+            order = np.argsort(x)
+            sides.append(near_dedup.signatures(1, np.zeros(len(x), np.int64), x[order], np.repeat([float(tf), 1.0], [shared, own])[order]))
+        share.append((sides[0] == sides[1]).mean())
+        met += (near_dedup.band_keys(sides[0]) == near_dedup.band_keys(sides[1])).any() and (sides[0] == sides[1]).sum() >= near_dedup.AGREE
+    assert np.mean(share) == pytest.approx(shared * tf / (shared * tf + 2 * own), abs=0.02)
+    assert met >= 98
+
+
 # --- repeated strings ---
 
 

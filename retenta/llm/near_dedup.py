@@ -9,10 +9,8 @@ share one with a probability of 0.9988, at 0.85 of 0.99998.
 
 Within a bucket no pairs are listed: members are compared with a pivot, the member whose buckets are largest (a text
 that others were copied from keeps all its bands, its copies lose some). Similar pairs join their classes. What then
-is still of several classes goes on: in a bucket of up to ``SMALL`` members, all members outside the largest class
-become pivots, so every two members are in one class or were compared. Members of a larger bucket are dealt anew to
-finer buckets, by two bands; texts at a similarity of 0.8 share two with a probability of 0.989, at 0.85 of 0.9996.
-The finer buckets are settled by ever more pivots, whatever their size.
+is still of several classes goes on with more and more pivots from outside the largest class, until all members there
+have been pivots. So every two members of a bucket, whatever its size, are in one class or were compared.
 
 Pairs are first judged on their samples, of which at least ``AGREE`` must be equal (106 are expected at a similarity of
 0.8); only then the shingles of both are fetched for the exact weighted Jaccard similarity.
@@ -35,7 +33,8 @@ BANDS, ROWS = 22, 6
 BINS = BANDS * ROWS
 #: Equal samples that a pair needs to be verified: five standard errors below those expected at 0.8.
 AGREE = 82
-SMALL = 8
+#: Members of a bucket that become pivots in the first round after its first pivot, and how many times more in each next one.
+PIVOTS, MORE = 8, 4
 #: Shingles in at least this share of the documents have a document frequency; rarer ones all weigh 1.
 FREQUENT = 0.01
 #: The weight of a shingle that is in every document. Near copies of one text that make up much of the corpus must
@@ -254,14 +253,9 @@ def _similar(pairs: DataFrame, vectors: DataFrame, weights: Weights, share: floa
     return pairs.join(of("b", "y").hint("merge"), "b").join(of("a", "x").hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
-def _finer(texts: DataFrame, bands: int) -> DataFrame:
-    """(bucket, id, n): the buckets of texts by one or two bands and their sizes, without those of one text."""
-    keys = F.col("bands")
-    if bands == 2:
-        after = lambda i: F.sequence(i + 1, F.lit(BANDS - 1))
-        pairs = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 2)), lambda i: F.transform(after(i), lambda j: F.xxhash64(F.get("bands", i), F.get("bands", j))))
-        keys = F.flatten(pairs)
-    each = texts.where(F.size("bands") > 0).select("id", F.explode(keys).alias("bucket"))
+def _buckets(texts: DataFrame) -> DataFrame:
+    """(bucket, id, n): the buckets of texts by a band and their sizes, without those of one text."""
+    each = texts.where(F.size("bands") > 0).select("id", F.explode("bands").alias("bucket"))
     several = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     return each.join(several.hint("merge"), "bucket")
 
@@ -290,7 +284,8 @@ class _Classes:
 
     def compare(self, placed: DataFrame, pivots: DataFrame) -> bool:
         """Compare ``pivots`` (bucket, a, a_label) with the members outside their class. False if there was nothing left."""
-        pairs = placed.join(pivots.hint("merge"), "bucket").where("label != a_label").select("a", F.col("id").alias("b")).distinct()
+        met = placed.join(pivots.hint("merge"), "bucket").where("label != a_label")
+        pairs = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested.hint("merge"), ["a", "b"], "left_anti")
         pairs = self.space.stage(pairs, f"pairs-{self.step}")
@@ -302,27 +297,21 @@ class _Classes:
         self.step, self.labelled = self.step + 1, False
         return True
 
-    def settle(self, members: DataFrame, last: bool) -> DataFrame:
-        """Compare what the buckets ask for; the members of crowded buckets of several classes that are left over."""
+    def settle(self, members: DataFrame) -> None:
+        """Compare until every two members of a bucket are of one class or were compared."""
         placed = self.placed(members)
         hubs = placed.groupBy("bucket").agg(F.max_by("id", "rank").alias("a"), F.max_by("label", "rank").alias("a_label"))
-        self.compare(placed, hubs)
-        placed = self.placed(members)
-        sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-        largest = sizes.groupBy("bucket").agg(F.max_by("label", F.col("c") * 1024 + F.col("label") % 1024).alias("main"))
-        outside = placed.join(largest.hint("merge"), "bucket").where("label != main")
-        few = outside.where(F.col("n") <= SMALL).select("bucket", F.col("id").alias("a"), F.col("label").alias("a_label"))
-        self.compare(placed.where(F.col("n") <= SMALL), few)
-        pivots = 8
-        while last:
-            placed = self.placed(members.where(F.col("n") > SMALL))
+        pivots, more = PIVOTS, self.compare(placed, hubs)
+        while more:
+            placed = self.placed(members)
             sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-            largest = sizes.groupBy("bucket").agg(F.max_by("label", F.col("c") * 1024 + F.col("label") % 1024).alias("main"))
-            order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank")))
+            largest = sizes.groupBy("bucket").agg(F.max_by("label", F.col("c") * 1024 + F.col("label") % 1024).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
+            order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), "id"))
             some = placed.join(largest.hint("merge"), "bucket").where("label != main").withColumn("order", order).where(F.col("order") <= pivots)
-            last = self.compare(placed, some.select("bucket", F.col("id").alias("a"), F.col("label").alias("a_label")))
-            pivots *= 4
-        return placed.where(F.col("n") > SMALL).select("id").distinct()
+            more = self.compare(placed, some.select("bucket", F.col("id").alias("a"), F.col("label").alias("a_label")))
+            # Where these pairs were compared in other buckets already, members may be left that were no pivots yet.
+            more = more or not largest.where(F.col("all") - F.col("most") > pivots).isEmpty()
+            pivots *= MORE
 
 
 def near_duplicate_classes(docs: DataFrame, space: Workspace, share: float = 0.8) -> DataFrame:
@@ -338,7 +327,7 @@ def near_duplicate_classes(docs: DataFrame, space: Workspace, share: float = 0.8
     rows = space.stage(_signed(docs, weights), "rows")
     texts = rows.groupBy("key").agg(*[f(c).alias(c) for f, c in ((F.min, "doc_id"), (F.first, "bands"), (F.first, "sketch"))])
     texts = space.stage(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
-    members = space.stage(_finer(texts, 1), "buckets")
+    members = space.stage(_buckets(texts), "buckets")
     # Pivots come in the order of the sizes of their buckets; the lower bits settle ties.
     rank = (F.sum("n") * 65536 + F.pmod(F.xxhash64("id"), F.lit(65536))).alias("rank")
     ranks = space.stage(members.groupBy("id").agg(rank), "ranks")
@@ -347,11 +336,7 @@ def near_duplicate_classes(docs: DataFrame, space: Workspace, share: float = 0.8
     here = (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     whole = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text").join(candidates.hint("merge"), here).select("id", "text")
     found.vectors = space.stage(_vectors(whole), "vectors")
-    members = space.stage(members.join(ranks.hint("merge"), "id"), "members")
-    crowded = space.stage(found.settle(members, last=False), "crowded")
-    if not crowded.isEmpty():
-        finer = _finer(texts.select("id", "bands").join(crowded.hint("merge"), "id"), 2)
-        found.settle(space.stage(finer.join(ranks.hint("merge"), "id"), "finer"), last=True)
+    found.settle(space.stage(members.join(ranks.hint("merge"), "id"), "members"))
     found.label()
     joined = texts.select("key", "doc_id", "id").withColumn("label", F.col("id"))
     if found.labels is not None:

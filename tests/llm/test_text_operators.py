@@ -92,6 +92,19 @@ def test_near_duplicates_equal_brute_force(spark, space):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
 
 
+def test_crowded_buckets_are_settled_in_full(spark, space, monkeypatch):
+    rng = random.Random(13)
+    pairs = [prose(rng, 120, 5000) for _ in range(30)]
+    rows = [(2 * i + j, edited(rng, t, j), "en") for i, t in enumerate(pairs) for j in range(2)]
+    signed = near_dedup._signed
+    # All texts share one band, and nothing else.
+    one = F.array(F.lit(7).cast("long"), *[F.xxhash64("key", F.lit(i)) for i in range(near_dedup.BANDS - 1)])
+    monkeypatch.setattr(near_dedup, "_signed", lambda docs, weights: signed(docs, weights).withColumn("bands", one))
+    found = near_dedup.near_duplicate_classes(docs(spark, rows), space).collect()
+    want = brute.near_duplicate_classes([t for _, t, _ in rows])
+    assert len(set(want)) == 30 and {r.doc_id: r.class_id for r in found} == dict(enumerate(want))
+
+
 def test_near_duplicates_of_nothing(spark, space):
     assert near_dedup.near_duplicate_classes(docs(spark, []), space).count() == 0
     alone = near_dedup.near_duplicate_classes(docs(spark, [(1, None, None), (None, "a b", None)]), space).collect()

@@ -176,44 +176,33 @@ class Matcher:
     def __post_init__(self) -> None:
         self.lexicon = Lexicon([(term, stem, w >= STRONG) for term, stem, w in self.terms])
         self.weights = np.array([w for _, _, w in self.terms])
-        self.first, self.third = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        for term, _, _ in self.terms:
-            b = term.encode()
-            self.first[b[0] << 8 | b[1]] = True
-            if len(b) > 3:
-                self.third[b[2] << 8 | b[3]] = True
+        self.first, self.third = {term[:2] for term, _, _ in self.terms}, {term[2:4] for term, _, _ in self.terms if len(term) > 3}
         h = np.frombuffer("".join(REPORTING).encode(), np.uint8)
         at = np.cumsum([0, *map(len, REPORTING)])
         self.reporting = np.sort(v.span_hashes(h, at[:-1], at[1:]))
 
-    def _possible(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Words that may be within an edit of a term: one edit leaves the first pair of bytes as it is, or the second one, which it may move."""
-        low = v.LOWER[np.append(buf, np.zeros(8, np.uint8))].astype(np.int64)
-        pair = lambda i: low[start + i] << 8 | low[start + i + 1]
-        out = self.first[pair(0)]
-        for i in range(5):
-            out |= self.third[pair(i)]
-        return out & (end - start > 2)
+    def _possible(self, word: str) -> bool:
+        """Whether a word may be within an edit of a term: one edit leaves the first pair of letters as it is, or the second one, which it may move by one."""
+        return word[:2] in self.first or any(word[i:i + 2] in self.third for i in (1, 2, 3))
 
     def hits(self, t: v.Texts, c: Cores) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places of the words that hit a term, the terms, and whether they are misspelt."""
         if not self.terms:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        maybe = np.flatnonzero(self._possible(t.buf, c.start, c.end))
-        words, first, back = np.unique(c.h[maybe], return_index=True, return_inverse=True)
+        words, first, back = np.unique(c.h, return_index=True, return_inverse=True)
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
         verdict = np.zeros(len(words), np.int64)
         for i, h in enumerate(words.tolist()):
             found = self.known.get(h)
             if found is None:
-                word = t.buf[c.start[maybe[first[i]]]:c.end[maybe[first[i]]]].tobytes().decode().lower()
-                match = self.lexicon.match(word)
+                word = t.buf[c.start[first[i]]:c.end[first[i]]].tobytes().decode(errors="replace").lower()
+                match = self.lexicon.match(word) if self._possible(word) else None
                 found = self.known[h] = 0 if match is None or (match[1] and word in self.clean) else (match[0] + 1) * (-1 if match[1] else 1)
             verdict[i] = found
         verdict = verdict[back]
-        hit = verdict != 0
-        return maybe[hit], np.abs(verdict[hit]) - 1, verdict[hit] < 0
+        hit = np.flatnonzero(verdict)
+        return hit, np.abs(verdict[hit]) - 1, verdict[hit] < 0
 
     def quoted(self, c: Cores, at: np.ndarray) -> np.ndarray:
         """Whether quotation marks stand on both sides of a hit in its window, or a reporting word stands in it."""

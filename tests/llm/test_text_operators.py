@@ -381,3 +381,20 @@ def test_quoted_hits_are_told_apart():
     (t,) = v.pieces(pa.array(texts, pa.string()))
     x = m.features(t)
     assert (x[:, 1] > 0).tolist() == [False, True, True, False] and (x[:, 3] > 0).tolist() == [True, False, False, False]
+
+
+@pytest.mark.parametrize("term, word", [("débile", "debile"), ("hässlich", "hasslich"), ("dämlich", "damlich"), ("pédophile", "pédophil"), ("pédophile", "pedophile"),
+                                        ("идиот", "идот"), ("ばかやろう", "ばあやろう"), ("crétin", "cretin"), ("kz", "kz")])
+def test_misspelt_letters_of_several_bytes_are_hits(term, word):
+    m = toxicity.Matcher([(term, False, 4.0)])
+    (t,) = v.pieces(pa.array([f"so ein {word} da"]))
+    at, _, misspelt = m.hits(t, toxicity.cores(t))
+    assert at.tolist() == [2] and misspelt.tolist() == [term != word]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abéあ", min_size=5, max_size=8), st.integers(0, 7), st.sampled_from(["", "x", "é", "あ"]), st.booleans())
+def test_the_screen_loses_no_edit(term, at, letter, insert):
+    word = term[:at] + letter + term[at + (not insert):]
+    found = lexicon.Lexicon([(term, False, True)]).match(word)
+    assert found is None or toxicity.Matcher([(term, False, 4.0)])._possible(word)

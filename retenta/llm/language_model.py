@@ -8,8 +8,9 @@ broadcast together; their size is bounded by ``max_bytes`` (beyond it the segmen
 frequent).
 
 The probability of a word w after v is lambda * c(vw) / c(v) + (1 - lambda) * (c(w) + 1) / (N + V + 1), with a lambda
-for each level of c(v), fitted by expectation-maximisation on a bounded sample of training texts whose own counts are
-taken off. Every text starts after an end token and closes with one.
+for each level of c(v), fitted by expectation-maximisation on all training texts, whose own counts are taken off. The
+maximisation needs only the level and the ratio of the two shares of each token, so one scan counts the tokens by level
+and ratio (in steps of 1/256 of its binary logarithm), and all rounds run on those counts. Every text starts after an end token and closes with one.
 
 Exact word counts, for the base score, are joined by hash: those of words with at least one in ``FREQUENT`` of all
 tokens (at most that many words) are broadcast, the others meet the texts' rare words in a shuffle join.
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -34,8 +36,8 @@ LEVEL_BASE = 1.5
 FREQUENT = 1_000_000
 #: Tokens counted together before they are shuffled.
 FLUSH = 1 << 20
-#: Training texts, and bytes of them, that the weights lambda are fitted on.
-SAMPLE_TEXTS, SAMPLE_BYTES = 2000, 8 << 20
+#: Steps of the binary logarithm of a ratio that tokens are counted by for the weights lambda.
+RATIO_STEPS = 256
 END = v.mix(np.array([0xE0D], v.U64), 41)[0]
 _KEY_BITS = 48
 
@@ -210,7 +212,6 @@ class Model:
     distinct: int
     frequent: np.ndarray
     frequent_counts: np.ndarray
-    weights: np.ndarray
 
     def exact(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the words are frequent, and their exact counts."""
@@ -238,24 +239,48 @@ class Model:
         after = np.divide(np.minimum(pair, context), context, out=np.zeros(len(pair)), where=context > 0)
         return level, after, (word + 1) / (self.total + self.distinct + 1)
 
-    def fit(self, sample: list[str | None]) -> None:
-        """Set the weight of the word before, for each level of its count, on a sample of training texts."""
-        found = [self.parts(tokens(t), less=True) for t in v.pieces(pa.array(sample, pa.string()))]
-        if not found:
-            return
-        level, after, alone = (np.concatenate(x) for x in zip(*found, strict=True))
-        n = np.bincount(level, minlength=len(self.weights))
-        for _ in range(30):
-            w = self.weights[level]
-            share = w * after / (w * after + (1 - w) * alone)
-            self.weights = (np.bincount(level, share, len(self.weights)) + 0.01) / (n + 1)
-
-    def score(self, t: Tokens) -> np.ndarray:
+    def score(self, t: Tokens, weights: np.ndarray) -> np.ndarray:
         level, after, alone = self.parts(t)
-        w = self.weights[level]
+        w = weights[level]
         return np.log10(w * after + (1 - w) * alone)
 
 
+def ratio_cells(level: np.ndarray, after: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """Level, and step of the ratio of both shares (0: none), of each token as one number."""
+    step = np.zeros(len(level), np.int64)
+    some = after > 0
+    step[some] = np.rint(np.log2(after[some] / alone[some]) * RATIO_STEPS).astype(np.int64) + (1 << 20)
+    return level << 32 | step
+
+
+def fitted_weights(cell: np.ndarray, n: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """The weight of the word before, for each level of its count, from the number of training tokens in each cell."""
+    weights = np.full(128, 0.1)
+    if not len(cell):
+        return weights
+    level, step = cell >> 32, cell & 0xFFFFFFFF
+    ratio = np.where(step > 0, 2.0 ** ((step - (1 << 20)) / RATIO_STEPS), 0.0)
+    tokens_at = np.bincount(level, n, len(weights))
+    for _ in range(rounds):
+        w = weights[level]
+        share = w * ratio / (w * ratio + (1 - w))
+        weights = (np.bincount(level, share * n, len(weights)) + 0.01) / (tokens_at + 1)
+    return weights
+
+
+def fit(texts: DataFrame, shared: Broadcast) -> np.ndarray:
+    """The weights fitted on all of ``texts``, one scan."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in v.pieces(batch.column(0)):
+                cell, n = np.unique(ratio_cells(*shared.value.parts(tokens(t), less=True)), return_counts=True)
+                yield pa.record_batch([pa.array(cell), pa.array(n)], ["cell", "n"])
+
+    rows = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    return fitted_weights(rows.column("cell").to_numpy(), rows.column("n").to_numpy())
+
+
 def train(texts: DataFrame, space: Workspace, max_bytes: int = 512 << 20) -> tuple[Model, DataFrame]:
     """The model of ``texts`` (text; null: empty), and the table (h, c) of exact token counts."""
     vocabulary = space.stage(word_counts(texts), "words")
@@ -265,9 +290,7 @@ def train(texts: DataFrame, space: Workspace, max_bytes: int = 512 << 20) -> tup
     order = np.argsort(h)
     # About a million tokens a segment.
     segments = 1 << int(np.clip(np.ceil(np.log2(max(1, sums["n"]) / 1e6)), 4, 16))
-    model = Model(build_filter(texts, segments, max_bytes, space), sums["n"], sums["v"], h[order], c[order], np.full(128, 0.1))
-    short = texts.where(F.length("text") <= SAMPLE_BYTES // SAMPLE_TEXTS * 4).select("text").orderBy(F.xxhash64("text")).limit(SAMPLE_TEXTS)
-    model.fit(short.toArrow().column("text").to_pylist())
+    model = Model(build_filter(texts, segments, max_bytes, space), sums["n"], sums["v"], h[order], c[order])
     return model, vocabulary
 
 
@@ -286,6 +309,7 @@ def scored(docs: DataFrame, training: Column, space: Workspace, max_bytes: int =
     texts = space.stored(docs.select("doc_id", "text", (~training).alias("held_out")), "documents")
     model, vocabulary = train(texts.where(~F.col("held_out")), space, max_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    weights = fit(texts.where(~F.col("held_out")), shared)
     log_total = float(np.log10(model.total + model.distinct + 1))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -305,7 +329,7 @@ def scored(docs: DataFrame, training: Column, space: Workspace, max_bytes: int =
             base = np.where(known, np.log10(c + 1) - log_total, 0.0)
             fixed = [batch.column(x).slice(t.first, len(t)) for x in ("doc_id", "held_out")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row), *fixed, pa.array(v.per_doc(found.doc, len(t))), pa.array(total(known).astype(np.int64)), pa.array(total(base)), pa.array(total(m.score(found)))],
+                [pa.array(row), *fixed, pa.array(v.per_doc(found.doc, len(t))), pa.array(total(known).astype(np.int64)), pa.array(total(base)), pa.array(total(m.score(found, weights)))],
                 names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -287,6 +287,20 @@ def test_a_predictable_order_scores_better_than_the_base(spark, space):
     assert sum(r.score for r in found) > 0.6 * sum(r.base_score for r in found)
 
 
+def test_weights_are_fitted_on_long_texts_too(spark, space):
+    rng = random.Random(14)
+    following = {f"w{i}": [f"w{rng.randrange(300)}" for _ in range(3)] for i in range(300)}
+    rows = []
+    for i in range(20):
+        w = ["w0"]
+        while len(w) < 6000:
+            w.append(rng.choice(following[w[-1]]))
+        rows.append((i, " ".join(w), "en"))
+    assert min(len(t) for _, t, _ in rows) > 20000
+    found = language_model.scored(docs(spark, rows), F.lit(True), space).collect()
+    assert sum(r.score for r in found) > 0.4 * sum(r.base_score for r in found)
+
+
 def test_filter_returns_the_levels_it_was_given():
     rng = np.random.default_rng(1)
     keys, counts = rng.integers(0, 1 << 48, 5000, dtype=np.uint64), rng.integers(1, 3000, 5000)

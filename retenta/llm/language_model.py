@@ -3,9 +3,9 @@
 A count c is quantised to level 1 + floor(log_1.5 c), and the n-gram is put into a Bloom filter once for each level up
 to its own. A query probes level 1, 2, ... until one is missing; the last level found gives the count. The filter holds
 unigrams and bigrams of the training texts. It is cut into segments by hash; a segment is built by one task from all
-counts of its n-grams, with ``BITS`` bits an entry, so the error rate is the same for every corpus. The segments are
-broadcast together; their size is bounded by ``max_bytes`` (beyond it the segments are narrower and errors more
-frequent).
+counts of its n-grams, with ``BITS`` bits an entry, so the error rate is the same for every corpus. Segments of up to
+``max_bytes`` together are broadcast. Larger filters stay where they are: the distinct n-grams of each piece of text go
+to their segments by a shuffle, are looked up there, and their levels meet the piece again.
 
 The probability of a word w after v is lambda * c(vw) / c(v) + (1 - lambda) * (c(w) + 1) / (N + V + 1), with a lambda
 for each level of c(v), fitted by expectation-maximisation on all training texts, whose own counts are taken off. The
@@ -19,11 +19,10 @@ tokens (at most that many words) are broadcast, the others meet the texts' rare
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -94,10 +93,10 @@ class CountFilter:
             yield at.astype(np.int64), bits
 
     @classmethod
-    def segment(cls, keys: np.ndarray, counts: np.ndarray, most_words: int) -> np.ndarray:
-        """The words of a segment that holds these n-grams."""
+    def segment(cls, keys: np.ndarray, counts: np.ndarray, most_words: int | None = None) -> np.ndarray:
+        """The words of a segment that holds these n-grams, at most so many if that is given."""
         q = levels(counts)
-        words = np.zeros(min(most_words, -(-int(q.sum()) * BITS // 64)), v.U64)
+        words = np.zeros(min(most_words or 1 << 60, -(-int(q.sum()) * BITS // 64)), v.U64)
         size = np.full(len(keys), len(words))
         for level in range(1, int(q.max()) + 1):
             x = keys[q >= level] + v.U64(level * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
@@ -123,6 +122,17 @@ class CountFilter:
         return out
 
 
+@dataclass
+class Answers:
+    """The levels of the n-grams of a piece, looked up before."""
+
+    h: np.ndarray
+    levels: np.ndarray
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        return self.levels[np.searchsorted(self.h, h)].astype(np.int64)
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
@@ -154,9 +164,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def build_filter(texts: DataFrame, segments: int, max_bytes: int, space: Workspace) -> CountFilter:
-    """Count all unigrams and bigrams of ``texts`` and build the filter, segment by segment."""
-    most_words = max_bytes // 8 // segments
+def _segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    return (h >> v.U64(_KEY_BITS)).astype(np.int64) & (segments - 1)
+
+
+def build_filter(texts: DataFrame, segments: int, space: Workspace) -> DataFrame:
+    """Count all unigrams and bigrams of ``texts`` and build the filter: (seg, words), a row a segment."""
     packed = np.dtype([("h", "<u4"), ("h2", "<u2"), ("c", "u1")])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,11 +206,16 @@ def build_filter(texts: DataFrame, segments: int, max_bytes: int, space: Workspa
         entries = np.concatenate([np.frombuffer(x.as_buffer(), packed) for x in rows.column("entries")])
         key = entries["h"].astype(v.U64) | (entries["h2"].astype(v.U64) << v.U64(32))
         keys, back = np.unique(key, return_inverse=True)
-        words = CountFilter.segment(keys, np.bincount(back, weights=entries["c"]), most_words)
+        words = CountFilter.segment(keys, np.bincount(back, weights=entries["c"]))
         return pa.table({"seg": [rows.column("seg")[0].as_py()], "n": [len(keys)], "words": [words.astype("<u8").tobytes()]})
 
     built = texts.select("text").mapInArrow(count, "seg long, entries binary").groupBy("seg").applyInArrow(build, "seg long, n long, words binary")
-    rows = space.stage(built, "filter").select("seg", "words").toArrow()
+    return space.stage(built, "filter").select("seg", "words")
+
+
+def gathered(built: DataFrame, segments: int) -> CountFilter:
+    """The whole filter."""
+    rows = built.toArrow()
     size, parts = np.zeros(segments, np.int64), {}
     for seg, words in zip(rows.column("seg").to_pylist(), rows.column("words"), strict=True):
         parts[seg] = np.frombuffer(words.as_buffer(), "<u8")
@@ -205,9 +223,41 @@ def build_filter(texts: DataFrame, segments: int, max_bytes: int, space: Workspa
     return CountFilter(segments, np.cumsum(size) - size, size, np.concatenate([parts[s] for s in sorted(parts)] or [np.zeros(0, v.U64)]))
 
 
+def _asked(t: Tokens) -> np.ndarray:
+    """The distinct n-grams of a piece, sorted."""
+    return np.unique(np.concatenate([t.h, t.pairs]))
+
+
+def looked_up(texts: DataFrame, built: DataFrame, segments: int, copies: int) -> DataFrame:
+    """(piece, seg, levels) of the distinct n-grams of each piece of ``texts`` in each segment, in the order of ``_asked``.
+
+    Each segment is there ``copies`` times, so that pieces of many more tokens than were learnt from spread over more groups.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t, row in _numbered(batches):
+            h = _asked(tokens(t))
+            seg = _segment_of(h, segments)
+            order = np.argsort(seg, kind="stable")
+            at = np.searchsorted(seg[order], np.arange(segments + 1))
+            some, h = np.flatnonzero(np.diff(at)), h[order]
+            yield pa.record_batch([pa.array(np.full(len(some), row[0])), pa.array(some), pa.array([h[at[s]:at[s + 1]].tobytes() for s in some], pa.binary())], ["piece", "seg", "keys"])
+
+    def answer(asks: pa.Table, segment: pa.Table) -> pa.Table:
+        keys = [np.frombuffer(x.as_buffer(), "<u8") for x in asks.column("keys")]
+        words = np.frombuffer(segment.column("words")[0].as_buffer(), "<u8") if len(segment) else np.zeros(0, v.U64)
+        found = CountFilter(1, np.zeros(1, np.int64), np.array([len(words)]), words)
+        levels = [found.level(k).astype(np.uint8).tobytes() for k in keys]
+        return pa.table({"piece": asks.column("piece"), "seg": asks.column("seg"), "levels": pa.array(levels, pa.binary())})
+
+    asks = texts.mapInArrow(ask, "piece long, seg long, keys binary").withColumn("copy", F.pmod(F.xxhash64("piece"), F.lit(copies)))
+    copied = built.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+    return asks.groupBy("seg", "copy").cogroup(copied.groupBy("seg", "copy")).applyInArrow(answer, "piece long, seg long, levels binary")
+
+
 @dataclass
 class Model:
-    counts: CountFilter
+    counts: CountFilter | Answers | None
     total: int
     distinct: int
     frequent: np.ndarray
@@ -268,21 +318,16 @@ def fitted_weights(cell: np.ndarray, n: np.ndarray, rounds: int = 30) -> np.ndar
     return weights
 
 
-def fit(texts: DataFrame, shared: Broadcast) -> np.ndarray:
-    """The weights fitted on all of ``texts``, one scan."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for t in v.pieces(batch.column(0)):
-                cell, n = np.unique(ratio_cells(*shared.value.parts(tokens(t), less=True)), return_counts=True)
-                yield pa.record_batch([pa.array(cell), pa.array(n)], ["cell", "n"])
+def _cells(parts: tuple[np.ndarray, np.ndarray, np.ndarray], learnt: np.ndarray) -> pa.RecordBatch:
+    cell, n = np.unique(ratio_cells(*(x[learnt] for x in parts)), return_counts=True)
+    return pa.record_batch([pa.array(cell), pa.array(n)], ["cell", "n"])
 
-    rows = texts.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    return fitted_weights(rows.column("cell").to_numpy(), rows.column("n").to_numpy())
 
+def train(texts: DataFrame, space: Workspace, max_bytes: int = 512 << 20) -> tuple[Model, DataFrame, DataFrame, int]:
+    """The model of ``texts`` (text; null: empty), the table (h, c) of exact token counts, the filter and its number of segments.
 
-def train(texts: DataFrame, space: Workspace, max_bytes: int = 512 << 20) -> tuple[Model, DataFrame]:
-    """The model of ``texts`` (text; null: empty), and the table (h, c) of exact token counts."""
+    The model holds the filter if that has at most ``max_bytes``.
+    """
     vocabulary = space.stage(word_counts(texts), "words")
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     often = vocabulary.where((F.col("c") * FREQUENT >= sums["n"]) & (F.col("c") > 1)).toArrow()
@@ -290,14 +335,25 @@ def train(texts: DataFrame, space: Workspace, max_bytes: int = 512 << 20) -> tup
     order = np.argsort(h)
     # About a million tokens a segment.
     segments = 1 << int(np.clip(np.ceil(np.log2(max(1, sums["n"]) / 1e6)), 4, 16))
-    model = Model(build_filter(texts, segments, max_bytes, space), sums["n"], sums["v"], h[order], c[order])
-    return model, vocabulary
+    built = build_filter(texts, segments, space)
+    size = built.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
+    counts = gathered(built, segments) if size <= max_bytes else None
+    return Model(counts, sums["n"], sums["v"], h[order], c[order]), vocabulary, built, segments
 
 
 def _row_id(i: np.ndarray) -> np.ndarray:
     return (np.int64(TaskContext.get().partitionId()) << np.int64(36)) + i
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, v.Texts, np.ndarray]]:
+    """The pieces of the batches of a task, with the numbers of their rows."""
+    n = 0
+    for batch in batches:
+        for t in v.pieces(batch.column("text")):
+            yield batch, t, _row_id(n + np.arange(len(t)))
+            n += len(t)
+
+
 def scored(docs: DataFrame, training: Column, space: Workspace, max_bytes: int = 512 << 20) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``, beside doc_id and ``held_out``.
 
@@ -307,39 +363,65 @@ def scored(docs: DataFrame, training: Column, space: Workspace, max_bytes: int =
     unless it is a table of files.
     """
     texts = space.stored(docs.select("doc_id", "text", (~training).alias("held_out")), "documents")
-    model, vocabulary = train(texts.where(~F.col("held_out")), space, max_bytes)
+    model, vocabulary, built, segments = train(texts.where(~F.col("held_out")), space, max_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    weights = fit(texts.where(~F.col("held_out")), shared)
     log_total = float(np.log10(model.total + model.distinct + 1))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, v.Texts, np.ndarray]]:
-        n = 0
-        for batch in batches:
-            for t in v.pieces(batch.column("text")):
-                yield batch, t, _row_id(n + np.arange(len(t)))
-                n += len(t)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch, t, row in numbered(batches):
-            found = tokens(t)
-            known, c = m.exact(found.h)
-            total = lambda x: np.bincount(found.doc, weights=x, minlength=len(t))  # noqa: B023, E731
-            base = np.where(known, np.log10(c + 1) - log_total, 0.0)
-            fixed = [batch.column(x).slice(t.first, len(t)) for x in ("doc_id", "held_out")]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(row), *fixed, pa.array(v.per_doc(found.doc, len(t))), pa.array(total(known).astype(np.int64)), pa.array(total(base)), pa.array(total(m.score(found, weights)))],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+    def judged(m: Model, t: v.Texts, row: np.ndarray, doc_id: pa.Array, held: pa.Array, weights: np.ndarray | None) -> pa.RecordBatch:
+        """The scores of a piece; without ``weights`` what they are fitted on."""
+        found = tokens(t)
+        if weights is None:
+            return _cells(m.parts(found, less=True), ~held.to_numpy(zero_copy_only=False).astype(bool)[found.doc])
+        known, c = m.exact(found.h)
+        total = lambda x: np.bincount(found.doc, weights=x, minlength=len(t))
+        base = np.where(known, np.log10(c + 1) - log_total, 0.0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(row), doc_id, held, pa.array(v.per_doc(found.doc, len(t))), pa.array(total(known).astype(np.int64)), pa.array(total(base)),
+             pa.array(total(m.score(found, weights)))],
+            names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    def each_piece(rows: DataFrame, weights: np.ndarray | None, schema: str) -> DataFrame:
+        if answers is None:
+
+            def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch, t, row in _numbered(batches):
+                    yield judged(shared.value, t, row, batch.column("doc_id").slice(t.first, len(t)), batch.column("held_out").slice(t.first, len(t)), weights)
+
+            return rows.mapInArrow(near, schema)
+
+        def meet(piece: pa.Table, found: pa.Table) -> pa.Table:
+            piece, found = piece.sort_by("row").combine_chunks(), found.sort_by("seg")
+            (t,) = v.pieces(piece.column("text"), 1 << 62)
+            h = _asked(tokens(t))
+            levels = np.zeros(len(h), np.uint8)
+            levels[np.argsort(_segment_of(h, segments), kind="stable")] = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in found.column("levels")])
+            doc_id, held = (piece.column(c).combine_chunks() for c in ("doc_id", "held_out"))
+            return pa.Table.from_batches([judged(replace(shared.value, counts=Answers(h, levels)), t, piece.column("row").to_numpy(), doc_id, held, weights)])
+
+        return placed.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(meet, schema)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, t, row in _numbered(batches):
+            fixed = [batch.column(x).slice(t.first, len(t)) for x in ("doc_id", "held_out", "text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), row[0])), pa.array(row), *fixed], names=["piece", "row", "doc_id", "held_out", "text"])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for _, t, row in numbered(batches):
+        for _, t, row in _numbered(batches):
             found = tokens(t)
             other = ~m.exact(found.h)[0]
             yield pa.record_batch([pa.array(row[found.doc[other]]), pa.array(found.h[other].view(np.int64))], ["row", "h"])
 
-    first = texts.mapInArrow(score, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double")
+    answers = placed = None
+    if model.counts is None:
+        learnt = texts.where(~F.col("held_out")).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 1
+        size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 1
+        answers = space.stage(looked_up(texts, built, segments, max(1, -(-size // max(learnt, 1)))), "levels")
+        placed = texts.mapInArrow(place, f"piece long, row long, doc_id {id_type}, held_out boolean, text string")
+    cells = each_piece(texts.where(~F.col("held_out")), None, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    weights = fitted_weights(cells.column("cell").to_numpy(), cells.column("n").to_numpy())
+    first = each_piece(texts, weights, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double")
     rest = texts.mapInArrow(rare, "row long, h long").join(vocabulary, "h", "left").groupBy("row").agg(
         F.count("c").alias("rare_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1) - log_total).alias("rare_base"))
     return first.join(rest, "row", "left").select(

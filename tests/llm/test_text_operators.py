@@ -301,6 +301,15 @@ def test_weights_are_fitted_on_long_texts_too(spark, space):
     assert sum(r.score for r in found) > 0.4 * sum(r.base_score for r in found)
 
 
+def test_a_filter_too_large_to_broadcast_gives_the_same_scores(spark, space):
+    rng = random.Random(15)
+    rows = with_edges(rng, [prose(rng, rng.randrange(80)) for _ in range(120)])
+    training = ~language_model.held_out(F.col("doc_id"), 7, 2)
+    table = space.stage(docs(spark, rows).repartition(3), "same")
+    near, far = (sorted(map(repr, language_model.scored(table, training, space, b).select("doc_id", "n_tokens", "n_known", F.round("score", 6)).collect())) for b in (1 << 20, 512))
+    assert near == far
+
+
 def test_filter_returns_the_levels_it_was_given():
     rng = np.random.default_rng(1)
     keys, counts = rng.integers(0, 1 << 48, 5000, dtype=np.uint64), rng.integers(1, 3000, 5000)

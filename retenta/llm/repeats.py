@@ -12,13 +12,14 @@ hash of its string, the same everywhere, so no numbering is shared. Three ideas
 3. Only where a bucket still holds an anchor that agrees with none, its starts are refined one by one, on the
    identifiers of their whole strings, together with those of the anchors that stand for others.
 
-Each round is one shuffle of packed entries by bucket identifier, and the verdicts go back to the texts by row.
+Buckets are never gathered: entries are counted by identifier before they are shuffled, and the verdict on an identifier
+is joined to its entries, which adaptive execution splits where one has many. The verdicts go back to the texts by row.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,13 +34,11 @@ from .workspace import Workspace
 LENGTH, GRAM = 400, 300
 #: Starts of grams in a string, the window of an anchor.
 WINDOW = LENGTH - GRAM + 1
-#: Packed entries that are held before they are shuffled.
+#: Starts that are counted together before they are shuffled.
 FLUSH = 1 << 20
 #: An order of grams: the upper bits of their hash, then their place. A piece may have 2**28 bytes.
 _PLACE_BITS = 28
 UNRESOLVED, RESOLVED, STANDS = 0, 1, 2
-_ANCHOR = np.dtype([("gram", "<u8"), ("all", "<u8"), ("row", "<u8"), ("k", "<u4")])
-_START = np.dtype([("key", "<u8"), ("row", "<u8"), ("at", "<u4"), ("asks", "u1")])
 
 
 @dataclass
@@ -95,65 +94,16 @@ def _numbers(doc: np.ndarray) -> np.ndarray:
     return np.arange(len(doc)) - first
 
 
-def _packed(buckets: int, dtype: np.dtype, key: str, make: Callable[[pa.RecordBatch, v.Texts, int], np.ndarray]) -> Callable:
-    """A function of batches that sends the entries of their pieces to buckets by a hash of ``key``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, n = [], 0, 0
-
-        def report() -> pa.RecordBatch:
-            entries = np.concatenate(held)
-            bucket = (v.mix(entries[key], 52) & v.U64(buckets - 1)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            entries = entries[order]
-            at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            some = np.flatnonzero(np.diff(at))
-            return pa.record_batch([pa.array(some), pa.array([entries[at[b]:at[b + 1]].tobytes() for b in some], pa.binary())], ["bucket", "entries"])
-
-        for batch in batches:
-            for t in v.pieces(batch.column("text")):
-                held.append(make(batch, t, n))
-                size, n = size + len(held[-1]), n + len(t)
-                if size >= FLUSH:
-                    yield report()
-                    held, size = [], 0
-        if size:
-            yield report()
-
-    return run
-
-
-def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order that sorts by the keys, and of each place in it whether a new group starts there."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
-    new = np.ones(len(order), bool)
-    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    return order, new
-
-
-def _judge_anchors(rows: pa.Table) -> pa.Table:
-    """Of the anchors that share their gram: row, number and verdict."""
-    e = np.concatenate([np.frombuffer(x.as_buffer(), _ANCHOR) for x in rows.column("entries")])
-    order, new = _groups(e["gram"], e["all"])
-    e = e[order]
-    alone = new & np.append(new[1:], True)
-    gram_new = np.ones(len(e), bool)
-    gram_new[1:] = e["gram"][1:] != e["gram"][:-1]
-    gram = np.cumsum(gram_new) - 1
-    size = np.bincount(gram)
-    open_ = np.bincount(gram, weights=alone) > 0
-    verdict = np.where(alone, UNRESOLVED, np.where(new & open_[gram], STANDS, RESOLVED))
-    some = size[gram] > 1
-    return pa.table({"row": e["row"][some].astype(np.int64), "k": e["k"][some].astype(np.int32), "verdict": verdict[some].astype(np.int32)})
-
-
-def _judge_starts(rows: pa.Table) -> pa.Table:
-    """Of the starts that ask: row and place of those whose string is there again."""
-    e = np.concatenate([np.frombuffer(x.as_buffer(), _START) for x in rows.column("entries")])
-    order, new = _groups(e["key"])
-    e = e[order]
-    again = ~(new & np.append(new[1:], True)) & (e["asks"] == 1)
-    return pa.table({"row": e["row"][again].astype(np.int64), "at": e["at"][again].astype(np.int32)})
+def anchor_verdicts(entries: DataFrame, space: Workspace) -> DataFrame:
+    """row, k and verdict of the entries (gram, all, row, k) of anchors that share their gram."""
+    shared = entries.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    entries = space.stage(entries.join(shared.hint("merge"), "gram"), "shared")
+    groups = space.stage(entries.groupBy("gram", "all").agg(F.count("*").alias("n"), F.min(F.struct("row", "k")).alias("first")), "groups")
+    open_ = groups.where("n = 1").select("gram").distinct().withColumn("open", F.lit(True))
+    judged = space.stage(groups.join(open_.hint("merge"), "gram", "left"), "judged")
+    stands = F.col("open") & (F.struct("row", "k") == F.col("first"))
+    verdict = F.when(F.col("n") == 1, UNRESOLVED).when(stands, STANDS).otherwise(RESOLVED)
+    return entries.join(judged.hint("merge"), ["gram", "all"]).select("row", "k", verdict.alias("verdict"))
 
 
 def _verdicts(batch: pa.RecordBatch, t: v.Texts, a: Anchors) -> np.ndarray:
@@ -183,41 +133,67 @@ def without_repeats(docs: DataFrame, space: Workspace) -> DataFrame:
     its place, so ``docs`` is written first unless it is a table of files.
     """
     docs = space.stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "documents")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 << int(np.clip(np.ceil(np.log2(max(size, 1) / (1 << 20))), 6, 18))
 
-    def anchor_entries(batch: pa.RecordBatch, t: v.Texts, n: int) -> np.ndarray:
-        h = Hashes(t.buf)
-        a = anchors(t, h)
-        out = np.zeros(len(a.place), _ANCHOR)
-        out["gram"] = h.of(a.place, a.place + GRAM)
-        shape = ((a.place - a.first) << 8 | (a.place - a.last)).astype(v.U64)
-        out["all"] = v.mix(h.of(a.first, a.last + LENGTH) ^ v.mix(shape, 53))
-        # As monotonically_increasing_id() numbers rows.
-        out["row"], out["k"] = (TaskContext.get().partitionId() << 33) + n + a.doc, _numbers(a.doc)
-        return out
-
-    judged = docs.mapInArrow(_packed(buckets, _ANCHOR, "gram", anchor_entries), "bucket long, entries binary").groupBy("bucket").applyInArrow(
-        _judge_anchors, "row long, k int, verdict int")
+    def anchor_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            for t in v.pieces(batch.column("text")):
+                h = Hashes(t.buf)
+                a = anchors(t, h)
+                gram = h.of(a.place, a.place + GRAM)
+                shape = ((a.place - a.first) << 8 | (a.place - a.last)).astype(v.U64)
+                all_ = v.mix(h.of(a.first, a.last + LENGTH) ^ v.mix(shape, 53))
+                # As monotonically_increasing_id() numbers rows.
+                row = (TaskContext.get().partitionId() << 33) + n + a.doc
+                n += len(t)
+                yield pa.record_batch([pa.array(gram.view(np.int64)), pa.array(all_.view(np.int64)), pa.array(row), pa.array(_numbers(a.doc).astype(np.int32))], ["gram", "all", "row", "k"])
+
+    entries = space.stage(docs.mapInArrow(anchor_entries, "gram long, all long, row long, k int"), "anchors")
+    judged = anchor_verdicts(entries, space)
     by_row = judged.groupBy("row").agg(F.collect_list(F.struct("k", "verdict")).alias("anchors"))
     numbered = docs.withColumn("row", F.monotonically_increasing_id())
     active = space.stage(numbered.select("row", "text").join(by_row, "row"), "active")
 
-    def start_entries(batch: pa.RecordBatch, t: v.Texts, n: int) -> np.ndarray:
+    def starts_of(batch: pa.RecordBatch, t: v.Texts, verdicts: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the starts of anchors with these verdicts: key of the string, text, place in it, and whether it asks."""
         h = Hashes(t.buf)
         a = anchors(t, h)
         verdict = _verdicts(batch, t, a)
-        look = np.flatnonzero((verdict == UNRESOLVED) | (verdict == STANDS))
+        look = np.flatnonzero(np.isin(verdict, verdicts))
         starts, which = _ranges(a.first[look], a.last[look])
-        out = np.zeros(len(starts), _START)
-        row = batch.column("row").slice(t.first, len(t)).to_numpy()
         doc = a.doc[look][which]
-        out["key"], out["row"], out["at"] = h.of(starts, starts + LENGTH), row[doc], starts - t.offsets[doc]
-        out["asks"] = (verdict[look] == UNRESOLVED)[which]
-        return out
+        return h.of(starts, starts + LENGTH).view(np.int64), doc, starts - t.offsets[doc], (verdict[look] == UNRESOLVED)[which]
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, asks, n = [], [], 0
+
+        def report() -> pa.RecordBatch:
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            asking = np.bincount(back, weights=np.concatenate(asks)).astype(np.int64)
+            return pa.record_batch([pa.array(key), pa.array(np.bincount(back)), pa.array(asking)], ["key", "n", "asks"])
+
+        for batch in batches:
+            for t in v.pieces(batch.column("text")):
+                key, _, _, ask = starts_of(batch, t, (UNRESOLVED, STANDS))
+                keys.append(key)
+                asks.append(ask)
+                n += len(key)
+                if n >= FLUSH:
+                    yield report()
+                    keys, asks, n = [], [], 0
+        if n:
+            yield report()
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in v.pieces(batch.column("text")):
+                key, doc, at, _ = starts_of(batch, t, (UNRESOLVED,))
+                row = batch.column("row").slice(t.first, len(t)).to_numpy()
+                yield pa.record_batch([pa.array(key), pa.array(row[doc]), pa.array(at.astype(np.int32))], ["key", "row", "at"])
 
-    found = active.mapInArrow(_packed(buckets, _START, "key", start_entries), "bucket long, entries binary").groupBy("bucket").applyInArrow(
-        _judge_starts, "row long, at int").groupBy("row").agg(F.collect_list("at").alias("starts"))
+    sums = active.mapInArrow(counted, "key long, n long, asks long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("asks").alias("asks"))
+    again = space.stage(sums.where("n > 1 and asks > 0").select("key"), "again")
+    found = active.mapInArrow(asking, "key long, row long, at int").join(again.hint("merge"), "key").groupBy("row").agg(F.collect_list("at").alias("starts"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

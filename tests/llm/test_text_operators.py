@@ -182,6 +182,13 @@ def test_repeats_equal_brute_force(spark, space):
     assert repeats.without_repeats(docs(spark, []), space).count() == 0
 
 
+def test_a_hot_gram_is_judged_from_counts(spark, space):
+    rows = [(7, 1 if i % 2 else 2, i, 0) for i in range(1000)] + [(7, 100 + i, 5000 + i, 1) for i in range(3)] + [(8, 1, 1, 3), (9, 1, 4, 5), (9, 1, 4, 6)]
+    found = {(r.row, r.k): r.verdict for r in repeats.anchor_verdicts(spark.createDataFrame(rows, "gram long, all long, row long, k int"), space).collect()}
+    want = {(i, 0): repeats.STANDS if i < 2 else repeats.RESOLVED for i in range(1000)} | {(5000 + i, 1): repeats.UNRESOLVED for i in range(3)}
+    assert found == want | {(4, 5): repeats.RESOLVED, (4, 6): repeats.RESOLVED}
+
+
 # --- token files ---
 
 

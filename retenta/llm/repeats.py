@@ -1,5 +1,5 @@
-"""Removing repeated byte strings: refinement of q-gram buckets on identifiers of later offsets, in the manner of
-bucket-pointer refinement, spread over Spark tasks.
+"""Removing repeated byte strings: hashed buckets at anchors, in place of bucket-pointer refinement, which would refine
+q-gram buckets on identifiers of later offsets.
 
 A suffix array would bring all starts of equal strings of ``LENGTH`` bytes together. Here a bucket's identifier is the
 hash of its string, the same everywhere, so no numbering is shared. Three ideas keep most positions out of the sort:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, mixing, near_dedup, quality_fm, quality_rules, repeats, token_files, toxicity
+from . import chat, decontaminate, language_model, mixing, near_dedup, quality_fm, quality_rules, repeats, resampling, token_files, toxicity
 from .workspace import Workspace
 
 
@@ -59,5 +59,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_plan(table(spark, sf_dir, "documents"), Workspace(spark, "op10"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Workspace(spark, "op11"))
+
+
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_lm_scoring, op4_suffix_dedup, op5_chat_formatting, op6_quality_classifier, op7_toxicity,
-                                op8_token_files, op9_quality_rules, op10_source_mixing)}
+                                op8_token_files, op9_quality_rules, op10_source_mixing, op11_importance_resampling)}

@@ -62,4 +62,46 @@ select doc_id, size, source_size, target, (floor(rate) + (draw < rate - floor(ra
        size * (floor(rate) + (draw < rate - floor(rate))::int)::bigint as taken from rated
 """
 
-STATEMENTS = {"op2_decontamination": OP2, "op5_chat_formatting": OP5, "op10_source_mixing": OP10}
+#: crc32 of the bytes of a text, its table worked out by rule.
+CRC32 = r"""
+crc_table as (
+  select list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by n) as t
+  from (select unnest(range(0, 256)) as n)
+), texts_of_bytes as (
+  select f, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::bigint) as bytes
+  from (select f, hex(encode(f)) as h from crc_texts)
+), crc32_of as (
+  select f, xor(list_reduce(list_concat([4294967295], bytes), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) as crc
+  from texts_of_bytes, crc_table
+)"""
+
+OP11 = r"""
+with words as (
+  select side, id, row_number() over () as row, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from (select 0 as side, doc_id as id, coalesce(text, '') as text from documents union all select 1, item_id, coalesce(text, '') from benchmark)
+), features as (
+  select side, row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as f from words
+), crc_texts as (
+  select distinct f from features
+), """ + CRC32.strip() + r""", of_bucket as (
+  select crc % 10000 as bucket, count(*) filter (side = 0) as s, count(*) filter (side = 1) as t
+  from features join crc32_of using (f) group by bucket
+), gains as (
+  select bucket, floor(1000 * ln(((t + 1)::double * (sum(s) over () + 10000)::double) / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain from of_bucket
+), weights as (
+  select row, count(*) as n_features, floor(sum(gain)::double / count(*))::bigint as weight
+  from features join crc32_of using (f) join gains on bucket = crc % 10000 where side = 0 group by row
+), scored as (
+  select id as doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('7:' || coalesce(id::varchar, 'null'))[1:8])::bigint + 0.5::double) / 4294967296.0::double)))::bigint as score
+  from words left join weights using (row) where side = 0
+)
+select doc_id, n_features, weight, score,
+       case when n_words >= 20 and row_number() over (order by (n_words < 20)::int, score desc, doc_id nulls last, n_features desc)
+                 <= count(*) filter (n_words >= 20) over () * 25 // 100
+            then row_number() over (order by (n_words < 20)::int, score desc, doc_id nulls last, n_features desc) end as rank
+from scored
+"""
+
+STATEMENTS = {"op2_decontamination": OP2, "op5_chat_formatting": OP5, "op10_source_mixing": OP10, "op11_importance_resampling": OP11}

@@ -96,8 +96,9 @@ def pieces(column: pa.Array | pa.ChunkedArray, limit: int = PIECE_BYTES) -> Iter
         i = j
 
 
-def words(t: Texts) -> Words:
-    inside = ~SPACE[t.buf]
+def words(t: Texts, outside: np.ndarray = SPACE) -> Words:
+    """Runs of bytes for which ``outside`` is false."""
+    inside = ~outside[t.buf]
     if not len(inside):
         none = np.zeros(0, np.int64)
         return Words(none, none, none)

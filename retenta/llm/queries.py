@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_model, mixing, near_dedup, quality_fm, quality_rules, repeats, resampling, token_files, toxicity
+from . import chat, conversation_trie, decontaminate, language_model, mixing, near_dedup, quality_fm, quality_rules, repeats, resampling, token_files, toxicity
 from .workspace import Workspace
 
 
@@ -63,5 +63,9 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Workspace(spark, "op11"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"), Workspace(spark, "op12"), block=100, shared=6)
+
+
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_lm_scoring, op4_suffix_dedup, op5_chat_formatting, op6_quality_classifier, op7_toxicity,
-                                op8_token_files, op9_quality_rules, op10_source_mixing, op11_importance_resampling)}
+                                op8_token_files, op9_quality_rules, op10_source_mixing, op11_importance_resampling, op12_conversation_trie)}

@@ -104,4 +104,34 @@ select doc_id, n_features, weight, score,
 from scored
 """
 
-STATEMENTS = {"op2_decontamination": OP2, "op5_chat_formatting": OP5, "op10_source_mixing": OP10, "op11_importance_resampling": OP11}
+OP12 = r"""
+with ids as (
+  select distinct conv_id as c from conversations where conv_id is not null
+), crc_texts as (
+  select c::varchar as f from ids
+), """ + CRC32.strip() + r""", sequences as (
+  select conv_id as c, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, ''))
+           order by turn nulls first, coalesce(role, ''), md5(coalesce(text, ''))) as s
+  from conversations where conv_id is not null group by conv_id
+), rebuilt as (
+  select own.c, list_concat(coalesce(first.s[: crc % 6], []), own.s[crc % 6 + 1 :]) as s
+  from sequences own join crc32_of on f = own.c::varchar left join sequences first on first.c = own.c - own.c % 100
+), nodes as (
+  select d, s[: d] as path, count(*) as n_convs, min(c) as conv_id,
+         sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (len(s) = d), '')) as ends_sha256
+  from (select c, s, unnest(range(0, len(s) + 1)) as d from rebuilt) group by d, s[: d]
+), keyed as (
+  select *, md5(path::varchar) || md5(list_reverse(path)::varchar) as k,
+         case when d > 0 then md5(path[: d - 1]::varchar) || md5(list_reverse(path[: d - 1])::varchar) end as up,
+         case when d > 0 then (n_convs - 1) * length(path[d].text) else 0 end as saved
+  from nodes
+), counted as (
+  select *, (select count(*) from keyed b where b.up = a.k and b.d = a.d + 1) as n_children from keyed a
+)
+select a.conv_id, a.d as depth, p.conv_id as parent_conv_id, a.n_convs, a.n_children, a.ends_sha256, x.n_leaves, x.saved_tokens
+from counted a left join keyed p on p.k = a.up and p.d = a.d - 1
+join (select v.k, v.d, count(*) filter (m.n_children = 0) as n_leaves, sum(m.saved)::bigint as saved_tokens
+      from counted v join counted m on m.d >= v.d and m.path[: v.d] = v.path group by v.k, v.d) x on x.k = a.k and x.d = a.d
+"""
+
+STATEMENTS = {"op2_decontamination": OP2, "op5_chat_formatting": OP5, "op10_source_mixing": OP10, "op11_importance_resampling": OP11, "op12_conversation_trie": OP12}

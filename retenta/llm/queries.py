@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, conversation_trie, decontaminate, language_model, mixing, near_dedup, quality_fm, quality_rules, repeats, resampling, token_files, toxicity
+from . import chat, conversation_trie, decontaminate, language_model, mixing, near_dedup, quality_fm, quality_rules, repeats, resampling, token_files, top_k, toxicity
 from .workspace import Workspace
 
 
@@ -67,5 +67,9 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"), Workspace(spark, "op12"), block=100, shared=6)
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, Workspace(spark, "op13"))
+
+
 QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_lm_scoring, op4_suffix_dedup, op5_chat_formatting, op6_quality_classifier, op7_toxicity,
-                                op8_token_files, op9_quality_rules, op10_source_mixing, op11_importance_resampling, op12_conversation_trie)}
+                                op8_token_files, op9_quality_rules, op10_source_mixing, op11_importance_resampling, op12_conversation_trie, op13_exact_top_k)}

@@ -134,4 +134,19 @@ join (select v.k, v.d, count(*) filter (m.n_children = 0) as n_leaves, sum(m.sav
       from counted v join counted m on m.d >= v.d and m.path[: v.d] = v.path group by v.k, v.d) x on x.k = a.k and x.d = a.d
 """
 
-STATEMENTS = {"op2_decontamination": OP2, "op5_chat_formatting": OP5, "op10_source_mixing": OP10, "op11_importance_resampling": OP11, "op12_conversation_trie": OP12}
+OP13 = r"""
+with vectors as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.r, q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
+  from vectors q join vectors c on q.r <> c.r where q.vec_id % 50 = 0
+), ranked as (
+  select *, row_number() over (partition by r order by score desc, vec_id nulls last)::int as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+STATEMENTS = {"op2_decontamination": OP2, "op5_chat_formatting": OP5, "op10_source_mixing": OP10, "op11_importance_resampling": OP11, "op12_conversation_trie": OP12,
+              "op13_exact_top_k": OP13}

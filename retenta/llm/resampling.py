@@ -94,8 +94,9 @@ def resampled(docs: DataFrame, target: DataFrame, space: Workspace, percent: int
     gains = bucket_gains(bucket_counts(docs), bucket_counts(target))
     scored = weighed(docs, gains).withColumns({"score": F.col("weight") + gumbel(F.col("doc_id"), seed), "short": (F.col("n_words") < least_words).cast("int")})
     order = ["short", F.desc("score"), F.asc_nulls_last("doc_id"), F.desc("n_features")]
-    placed = numbered(scored, [], order, space, "scored", "place")
-    drawn = space.spark.read.parquet(f"{space.folder}/scored").where("short = 0").count() * percent // 100
+    scored = space.stage(scored, "scored")  # dealing by ranges looks at its input twice
+    drawn = scored.where("short = 0").count() * percent // 100
+    placed = numbered(scored, [], order, space, "dealt", "place")
     rank = F.when((F.col("short") == 0) & (F.col("place") <= drawn), F.col("place"))
     return placed.select("doc_id", "n_features", "weight", "score", rank.alias("rank"))
 

@@ -52,6 +52,13 @@ class Period:
         start = _first_of_month(year, month - months)
         return cls(start, _first_of_month(year, month), label or f"{months}M to {year:04d}-{month:02d}")
 
+    def months(self) -> list[Period]:
+        """The calendar months of a period of whole months."""
+        if self.start.day != 1 or self.end_exclusive.day != 1:
+            raise ValueError(f"{self.label} does not hold whole months")
+        first, last = (12 * day.year + day.month - 1 for day in (self.start, self.end_exclusive))
+        return [Period.month(i // 12, i % 12 + 1) for i in range(first, last)]
+
     @property
     def last_day(self) -> date:
         return self.end_exclusive - timedelta(days=1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,38 +31,51 @@ def _after(day: Column, month: Period) -> Column:
     return day.isNull() | (day >= F.lit(month.end_exclusive))
 
 
-def _eligible(month: Period, vocab: Vocabulary) -> Column:
-    """What all four flags ask of a pledge and its donor."""
+def recurring(vocab: Vocabulary) -> Column:
+    """What all four flags ask of a pledge in any month."""
     return (
-        _after(F.col("all_end_date_contact_level"), month)
-        & F.col("campaign_id").isNotNull()
-        & _after(F.to_date("cancel_cal_date", "yyyy-MM-dd"), month)
+        F.col("campaign_id").isNotNull()
         & F.col("payment_method").isin(*vocab.recurring_methods)
         & F.col("start_month").isNotNull()
-        & _after(first_of_month_text(F.col("end_month")), month)
         & F.col("oneoff_check").isNull()
     )
 
 
+def ends() -> list[Column]:
+    """The dates of which each, where there is one, must lie in a later month than the review month."""
+    return [F.col("all_end_date_contact_level"), F.to_date("cancel_cal_date", "yyyy-MM-dd"), first_of_month_text(F.col("end_month"))]
+
+
+def signing_kinds() -> dict[str, Column]:
+    """What a pledge counts as in the month it is signed, apart from what ``recurring`` and ``ends`` ask."""
+    site, existing = F.col("new_site_code_acq"), F.col("acq_gb") == "Existing"
+    return {
+        "new_donor": ~site.isin(REACTIVATION_SITE, CONVERSION_SITE) & F.col("acquiring"),
+        "reactivation": existing & (site == REACTIVATION_SITE),
+        "conversion": existing & (site == CONVERSION_SITE),
+    }
+
+
+def _eligible(month: Period, vocab: Vocabulary) -> Column:
+    """What all four flags ask of a pledge and its donor."""
+    return reduce(lambda a, b: a & b, [recurring(vocab), *[_after(day, month) for day in ends()]])
+
+
 def donor_flags(base: DataFrame, month: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Active, new, reactivation and conversion flags of classified pledges in the review month.
 
     Needs ``all_end_date_contact_level`` and ``acquiring``, which classified pledges carry, so neither
     contacts nor channels are joined again.
     """
-    site, acquiring = F.col("new_site_code_acq"), F.col("acquiring")
     signed = F.col("commitment_date")
     in_month = month.holds(signed)
-    existing = F.col("acq_gb") == "Existing"
     eligible = F.col("_eligible")
     return (
         base.withColumn("_eligible", _eligible(month, vocab))
         .withColumns({
             "commitment_month": month_start(signed),
-            "active_donor": _y_if(eligible & (signed.isNull() | (signed < F.lit(month.end_exclusive))) & acquiring),
-            "new_donor": _y_if(eligible & in_month & ~site.isin(REACTIVATION_SITE, CONVERSION_SITE) & acquiring),
-            "reactivation": _y_if(eligible & in_month & existing & (site == REACTIVATION_SITE)),
-            "conversion": _y_if(eligible & in_month & existing & (site == CONVERSION_SITE)),
+            "active_donor": _y_if(eligible & (signed.isNull() | (signed < F.lit(month.end_exclusive))) & F.col("acquiring")),
+            **{name: _y_if(eligible & in_month & kind) for name, kind in signing_kinds().items()},
             "review_month": F.lit(month.start),
         })
         .drop("_eligible", "acquiring")
@@ -69,10 +83,14 @@ def donor_flags(base: DataFrame, month: Period, vocab: Vocabulary = DEFAULT_VOCA
 
 
 def cancelled_contacts(contacts: DataFrame, month: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
-    """Donors who cancelled in the month themselves, paid by a recurring method and are not test entries."""
+    """Donors who cancelled in the month themselves, paid by a recurring method and are not test entries.
+
+    Of a period of several months: those who count in any one of them. Everything must have ended in the month of the
+    cancellation.
+    """
     return contacts.filter(
         month.holds(F.col("cancel_date"))
-        & (F.col("all_end_date") < F.lit(month.end_exclusive))
+        & (F.col("all_end_date") < F.add_months(month_start(F.col("cancel_date")), 1))
         & (F.col("cancel_route") != OFFICE_ROUTE)
         & F.col("payment_method").isin(*vocab.recurring_methods)
         & ~matches_any(F.col("name"), vocab.cancelled_excluded_names)
@@ -164,6 +182,11 @@ def _count_by_dimension(flags: DataFrame, who: str, counts: dict[str, str], voca
     raw = flags.groupBy("review_month", "new_site_code_acq", "channel_gb", "channel").agg(
         *[F.count(F.when(F.col(flag) == "y", F.col(who))).alias(name) for name, flag in counts.items()]
     )
+    return labelled_counts(raw, counts, vocab)
+
+
+def labelled_counts(raw: DataFrame, counts: Iterable[str], vocab: Vocabulary) -> DataFrame:
+    """Counts by review month and channel, added up by the labels of the report."""
     return (
         raw.select(
             "review_month",

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from .operators import RunFolder, require_unique
 from .period import Period
-from .plans import commitments, lists, monthly, oo_profile, retention, rg_profile
+from .plans import commitments, history, lists, monthly, oo_profile, retention, rg_profile
 from .sources import LOOKUP_KEYS, REPORTS, Sources, append_period, create_or_replace, read_report, rewrite_without
 from .vocab import DEFAULT_VOCABULARY, Vocabulary
 
@@ -89,6 +89,15 @@ def run_month(sources: Sources, month: Period, out: str, vocab: Vocabulary = DEF
         _store(new, "new_donor", out, month.label)
 
 
+def run_history(sources: Sources, span: Period, out: str, vocab: Vocabulary = DEFAULT_VOCABULARY) -> None:
+    """The retention report of every month of ``span``, from one reading of the pledges; replaces each month's stored report."""
+    check_lookups(sources, "channel_gb", "contacts")
+    with _run_folder(sources, out) as stage:
+        found = stage(history.retention_history(sources["pledges"], sources["contacts"], sources["channel_gb"], span, vocab))
+        for month in span.months():
+            _store(found.filter(month.holds(found["month_first"])), "retention_report", out, month.label)
+
+
 def run_month_counts(sources: Sources, month: Period, out: str, vocab: Vocabulary = DEFAULT_VOCABULARY) -> None:
     """Store the month's counts and small lists, the data checks and the flag cross-tab, a table each."""
     check_lookups(sources, "channel_gb", "contacts")

@@ -13,3 +13,4 @@ TRAILING = Period.trailing(1998, 6)
 LEDGER_MONTH = Period.month(2024, 1)
 AS_OF = date(1998, 7, 1)
 LOADED_AT = datetime(1998, 7, 1, 6, 0, 0)
+HISTORY = Period.trailing(1998, 12, 24)

@@ -14,6 +14,7 @@ from retenta.functions import (
 )
 from retenta.operators import RunFolder, duplicate_keys, follow_merges
 from retenta.plans import commitments as com
+from retenta.plans import history
 from retenta.plans import lists
 from retenta.plans import monthly as mon
 from retenta.plans import oo_profile as oo
@@ -148,6 +149,11 @@ def donor_retention_summary_filled(t):
     return ret.donor_retention_summary(t["pledges"], t["contacts"], t["channel_gb"], p.MONTH, coalesce_period=True)
 
 
+@_job
+def retention_history(t):
+    return history.retention_history(t["pledges"], t["contacts"], t["channel_gb"], p.HISTORY)
+
+
 @_job
 def flag_crosstab(t):
     return ret.flag_crosstab(_flags(t), ret.lapsed_flags(_lapsed(t), p.MONTH))

@@ -42,6 +42,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--redraw", action="store_true", help="quarter: draw the new donors afresh")
     parser.add_argument("--through-chains", action="store_true", help="quarter: follow merged numbers over several merges")
     parser.add_argument("--loaded-at", type=datetime.fromisoformat, help="view: the load stamp, else midnight of the day")
+    parser.add_argument("--gift-months", help="view: read only the gifts of these months (2026-05,2026-06) and stored states, or ``all`` to begin with")
     args = parser.parse_args(argv)
     builder = SparkSession.builder.appName(f"retenta {args.cadence} {args.period}")
     running = SparkSession.getActiveSession()
@@ -53,7 +54,11 @@ def main(argv: list[str] | None = None) -> None:
     if args.cadence == "view":
         day = date.fromisoformat(args.period)
         stamp = args.loaded_at or datetime.combine(day, datetime.min.time())
-        workflows.refresh_commitment_view(sources, args.out, day, stamp)
+        if args.gift_months:
+            months = None if args.gift_months == "all" else [_period("month", m) for m in args.gift_months.split(",")]
+            workflows.refresh_commitment_view_by_months(sources, args.out, day, stamp, months)
+        else:
+            workflows.refresh_commitment_view(sources, args.out, day, stamp)
         return
     period = _period(args.cadence, args.period)
     if args.cadence == "month":

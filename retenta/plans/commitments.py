@@ -78,17 +78,30 @@ def gift_extremes(transactions: DataFrame) -> DataFrame:
 
     Ranked by (date, id); a missing date comes first. Gifts without a pledge can match none.
     """
+    return extremes_of(gift_state(transactions))
+
+
+def gift_state(transactions: DataFrame, *by: str) -> DataFrame:
+    """First and last gift of each pledge (date, id and amount), and of each value of ``by``.
+
+    ``merged`` adds up the states of several sets of gifts.
+    """
     gift = F.struct("send_date", "tran_uid", "tran_amount")
-    return (
-        transactions.filter(F.col("pledge_uid").isNotNull())
-        .groupBy("pledge_uid")
-        .agg(F.min(gift).alias("_first"), F.max(gift).alias("_last"))
-        .select(
-            "pledge_uid",
-            F.col("_first.tran_amount").alias("original_commitment_amount"),
-            F.col("_last.tran_amount").alias("commitment_amount"),
-            F.col("_last.send_date").alias("last_gift_date"),
-        )
+    given = transactions.filter(F.col("pledge_uid").isNotNull())
+    return given.groupBy("pledge_uid", *by).agg(F.min(gift).alias("first_gift"), F.max(gift).alias("last_gift"))
+
+
+def merged(states: DataFrame, *by: str) -> DataFrame:
+    """One state per pledge from several; in any order and grouping the result is the state of all their gifts."""
+    return states.groupBy("pledge_uid", *by).agg(F.min("first_gift").alias("first_gift"), F.max("last_gift").alias("last_gift"))
+
+
+def extremes_of(state: DataFrame) -> DataFrame:
+    return state.select(
+        "pledge_uid",
+        F.col("first_gift.tran_amount").alias("original_commitment_amount"),
+        F.col("last_gift.tran_amount").alias("commitment_amount"),
+        F.col("last_gift.send_date").alias("last_gift_date"),
     )
 
 
@@ -114,7 +127,14 @@ def commitment_view(
 
     ``as_of`` stands for today and ``loaded_at`` stamps the load, so a run can be repeated exactly.
     """
-    gifts = gift_extremes(transactions).withColumnRenamed("pledge_uid", "_pledge")
+    return commitment_view_of(pledges, gift_extremes(transactions), contacts, campaigns, as_of, loaded_at)
+
+
+def commitment_view_of(
+    pledges: DataFrame, extremes: DataFrame, contacts: DataFrame, campaigns: DataFrame, as_of: date, loaded_at: datetime
+) -> DataFrame:
+    """The commitment view from each pledge's first and last gift, wherever they stem from."""
+    gifts = extremes.withColumnRenamed("pledge_uid", "_pledge")
     core = with_lookup(commitment_core(pledges, contacts), campaigns, "campaign_id", "campaign_raw", ["campaign"])
     joined = core.join(gifts, F.col("commitment_id") == F.col("_pledge"), "left")
     return joined.select(

@@ -1,16 +1,20 @@
 """Report tables: parquet, one partition per reported period.
 
 A period is written by replacing its own partition, so running a month twice leaves one copy and the
-other months are untouched.
+other months are untouched. New rows are written beside the old ones and take their place when they are complete, so a
+run that fails leaves the old ones.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-PARTITION = "report_period"
+PARTITION, REMOVAL = "report_period", "removal"
+_ALL = (1 << 64) - 1
 
 
 def typed(df: DataFrame, schema: StructType) -> DataFrame:
@@ -22,14 +26,43 @@ def _stored(schema: StructType) -> StructType:
     return StructType([*schema.fields, StructField(PARTITION, StringType())])
 
 
+def replace_folder(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """Write ``df`` to ``path`` in place of what stands there, once it is complete.
+
+    It is written to a folder beside ``path`` whose name readers skip. A reader that comes between the removal of the old
+    folder and the renaming of the new one finds neither; one that fails to write changes nothing.
+    """
+    parent, _, name = path.rstrip("/").rpartition("/")
+    beside = f"{parent}/_new-{uuid.uuid4().hex}"
+    fs, place = _hadoop(df.sparkSession, path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    try:
+        writer.parquet(f"{beside}/{name}")
+        fs.delete(place(path), True)
+        fs.mkdirs(place(parent))
+        if not fs.rename(place(f"{beside}/{name}"), place(path)):
+            raise OSError(f"{path} could not be replaced; the new rows are in {beside}/{name}")
+    except Exception:
+        if fs.exists(place(path)):
+            fs.delete(place(beside), True)
+        raise
+    fs.delete(place(beside), True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of ``path``, and how it names places."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return place(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def create_or_replace(df: DataFrame, path: str) -> None:
     """The whole table anew from a query result."""
-    df.write.mode("overwrite").parquet(path)
+    replace_folder(df, path)
 
 
 def append_period(df: DataFrame, schema: StructType, path: str, period: str) -> None:
     """Add one period's rows; a re-run replaces that period only, also by no rows at all."""
-    typed(df, schema).write.mode("overwrite").parquet(f"{path}/{PARTITION}={period}")
+    replace_folder(typed(df, schema), f"{path}/{PARTITION}={period}")
 
 
 def read_report(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
@@ -42,12 +75,16 @@ def rewrite_without(
 ) -> None:
     """Replace a period by its kept rows and add the removed rows to those kept for review.
 
-    ``kept`` must not be read from ``path`` lazily while that partition is replaced, so both halves are
-    written to the audit place first and the partition is rewritten from there. Removed rows are only ever added: a
-    second run, which finds none, leaves the earlier ones.
+    ``kept`` may be read from that period: both halves are written to the audit place first, and the period is rewritten
+    from there. Removed rows stand in a folder named after their number and content, so a run that is repeated, after a
+    failure or over a profile made anew, leaves them once; one that finds none leaves the earlier ones.
     """
     spark = kept.sparkSession
     kept_path, removed_path = f"{audit_path}/kept/{period}", f"{audit_path}/removed/{period}"
-    typed(removed, schema).write.mode("append").parquet(removed_path)
-    create_or_replace(typed(kept, schema), kept_path)
+    gone = typed(removed, schema)
+    rows = F.xxhash64(*gone.columns)
+    n, low, high = gone.agg(F.count(F.lit(1)), F.bit_xor(rows), F.bit_xor(F.xxhash64(rows, F.lit(1)))).first()
+    if n:
+        replace_folder(gone, f"{removed_path}/{REMOVAL}={n}-{(low or 0) & _ALL:016x}{(high or 0) & _ALL:016x}")
+    replace_folder(typed(kept, schema), kept_path)
     append_period(spark.read.schema(schema).parquet(kept_path), schema, path, period)

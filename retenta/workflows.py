@@ -15,6 +15,7 @@ from .operators import RunFolder, require_unique
 from .period import Period
 from .plans import commitments, history, lists, monthly, oo_profile, retention, rg_profile
 from .sources import LOOKUP_KEYS, REPORTS, Sources, append_period, create_or_replace, read_report, rewrite_without
+from .sources.gift_states import GiftStates
 from .vocab import DEFAULT_VOCABULARY, Vocabulary
 
 # Settings a cluster session should carry. Adaptive execution splits skewed joins and turns a join into a
@@ -77,6 +78,21 @@ def refresh_commitment_view(sources: Sources, out: str, as_of: date, loaded_at:
     create_or_replace(view, f"{out}/commitment_view")
 
 
+def refresh_commitment_view_by_months(
+    sources: Sources, out: str, as_of: date, loaded_at: datetime, months: Sequence[Period] | None
+) -> None:
+    """Replace the stored commitment view, reading of the gifts only ``months`` (None: all of them, to begin with)."""
+    check_lookups(sources, "campaigns", "contacts")
+    states, gifts = GiftStates(sources.spark, f"{out}/gift_states"), sources["transactions"]
+    if months is None:
+        states.build(gifts)
+    else:
+        states.refresh(gifts, months)
+    extremes = commitments.extremes_of(states.state(gifts))
+    view = commitments.commitment_view_of(sources["pledges"], extremes, sources["contacts"], sources["campaigns"], as_of, loaded_at)
+    create_or_replace(view, f"{out}/commitment_view")
+
+
 def run_month(sources: Sources, month: Period, out: str, vocab: Vocabulary = DEFAULT_VOCABULARY) -> None:
     """The retention report and the month's new-donor list."""
     check_lookups(sources, "channel_gb", "contacts", "transactions")

@@ -1,6 +1,7 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from retenta.operators import duplicate_keys, require_unique
 from retenta.operators.quality import DuplicateKeys
@@ -114,3 +115,30 @@ def test_removed_rows_outlive_a_second_run_and_all_rows_can_go(spark, tmp_path):
         rewrite_without(stored.filter("donor_no > 2"), stored.filter("donor_no <= 2"), NEW, path, "2605", audit)
         assert read_report(spark, NEW, path).count() == 0
         assert sorted(r.donor_no for r in spark.read.parquet(audit + "/removed/2605").collect()) == [1, 2]
+
+
+def test_a_run_that_fails_leaves_the_old_rows(spark, tmp_path):
+    path = str(tmp_path / "new")
+    append_period(new_donors(spark, (1, date(2026, 5, 1))), NEW, path, "2605")
+    broken = new_donors(spark, (2, date(2026, 5, 1))).withColumn("donor_no", F.raise_error(F.lit("no")).cast("bigint"))
+    with pytest.raises(Exception, match="no"):
+        append_period(broken, NEW, path, "2605")
+    assert [r.donor_no for r in read_report(spark, NEW, path).collect()] == [1]
+    assert not [f for f in (tmp_path / "new").iterdir() if f.name.startswith("_new")]
+
+
+def test_a_period_may_be_rewritten_from_itself(spark, tmp_path):
+    path = str(tmp_path / "new")
+    append_period(new_donors(spark, (1, date(2026, 5, 1)), (2, date(2026, 5, 2))), NEW, path, "2605")
+    stored = read_report(spark, NEW, path).filter("report_period = '2605'")
+    append_period(stored.filter("donor_no = 2"), NEW, path, "2605")
+    assert [r.donor_no for r in read_report(spark, NEW, path).collect()] == [2]
+
+
+def test_rows_removed_again_stand_once_in_the_audit_copy(spark, tmp_path):
+    path, audit = str(tmp_path / "new"), str(tmp_path / "audit")
+    for _ in range(2):  # the year is run anew, with the bad rows in it again
+        append_period(new_donors(spark, (1, date(2026, 5, 1)), (2, date(2026, 5, 1)), (2, date(2026, 5, 1))), NEW, path, "2605")
+        stored = read_report(spark, NEW, path).filter("report_period = '2605'")
+        rewrite_without(stored.filter("donor_no = 1"), stored.filter("donor_no = 2"), NEW, path, "2605", audit)
+    assert [r.donor_no for r in spark.read.parquet(audit + "/removed/2605").collect()] == [2, 2]

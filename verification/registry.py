@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
+from retenta import Period
 from retenta.functions import (
     band, channel_key, first_of_month_text, month_diff, month_start, part_from_right, rank_map, whole_number,
     whole_years_between, zip_class,
@@ -22,6 +23,7 @@ from retenta.plans import retention as ret
 from retenta.plans import rg_profile as rg
 from retenta.plans.profiles import region_columns
 from retenta.sources import REPORTS
+from retenta.sources.gift_states import GiftStates
 from retenta.vocab import (
     AGE_ORDER, CROSS_SELL_BANDS, NO_DATA, OO_AGE_BANDS, OO_VALUE_BANDS, OO_VALUE_ORDER, RG_GIFT_BANDS, TENURE_QUARTER_BANDS,
 )
@@ -79,6 +81,18 @@ def commitment_view(t):
     )
 
 
+@_job
+def commitment_view_by_months(t):
+    """The view from stored states: built while a month's gifts had not come and another's were wrong, then refreshed."""
+    gifts, wrong = t["transactions"], Period.month(1998, 5)
+    early = gifts.filter(~F.coalesce(p.MONTH.holds(F.col("send_date")), F.lit(False))).withColumn(
+        "tran_amount", F.when(wrong.holds(F.col("send_date")), F.lit(1).cast("decimal(18,2)")).otherwise(F.col("tran_amount")))
+    states = GiftStates(gifts.sparkSession, _stage(t).path)
+    states.build(early)
+    states.refresh(gifts, [p.MONTH, wrong])
+    return com.commitment_view_of(t["pledges"], com.extremes_of(states.state(gifts)), t["contacts"], t["campaigns"], p.AS_OF, p.LOADED_AT)
+
+
 def _classified(t):
     return com.classified_pledges(com.commitment_core(t["pledges"], t["contacts"]), t["channel_gb"])
 

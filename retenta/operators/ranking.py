@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import Stage, as_is
+from .ranges import RANGE, dealt, in_range, with_earlier
+from .staging import Stage
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -22,24 +23,18 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return df.withColumn(spot, F.row_number().over(window)).filter(F.col(spot) == 1).drop(spot)
 
 
-def ordinal(df: DataFrame, key: str, coarse: Sequence[str], tie: str, name: str, stage: Stage = as_is) -> DataFrame:
+def ordinal(df: DataFrame, key: str, coarse: Sequence[str], tie: str, name: str, stage: Stage) -> DataFrame:
     """Number the rows of each key by ``coarse`` columns, then the unique ``tie``, from 1. NULL keys are one key.
 
-    A plain window would sort all rows of one key in one task. Here the rows are dealt by ranges of (key, coarse
-    columns, tie), so a key with many rows spans several ranges; they are numbered within (range, key), and the
-    key's rows in earlier ranges are added, of which only counts meet. ``stage`` stores the dealt rows, so that they
-    are worked out once; without it they are worked out twice.
+    A plain window would sort all rows of one key in one task. Here only key, order and id are dealt by ranges, and
+    numbered within (range, key); the numbers of the key's earlier ranges are added, and the number meets its row by the
+    id. ``stage`` stores these few columns, before and after they are dealt; the rows themselves are worked out once more,
+    which must give the same ids.
     """
-    part = "_range"
-    dealt = stage(df.repartitionByRange(key, *coarse, tie).withColumn(part, F.spark_partition_id()))
-    before = Window.partitionBy("_of").orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = (
-        dealt.groupBy(F.col(key).alias("_of"), F.col(part).alias("_in"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_of", "_in", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_earlier"))
-    )
-    within = Window.partitionBy(part, key).orderBy(*coarse, tie)
-    number = (F.col("_place") + F.col("_earlier")).cast("bigint").alias(name)
-    placed = dealt.withColumn("_place", F.row_number().over(within))
-    same = (F.col(part) == F.col("_in")) & F.col(key).eqNullSafe(F.col("_of"))
-    return placed.join(earlier, same).select(*df.columns, number)
+    order = [*coarse, tie]
+    ids = dealt(stage(df.select(key, *order)), [key], order, stage)
+    counts = ids.groupBy(key, RANGE).agg(F.count(F.lit(1)).alias("_rows"))
+    placed = ids.withColumn("_place", F.row_number().over(in_range([key], order)))
+    placed = with_earlier(placed, counts, [key], {"_earlier": F.sum("_rows")})
+    number = (F.col("_place") + F.coalesce("_earlier", F.lit(0))).cast("bigint").alias(name)
+    return df.join(placed.select(F.col(tie).alias("_tie"), number), F.col(tie).eqNullSafe(F.col("_tie"))).select(*df.columns, name)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import channel_key, classify, matches_any, one_of_like
-from ..operators import Stage, as_is, ordinal, with_lookup
+from ..operators import Stage, ordinal, with_lookup
 from ..period import Period
 from ..vocab import (
     CHECK_EXCLUDED_NAMES, DEFAULT_VOCABULARY, NON_ACQUIRING_CHANNEL_PATTERNS, NON_ACQUIRING_CHANNELS, ONE_OFF, PLEDGE_STATUS,
@@ -199,7 +199,7 @@ def classified_pledges(
 
 
 def pledge_base(
-    commitments: DataFrame, channels: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, stage: Stage = as_is
+    commitments: DataFrame, channels: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, *, stage: Stage
 ) -> DataFrame:
     """The classified pledges with each donor's pledge number, in the base table's columns."""
     numbered = ordinal(

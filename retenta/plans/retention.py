@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import band, channel_key, classify, first_of_month_text, matches_any, month_diff, month_start
 from ..functions import one_of_like
-from ..operators import Stage, as_is, first_per_key, ordinal, with_lookup
+from ..operators import Stage, first_per_key, ordinal, with_lookup
 from ..period import Period
 from ..vocab import (
     CONVERSION_SITE, DEFAULT_VOCABULARY, LAPSED_EXCLUDED_CAMPAIGNS, OFFICE_ROUTE, OVERDUE_REASON, REACTIVATION_SITE,
@@ -135,11 +135,11 @@ def _with_cancellation(counted: DataFrame, cancelled: DataFrame, vocab: Vocabula
 
 
 def cancelled_pledges(
-    pledges: DataFrame, cancelled: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, stage: Stage = as_is
+    pledges: DataFrame, cancelled: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, *, stage: Stage
 ) -> DataFrame:
     """All counted pledges of the cancelled donors, numbered per donor, with tenure and route labels."""
     rows = _with_cancellation(_counted_pledges(pledges), cancelled, vocab)
-    numbered = ordinal(rows, "donor_no", ["submit_date", "start_month"], "pledge_uid", "pledge_nm", stage)
+    numbered = ordinal(stage(rows), "donor_no", ["submit_date", "start_month"], "pledge_uid", "pledge_nm", stage)
     return numbered.select(*CANCELLED_COLUMNS)
 
 

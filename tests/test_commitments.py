@@ -4,6 +4,7 @@ from decimal import Decimal
 import pytest
 
 from retenta import Period
+from retenta.operators import RunFolder
 from retenta.plans import commitments as com
 
 JUNE = Period.month(2026, 6)
@@ -99,7 +100,7 @@ def test_pledge_numbers_with_ties_and_missing_values(table):
         {"pledge_uid": 10 - i, "donor_no": 1, "submit_date": d, "start_month": m} for i, (d, m) in enumerate(zip(days, months))
     ], {"pledge_uid": 99, "donor_no": 2, "submit_date": days[0]})
     contacts = table("contacts", {"donor_no": 1, "name": "kim"}, {"donor_no": 2, "name": "lee"})
-    base = com.pledge_base(com.commitment_core(pledges, contacts), table("channel_gb"))
+    base = com.pledge_base(com.commitment_core(pledges, contacts), table("channel_gb"), stage=RunFolder.of_session(pledges.sparkSession))
     assert {r.commitment_id: r.pledge_nm for r in base.collect()} == {9: 1, 8: 2, 7: 3, 6: 4, 10: 5, 99: 1}
 
 
@@ -109,6 +110,6 @@ def test_base_drops_test_and_nameless_donors_and_uses_existing_channel(table):
     contacts = table("contacts", {"donor_no": 1, "name": "kim"}, {"donor_no": 2, "name": "TEST kim"}, {"donor_no": 3})
     channels = table("channel_gb", {"channel_t": "ab", "acq_gb": "Acquisition", "channel_excl_upgrade": "no"},
                      {"channel_t": "ab", "acq_gb": "Existing", "channel_excl_upgrade": "yes"})
-    rows = com.pledge_base(com.commitment_core(pledges, contacts), channels).collect()
+    rows = com.pledge_base(com.commitment_core(pledges, contacts), channels, stage=RunFolder.of_session(pledges.sparkSession)).collect()
     assert [(r.commitment_id, r.channel, r.cancel_status) for r in rows] == [(1, "yes", "Y")]
     assert rows[0].asDict().keys() == set(com.PLEDGE_BASE_COLUMNS)

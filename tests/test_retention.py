@@ -3,6 +3,7 @@ from datetime import date
 import pytest
 
 from retenta import Period
+from retenta.operators import RunFolder
 from retenta.plans import commitments as com
 from retenta.plans import retention as ret
 
@@ -81,7 +82,8 @@ def test_cancelled_pledges_numbers_and_bands(table):
         {"pledge_uid": 5, "donor_no": 2, "campaign_raw": "a/b"}, {"pledge_uid": 6, "donor_no": 3, "campaign_raw": "a/b"},
     )
     frame = ret.cancelled_pledges(
-        pledges, cancelled(table, {"donor_no": 1}, {"donor_no": 2, "cancel_reason": "장기미납 3M"}, {"donor_no": 3, "cancel_reason": None})
+        pledges, cancelled(table, {"donor_no": 1}, {"donor_no": 2, "cancel_reason": "장기미납 3M"}, {"donor_no": 3, "cancel_reason": None}),
+        stage=RunFolder.of_session(pledges.sparkSession),
     )
     rows = sorted(frame.collect(), key=lambda r: r.pledge_nm)
     assert [(r.channel_t, r.pledge_nm, r.lifetime, r.cancel_month, r.ltm_band, r.lty_band) for r in rows] == [

@@ -15,7 +15,7 @@ from retenta.functions import (
 )
 from retenta.operators import RunFolder, duplicate_keys, follow_merges
 from retenta.plans import commitments as com
-from retenta.plans import history
+from retenta.plans import gift_gaps, history
 from retenta.plans import lists
 from retenta.plans import monthly as mon
 from retenta.plans import oo_profile as oo
@@ -363,6 +363,11 @@ def prior_gift_gap(t):
     return oo.prior_gift_gap(t["ltv_gifts"], p.YEAR)
 
 
+@_job
+def prior_gift_of_every_gift(t):
+    return gift_gaps.prior_gift_of_every_gift(t["transactions"], _stage(t))
+
+
 @_job
 def cross_sell(t):
     return oo.cross_sell(t["ltv_gifts"], p.YEAR)

@@ -1,5 +1,6 @@
 """``python -m retenta month 2026-06 places.json OUT``; also ``counts 2026-06``, ``quarter 2026Q2``, ``year 2025``,
-``history 2025-01:2026-06`` (the retention report of each of these months), ``view 2026-06-30`` (the commitment view as of a day) and ``outliers 2025`` (known bad rows out of a stored profile).
+``history 2025-01:2026-06`` (the retention report of each of these months), ``rollup 2025-01:2025-12`` (distinct one-off donors
+from what the months' ``counts`` have stored), ``view 2026-06-30`` (the commitment view as of a day) and ``outliers 2025`` (known bad rows out of a stored profile).
 
 ``places.json`` maps table names to parquet paths or to mappings with a format, see ``Sources``.
 """
@@ -23,7 +24,7 @@ def _period(kind: str, text: str) -> Period:
     if kind in ("month", "counts"):
         year, month = text.split("-")
         return Period.month(int(year), int(month))
-    if kind == "history":
+    if kind in ("history", "rollup"):
         first, last = (_period("month", month) for month in text.split(":"))
         return Period(first.start, last.end_exclusive, text)
     if kind == "quarter":
@@ -34,7 +35,7 @@ def _period(kind: str, text: str) -> Period:
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="retenta", description=__doc__)
-    parser.add_argument("cadence", choices=("month", "history", "counts", "quarter", "year", "view", "outliers"))
+    parser.add_argument("cadence", choices=("month", "history", "rollup", "counts", "quarter", "year", "view", "outliers"))
     parser.add_argument("period")
     parser.add_argument("places", type=Path)
     parser.add_argument("out")
@@ -65,6 +66,8 @@ def main(argv: list[str] | None = None) -> None:
         workflows.run_month(sources, period, args.out, vocab)
     elif args.cadence == "history":
         workflows.run_history(sources, period, args.out, vocab)
+    elif args.cadence == "rollup":
+        workflows.run_oneoff_rollup(sources, period, args.out)
     elif args.cadence == "quarter":
         workflows.run_quarter(sources, period, args.out, args.redraw, args.through_chains)
     elif args.cadence == "counts":

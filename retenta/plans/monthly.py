@@ -14,7 +14,7 @@ from .retention import cancelled_contacts, lapsed_donors
 _OTHER_ROUTE = "Bank"
 
 
-def _oneoff_gifts(transactions: DataFrame, month: Period) -> DataFrame:
+def oneoff_gifts(transactions: DataFrame, month: Period) -> DataFrame:
     return transactions.filter(
         (F.col("payment_type") == ONE_OFF) & (F.col("pledge_active") == "N") & month.holds(F.col("send_date"))
     )
@@ -22,13 +22,13 @@ def _oneoff_gifts(transactions: DataFrame, month: Period) -> DataFrame:
 
 def oneoff_headcount(transactions: DataFrame, month: Period) -> DataFrame:
     """Distinct one-off donors of the month."""
-    return _oneoff_gifts(transactions, month).agg(F.countDistinct("donor_no").alias("oo_donor"))
+    return oneoff_gifts(transactions, month).agg(F.countDistinct("donor_no").alias("oo_donor"))
 
 
 def oneoff_by_section(transactions: DataFrame, month: Period) -> DataFrame:
     """The same per donation section, largest first."""
     return (
-        _oneoff_gifts(transactions, month)
+        oneoff_gifts(transactions, month)
         .groupBy("donation_section")
         .agg(F.countDistinct("donor_no").alias("oo_donor"))
         .orderBy(F.desc("oo_donor"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from .operators import RunFolder, require_unique
 from .period import Period
-from .plans import commitments, history, lists, monthly, oo_profile, retention, rg_profile
+from .plans import commitments, distinct_rollup, history, lists, monthly, oo_profile, retention, rg_profile
 from .sources import LOOKUP_KEYS, REPORTS, Sources, append_period, create_or_replace, read_report, rewrite_without
 from .sources.gift_states import GiftStates
 from .vocab import DEFAULT_VOCABULARY, Vocabulary
@@ -117,10 +117,17 @@ def run_history(sources: Sources, span: Period, out: str, vocab: Vocabulary = DE
 def run_month_counts(sources: Sources, month: Period, out: str, vocab: Vocabulary = DEFAULT_VOCABULARY) -> None:
     """Store the month's counts and small lists, the data checks and the flag cross-tab, a table each."""
     check_lookups(sources, "channel_gb", "contacts")
+    distinct_rollup.store_bitmaps(sources["transactions"], month, f"{out}/oneoff_donor_bitmaps")
     for name, frame in {**month_counts(sources, month, vocab), **data_checks(sources, month, vocab)}.items():
         _keep(frame, name, out, month.label)
 
 
+def run_oneoff_rollup(sources: Sources, span: Period, out: str) -> None:
+    """Distinct one-off donors of every month, quarter, half and year in ``span``, from the bitmaps that its months have stored."""
+    bitmaps = distinct_rollup.stored_bitmaps(sources["transactions"], f"{out}/oneoff_donor_bitmaps", span)
+    _keep(distinct_rollup.oneoff_rollup(bitmaps), "oneoff_rollup", out, span.label)
+
+
 def data_checks(sources: Sources, month: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> dict[str, DataFrame]:
     """Pledges to correct before the report, and the flags counted against each other."""
     pledges, contacts, channels = sources["pledges"], sources["contacts"], sources["channel_gb"]

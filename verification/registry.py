@@ -15,7 +15,7 @@ from retenta.functions import (
 )
 from retenta.operators import RunFolder, duplicate_keys, follow_merges
 from retenta.plans import commitments as com
-from retenta.plans import gift_gaps, history
+from retenta.plans import distinct_rollup, gift_gaps, history
 from retenta.plans import lists
 from retenta.plans import monthly as mon
 from retenta.plans import oo_profile as oo
@@ -406,6 +406,12 @@ def oneoff_by_section(t):
     return mon.oneoff_by_section(t["transactions"], p.MONTH)
 
 
+@_job
+def oneoff_rollup(t):
+    bitmaps = _stage(t)(distinct_rollup.donor_bitmaps(t["transactions"], p.YEAR))
+    return distinct_rollup.oneoff_rollup(bitmaps)
+
+
 @_job
 def email_subscribers(t):
     return mon.email_subscribers(t["contacts"], p.MONTH)

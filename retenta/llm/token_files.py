@@ -29,6 +29,8 @@ KNOWN_WORDS = 1 << 21
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _PUNCTUATION[ord("'")] = False  # starts contractions
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LETTER_OR_DIGIT = np.zeros(256, bool)
 _LETTER_OR_DIGIT[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
@@ -67,11 +69,27 @@ class WordEncoder:
         return start[some], end[some], np.repeat(w.doc, 2)[some]
 
     def _learn(self, t: v.Texts, hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Take in words, given in order of their hashes.
+
+        Normalising and splitting leave a word of a-z as it is, so such a word goes straight to the tokenizer's model.
+        """
         raw = t.buf.tobytes()
-        e = self.tokenizer.encode([raw[a:b].decode() for a, b in zip(start.tolist(), end.tolist(), strict=True)], is_pretokenized=True, add_special_tokens=False)
-        count = np.bincount(np.array(e.word_ids, np.int64), minlength=len(hashes)).astype(np.int64)
-        first = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.array(e.ids, np.uint32)])
+        others = np.concatenate([[0], np.cumsum(~_LETTER[t.buf])])
+        plain = others[end] == others[start]
+        each: list[list[int]] = [[]] * len(hashes)
+        tokens = self.tokenizer.model.tokenize
+        for i, a, b in zip(np.flatnonzero(plain).tolist(), start[plain].tolist(), end[plain].tolist(), strict=True):
+            each[i] = [x.id for x in tokens(raw[a:b].decode().lower())]
+        rest = np.flatnonzero(~plain)
+        e = self.tokenizer.encode([raw[a:b].decode() for a, b in zip(start[rest].tolist(), end[rest].tolist(), strict=True)], is_pretokenized=True, add_special_tokens=False)
+        of = rest[np.array(e.word_ids, np.int64)] if len(rest) else rest
+        count = np.array([len(x) for x in each], np.int64) + np.bincount(of, minlength=len(hashes))
+        first = np.cumsum(count) - count
+        found = np.zeros(int(count.sum()), np.uint32)
+        short = np.repeat(plain, count)
+        found[short] = [x for ids in each for x in ids]
+        found[~short] = e.ids
+        self.ids, first = np.concatenate([self.ids, found]), first + len(self.ids)
         at = np.searchsorted(self.hashes, hashes)
         self.hashes, self.first, self.count = np.insert(self.hashes, at, hashes), np.insert(self.first, at, first), np.insert(self.count, at, count)
 
@@ -81,7 +99,9 @@ class WordEncoder:
         h, first, back = np.unique(v.span_hashes(t.buf, start, end), return_index=True, return_inverse=True)
         if len(self.hashes) + len(h) > KNOWN_WORDS:
             self.clear()
-        missing = ~np.isin(h, self.hashes)
+        at = np.searchsorted(self.hashes, h)  # both are sorted
+        missing = np.append(self.hashes, v.U64(0))[at] != h
+        missing |= at == len(self.hashes)
         if missing.any():
             self._learn(t, h[missing], start[first[missing]], end[first[missing]])
         at = np.searchsorted(self.hashes, h)[back]
@@ -117,8 +137,9 @@ def encoder(path: str) -> WordEncoder:
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END) -> None:
     """Encode each text (null: empty), append ``end_id``, and write the ids in ascending doc_id order, null first.
 
-    Rows that repeat a doc_id each have their ids, in order of their texts. An empty table gives files without chunks.
-    Other columns are not looked at.
+    Rows that repeat a doc_id each have their ids, in order of their texts' md5, and rows that repeat both in any order; they
+    are dealt by these too, so no id is left to one task. An empty table gives files without chunks. Other columns are
+    not looked at.
     """
     vocabulary = vocabulary or default_vocabulary()
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -143,7 +164,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
                 chunk, ids_before = chunk + 1, ids_before + len(whole)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_order = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "text_md5", "row"]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"text_md5": F.md5("text"), "row": F.monotonically_increasing_id()})
+    in_order = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
     in_order.mapInArrow(chunks, f"shard long, chunk long, ids_before long, n_ids long, doc_ids array<{id_type}>, lengths array<long>, words binary, blocks binary").write.mode("overwrite").parquet(path)
 
 

@@ -209,7 +209,7 @@ def test_files_hold_the_ids_in_order(spark, tmp_path):
     path = str(tmp_path / "tokens")
     token_files.write_token_files(docs(spark, rows).repartition(3), path)
     tokenizer = Tokenizer.from_file(token_files.default_vocabulary())
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest()))
     want, start = [], 0
     for i, t, _ in ordered:
         ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
@@ -223,6 +223,32 @@ def test_files_hold_the_ids_in_order(spark, tmp_path):
     assert token_files.token_digests(spark, path).count() == 0
 
 
+def test_rows_without_ids_are_spread_over_the_files(spark, tmp_path):
+    rows = [(None if i % 10 else i, f"text {i % 3}", "en") for i in range(4000)]
+    path = str(tmp_path / "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    token_files.write_token_files(docs(spark, rows), path)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["sum(size(doc_ids))"] for r in spark.read.parquet(path).groupBy("shard").agg(F.sum(F.size("doc_ids"))).collect()]
+    assert sum(sizes) == 4000 and len(sizes) == 4 and max(sizes) < 2000
+    got = token_files.token_digests(spark, path)
+    assert got.agg(F.count("*"), F.count("doc_id"), F.count_distinct("start")).collect()[0] == (4000, 400, 4000)
+
+
+def test_plain_words_go_straight_to_the_model():
+    from tokenizers import Tokenizer
+
+    words = ["a", "Z", "xx" * 2000, "The", "don't", "ÀB", "naïve", "s", "ll", "INTERNATIONALISATION", "abc1", "it's", "é", "b.c"]
+    tokenizer = Tokenizer.from_file(token_files.default_vocabulary())
+    texts = [" ".join(words), *words, " ".join(reversed(words))]
+    coder = token_files.WordEncoder(token_files.default_vocabulary())
+    for _ in range(2):  # learnt, and looked up
+        for t in v.pieces(pa.array(texts), 20):
+            ids, lengths = coder.encode(t)
+            want = [tokenizer.encode(t.text(i).decode(), add_special_tokens=False).ids for i in range(len(t))]
+            assert ids.tolist() == [x for w in want for x in w] and lengths.tolist() == [len(w) for w in want]
+
+
 # --- quality rules ---
 
 

@@ -5,84 +5,70 @@ it (an exclusive-or of hashes of position, role and text, so it is a running agg
 hash is the hash of an inner turn of another one is a prefix of it; an anti-join keeps those that are not. Of equal
 conversations the lowest id stays. The rest is rendered.
 
-A conversation may hold any share of the rows: its turns are numbered and rendered by blocks of turn numbers, and the
-blocks are joined by their sums.
+A conversation may hold any share of the rows: turns are dealt by ranges of (conversation, turn), numbered and hashed
+within a range, and what the conversation's earlier ranges hold is added. It is rendered by blocks of turns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .places import earlier, numbered, with_earlier
 from .workspace import Workspace
 
-#: Turn numbers in a block, the most that is rendered in one row.
+#: Turns in a block, the most that is rendered in one row.
 BLOCK = 1000
 
 
-def _block() -> Column:
-    return F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(-1))
+def placed_turns(turns: DataFrame, space: Workspace) -> DataFrame:
+    """conv_id, k (place in the conversation, from 1), role, text, digest and part (the range) of each turn, written.
 
-
-def _normal(turns: DataFrame) -> DataFrame:
-    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
-    return turns.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumns(
-        {"block": _block(), "digest": F.md5(F.concat_ws("\n", "role", "text"))})
-
-
-def prefix_hashes(turns: DataFrame, space: Workspace) -> DataFrame:
-    """One row per turn: conv_id, k (its position from 1), n (turns of the conversation), p and q (hash of turns 1 to k).
-
-    Turns go by turn number (null first), then role and text hash; equal rows count once.
+    Turns go by turn number (null first), then role, then digest; rows equal in these and conv_id count once. The digest
+    hashes role and text apart, so that no other pair of them has it.
     """
-    each = _normal(turns).select("conv_id", "block", "turn", "role", "digest").distinct()
-    within = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "digest")
-    each = space.stage(each.withColumn("i", F.row_number().over(within)), "turns")
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    all_blocks = Window.partitionBy("conv_id")
-    counts = (
-        each.groupBy("conv_id", "block").agg(F.count("*").alias("c"))
-        .select("conv_id", "block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("skip"), F.sum("c").over(all_blocks).alias("n"))
-    )
+    role, text = F.coalesce("role", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    plain = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    plain = plain.withColumn("digest", F.md5(F.concat(F.md5("role"), F.md5("text"))))
+    once = plain.groupBy("conv_id", "turn", "role", "digest").agg(F.first("text").alias("text"))
+    return space.stage(numbered(once, ["conv_id"], ["turn", "role", "digest"], space, "turns", "k").drop("turn", "salt"), "placed")
 
-    def back(to: DataFrame, blocks: DataFrame) -> DataFrame:
-        blocks = blocks.withColumnsRenamed({"conv_id": "b_conv", "block": "b_block"})
-        return to.join(blocks, F.col("conv_id").eqNullSafe(F.col("b_conv")) & (F.col("block") == F.col("b_block"))).drop("b_conv", "b_block")
 
-    placed = back(each, counts).withColumn("k", F.col("skip") + F.col("i"))
-    placed = placed.withColumns({"x": F.xxhash64("k", "digest"), "y": F.xxhash64("digest", "k", F.lit("second"))})
-    placed = space.stage(placed, "placed")
-    sums = (
-        placed.groupBy("conv_id", "block").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
-        .select("conv_id", "block", *[F.coalesce(F.bit_xor(c).over(before), F.lit(0)).alias(f"{c}_before") for c in "xy"])
-    )
-    run = Window.partitionBy("conv_id", "block").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return back(placed, sums).select(
-        "conv_id", "k", "n", F.bit_xor("x").over(run).bitwiseXOR(F.col("x_before")).alias("p"),
-        F.bit_xor("y").over(run).bitwiseXOR(F.col("y_before")).alias("q"))
+def prefix_hashes(placed: DataFrame) -> DataFrame:
+    """One row per turn: conv_id, k, p and q (hash of turns 1 to k)."""
+    hashes = placed.select("conv_id", "part", "k", F.xxhash64("k", "digest").alias("x"), F.xxhash64("digest", "k", F.lit("second")).alias("y"))
+    per_part = hashes.groupBy("conv_id", "part").agg(F.bit_xor("x").alias("sx"), F.bit_xor("y").alias("sy"))
+    before = earlier(per_part, ["conv_id"], {"ex": F.bit_xor("sx"), "ey": F.bit_xor("sy")})
+    run = Window.partitionBy("part", "conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    running = with_earlier(hashes.withColumns({"rx": F.bit_xor("x").over(run), "ry": F.bit_xor("y").over(run)}), before, ["conv_id"])
+    p, q = (F.col(f"r{c}").bitwiseXOR(F.coalesce(f"e{c}", F.lit(0).cast("long"))) for c in "xy")
+    return running.select("conv_id", "k", p.alias("p"), q.alias("q"))
 
 
-def maximal_conversations(turns: DataFrame, space: Workspace) -> DataFrame:
+def maximal_conversations(placed: DataFrame, space: Workspace) -> DataFrame:
     """conv_id and n_turns of the conversations that are no prefix of a longer one, one of each set of equal ones."""
-    hashes = space.stage(prefix_hashes(turns, space), "hashes")
-    ends = hashes.where("k = n").groupBy("k", "p", "q").agg(F.min("conv_id").alias("conv_id"))
-    inner = hashes.where("k < n").select("k", "p", "q").distinct()
+    hashes = space.stage(prefix_hashes(placed), "hashes")
+    last = hashes.groupBy("conv_id").agg(F.max(F.struct("k", "p", "q")).alias("end"))
+    ends = space.stage(last.groupBy("end.k", "end.p", "end.q").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("ending")), "ends")
+    # More conversations pass a turn than end at it: an inner turn of one of them.
+    passed = hashes.groupBy("k", "p", "q").agg(F.count("*").alias("passing"))
+    inner = space.stage(passed.join(ends.select("k", "p", "q", "ending"), ["k", "p", "q"]).where("passing > ending").select("k", "p", "q"), "inner")
     return ends.join(inner, ["k", "p", "q"], "left_anti").select("conv_id", F.col("k").alias("n_turns"))
 
 
 def rendered(turns: DataFrame, space: Workspace, before: str = "<|", after: str = "|>\n", end: str = "<|end|>\n") -> DataFrame:
     """The maximal conversations of ``turns`` (conv_id, turn, role, text) as text, in turn order.
 
-    Columns: conv_id, part, n_turns, text. A turn is rendered as before + role + after + text + end. A conversation is
-    one row (part 0) as long as its turn numbers lie in 0..999; each further thousand is a further part, turns without
-    a number are part -1. A null role is "unknown", a null text is empty, a null conv_id is an id like any other;
+    Columns: conv_id, part, n_turns, text. A turn is rendered as before + role + after + text + end. A conversation of up
+    to a thousand turns is one row (part 0), whatever their numbers; each further thousand is a further part. Turns
+    without a number come first. A null role is "unknown", a null text is empty, a null conv_id is an id like any other;
     equal rows count once. An empty table gives an empty one; other columns are not looked at.
     """
-    kept = space.stage(maximal_conversations(turns, space).withColumnRenamed("conv_id", "kept"), "kept")
-    pieces = _normal(turns).join(kept, F.col("conv_id").eqNullSafe(F.col("kept")))
-    piece = F.struct("turn", "role", "digest", F.concat(F.lit(before), "role", F.lit(after), "text", F.lit(end)).alias("piece"))
-    in_order = F.array_sort(F.collect_set(piece))
+    placed = placed_turns(turns, space)
+    kept = space.stage(maximal_conversations(placed, space).withColumnRenamed("conv_id", "kept"), "kept")
+    piece = F.struct("k", F.concat(F.lit(before), "role", F.lit(after), "text", F.lit(end)).alias("piece"))
+    pieces = placed.join(kept, F.col("conv_id").eqNullSafe(F.col("kept"))).select("conv_id", F.floor((F.col("k") - 1) / BLOCK).alias("part"), "n_turns", piece.alias("piece"))
     return (
-        pieces.groupBy("conv_id", F.col("block").alias("part"), "n_turns").agg(in_order.alias("pieces"))
+        pieces.groupBy("conv_id", "part", "n_turns").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
         .select("conv_id", "part", "n_turns", F.concat_ws("", F.col("pieces.piece")).alias("text"))
     )

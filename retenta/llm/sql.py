@@ -22,7 +22,7 @@ OP5 = r"""
 with turns as (
   select distinct conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations
 ), placed as (
-  select *, md5(concat(role, chr(10), text)) as digest, coalesce(turn // 1000, -1) as part from turns
+  select *, md5(md5(role) || md5(text)) as digest from turns
 ), running as (
   select *, row_number() over w as k, count(*) over (partition by conv_id) as n,
          string_agg(digest, '/') over (w rows between unbounded preceding and current row) as path
@@ -31,14 +31,15 @@ with turns as (
   select min(conv_id) as conv_id, k as n_turns from running a where k = n
     and not exists (select 1 from running b where b.path = a.path and b.k < b.n) group by path, k
 )
-select conv_id, part, n_turns,
-       string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' order by turn nulls first, role, digest) as text
-from placed join kept using (conv_id) group by conv_id, part, n_turns
+select conv_id, (k - 1) // 1000 as part, n_turns, string_agg('<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10), '' order by k) as text
+from running join kept using (conv_id) group by conv_id, part, n_turns
 """
 
 OP10 = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size from documents
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size, md5(coalesce(text, '')) as digest,
+         row_number() over (partition by doc_id, source, coalesce(text, '')) as place
+  from documents
 ), sums as (
   select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as weight
   from sized group by source
@@ -55,7 +56,7 @@ with sized as (
   from judged
 ), rated as (
   select doc_id, size, source_size, target, coalesce(target / nullif(source_size, 0), 0) as rate,
-         ('0x' || md5('0|' || coalesce(doc_id::varchar, 'null'))[1:13])::bigint / 4503599627370496.0 as draw
+         ('0x' || md5('0|' || coalesce(doc_id::varchar, 'null') || '|' || digest || '|' || place)[1:13])::bigint / 4503599627370496.0 as draw
   from sized join targets on sized.source is not distinct from targets.source
 )
 select doc_id, size, source_size, target, (floor(rate) + (draw < rate - floor(rate))::int)::int as copies,

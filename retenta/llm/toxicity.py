@@ -28,6 +28,8 @@ from .workspace import Workspace
 SAMPLE = 20_000
 #: A stem has this many letters at least and a term that many surroundings; more than so many are not told apart.
 STEM, SURROUNDINGS, MANY = 4, 5, 16
+#: Letters of a stem at most; a longer word counts whole and by the stems among its first letters.
+LONGEST_STEM = 64
 #: A term weighs at least so much; a stronger one may be misspelt; a longer one replaces its stem if it adds so much.
 WEIGHT, STRONG, ADDS = 1.2, 3.0, 0.8
 #: Standard errors of the confidence bound of a term's share of toxic texts.
@@ -142,7 +144,7 @@ def learn_terms(sample: DataFrame, space: Workspace) -> list[tuple[str, bool, fl
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), merged("around").alias("around"))
     per_word = space.stage(per_word, "evidence")
     length = F.length("word")
-    stems = F.when(length >= STEM, F.transform(F.sequence(F.lit(STEM), F.greatest(length, F.lit(STEM))), lambda i: F.substring(F.col("word"), F.lit(1), i)))
+    stems = F.when(length >= STEM, F.transform(F.sequence(F.lit(STEM), F.greatest(F.least(length, F.lit(LONGEST_STEM)), F.lit(STEM))), lambda i: F.substring(F.col("word"), F.lit(1), i)))
     whole = F.concat(F.col("word"), F.lit("\n"))  # no word has a line feed
     nodes = per_word.select(F.explode(F.concat(F.coalesce(stems, F.array().cast("array<string>")), F.array(whole))).alias("node"), "toxic", "clean", "around")
     found = nodes.groupBy("node").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), merged("around").alias("around"))

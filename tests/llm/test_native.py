@@ -68,6 +68,20 @@ def test_mixing_plan_and_emitted_rows_agree(spark, space):
     assert mixing.mixing_plan(table.limit(0), space).count() == 0
 
 
+def test_rows_without_ids_meet_their_target(spark, space):
+    rows = [(None, "ten words in each text of the rows without ids", "a")] * 300 + [(None, f"text {i} has six words, always", "b") for i in range(300)]
+    rows += [(7, "one two three four five six seven eight nine ten", "c")] * 200
+    table = docs(spark, rows)
+    per_row = mixing.mixing_plan(table, space).collect()
+    for target in {r.target for r in per_row}:
+        assert sum(r.taken for r in per_row if r.target == target) == pytest.approx(target, rel=0.1)
+    key = lambda r: (r.size, r.source_size)
+    counts = lambda found: sorted((*key(r), r.copies) for r in found)
+    assert counts(per_row) == counts(mixing.mixing_plan(table.repartition(5), space).collect())
+    emitted = mixing.mixed(table.repartition(2), Workspace(spark, "again"))
+    assert emitted.count() == sum(r.copies for r in per_row) and emitted.columns == table.columns
+
+
 def shingles(text, k=5):
     w = (text or "").lower().split()
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)}
@@ -129,15 +143,40 @@ def test_only_maximal_conversations_are_rendered(spark, space):
     assert got[None, 0] == (1, "<|unknown|>\nlost<|end|>\n")
     assert [got[7, p][0] for p in range(3)] == [2500] * 3
     assert "".join(got[7, p][1] for p in range(3)) == "".join(f"<|user|>\nt{i}<|end|>\n" for i in range(2500))
-    assert got[6, -1][1] + got[6, 0][1] == "<|user|>\nno number<|end|>\n<|user|>\nzero<|end|>\n"
+    assert got[6, 0] == (2, "<|user|>\nno number<|end|>\n<|user|>\nzero<|end|>\n") and (6, -1) not in got
     assert chat.rendered(spark.createDataFrame([], TURNS), space).count() == 0
 
 
-def test_numbers_follow_the_turns_over_blocks(spark, space):
+def test_parts_count_turns_and_not_their_numbers(spark, space):
+    rows = [(1, n, "user", f"t{i}", "x") for i, n in enumerate([0, 5000, 10000, -7])]
+    got = chat.rendered(spark.createDataFrame(rows, TURNS), space).collect()
+    assert [(r.conv_id, r.part, r.n_turns) for r in got] == [(1, 0, 4)]
+    assert got[0].text == "".join(f"<|user|>\nt{i}<|end|>\n" for i in (3, 0, 1, 2))
+
+
+def test_role_and_text_are_hashed_apart(spark, space):
+    rows = [(1, 0, "user\nx", "y", "x"), (2, 0, "user", "x\ny", "x"), (3, 0, "user", "x\ny", "x")]
+    assert sorted(r.conv_id for r in chat.rendered(spark.createDataFrame(rows, TURNS), space).collect()) == [1, 2]
+
+
+def test_most_turns_have_no_conversation_and_no_number(spark, space):
+    rows = [(None, None if i % 2 else i, "user", f"t{i}", "x") for i in range(3600)] + [(c, i, "user", f"t{i}", "x") for c in range(100) for i in range(4)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = chat.placed_turns(spark.createDataFrame(rows, TURNS), space)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["count"] for r in placed.groupBy("part").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2000
+    own = placed.where("conv_id is null")
+    assert own.agg(F.min("k"), F.max("k"), F.count_distinct("k")).collect()[0] == (1, 3600, 3600)
+    got = chat.rendered(spark.createDataFrame(rows, TURNS), space).collect()
+    assert sorted((r.conv_id is None, r.part) for r in got) == [(False, 0), *((True, i) for i in range(4))]
+    assert sum(r.text.count("<|end|>") for r in got) == 3604
+
+
+def test_numbers_and_hashes_follow_the_turns(spark, space):
     rows = [(1, 700 * i, "user", f"t{i}", "x") for i in range(5)]
-    hashes = chat.prefix_hashes(spark.createDataFrame(rows, TURNS), space).orderBy("k").collect()
-    assert [(r.k, r.n) for r in hashes] == [(i, 5) for i in range(1, 6)]
-    assert hashes[-1].p != hashes[0].p
+    hashes = chat.prefix_hashes(chat.placed_turns(spark.createDataFrame(rows, TURNS), space)).orderBy("k").collect()
+    assert [r.k for r in hashes] == [1, 2, 3, 4, 5] and len({(r.p, r.q) for r in hashes}) == 5
 
 
 def test_shares_are_even(spark):

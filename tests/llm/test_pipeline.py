@@ -50,7 +50,7 @@ def test_pipeline_equals_brute_force(spark):
     want, start = [], 0
     for r in docs.itertuples():
         rate = targets[r.source] / sizes[r.source]
-        draw = int(hashlib.md5(f"0|{r.doc_id}".encode()).hexdigest()[:13], 16) / (1 << 52)
+        draw = int(hashlib.md5(f"0|{r.doc_id}|{hashlib.md5(r.text.encode()).hexdigest()}|1".encode()).hexdigest()[:13], 16) / (1 << 52)
         ids = [*tokenizer.encode(r.text, add_special_tokens=False).ids, 2]
         for _ in range(int(rate) + (draw < rate - int(rate))):
             want.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))

@@ -431,6 +431,13 @@ def test_toxicity_is_told_on_held_out_texts(spark, space):
     assert toxicity.scored(docs(spark, [(1, "a", None)]), labels.limit(0), space).first().predicted == 0
 
 
+def test_a_very_long_word_is_learnt_whole(spark, space):
+    word = "ab" * 50_000
+    sample = spark.createDataFrame([(f"{i} fine words here {i}" if i % 4 else f"{i} {word} {i + 1} bad {i + 2}", int(i % 4 == 0)) for i in range(200)], "text string, y int")
+    terms = toxicity.learn_terms(sample, space)
+    assert all(len(t) <= toxicity.LONGEST_STEM or t == word for t, _, _ in terms) and any(t in word for t, _, _ in terms)
+
+
 def test_quoted_hits_are_told_apart():
     m = toxicity.Matcher([("worthless", False, 4.0)])
     texts = ['he called it "quite worthless" and left the old house again', "you are a worthless thing and always were one they think", "worthless", None]

@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 
 from . import workflows
 from .period import Period
+from .rule_tables import SCHEMA, vocabulary_of
 from .sources import Sources
 from .vocab import Vocabulary
 
@@ -43,6 +44,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--redraw", action="store_true", help="quarter: draw the new donors afresh")
     parser.add_argument("--through-chains", action="store_true", help="quarter: follow merged numbers over several merges")
     parser.add_argument("--loaded-at", type=datetime.fromisoformat, help="view: the load stamp, else midnight of the day")
+    parser.add_argument("--rules", help="a table of rules (``rule_tables``) as Parquet; its ladders replace those of the package")
     parser.add_argument("--gift-months", help="view: read only the gifts of these months (2026-05,2026-06) and stored states, or ``all`` to begin with")
     args = parser.parse_args(argv)
     builder = SparkSession.builder.appName(f"retenta {args.cadence} {args.period}")
@@ -52,14 +54,16 @@ def main(argv: list[str] | None = None) -> None:
             builder = builder.config(key, value)
     sources = Sources(running or builder.getOrCreate(), json.loads(args.places.read_text(encoding="utf-8")))
     vocab = Vocabulary(own_name=args.own_name)
+    if args.rules:
+        vocab = vocabulary_of(sources.spark.read.schema(SCHEMA).parquet(args.rules), vocab)
     if args.cadence == "view":
         day = date.fromisoformat(args.period)
         stamp = args.loaded_at or datetime.combine(day, datetime.min.time())
         if args.gift_months:
             months = None if args.gift_months == "all" else [_period("month", m) for m in args.gift_months.split(",")]
-            workflows.refresh_commitment_view_by_months(sources, args.out, day, stamp, months)
+            workflows.refresh_commitment_view_by_months(sources, args.out, day, stamp, months, vocab)
         else:
-            workflows.refresh_commitment_view(sources, args.out, day, stamp)
+            workflows.refresh_commitment_view(sources, args.out, day, stamp, vocab)
         return
     period = _period(args.cadence, args.period)
     if args.cadence == "month":
@@ -69,7 +73,7 @@ def main(argv: list[str] | None = None) -> None:
     elif args.cadence == "rollup":
         workflows.run_oneoff_rollup(sources, period, args.out)
     elif args.cadence == "quarter":
-        workflows.run_quarter(sources, period, args.out, args.redraw, args.through_chains)
+        workflows.run_quarter(sources, period, args.out, args.redraw, args.through_chains, vocab)
     elif args.cadence == "counts":
         workflows.run_month_counts(sources, period, args.out, vocab)
     elif args.cadence == "outliers":

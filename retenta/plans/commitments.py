@@ -11,15 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import channel_key, classify, matches_any, one_of_like
 from ..operators import Stage, ordinal, with_lookup
 from ..period import Period
-from ..vocab import (
-    CHECK_EXCLUDED_NAMES, DEFAULT_VOCABULARY, NON_ACQUIRING_CHANNEL_PATTERNS, NON_ACQUIRING_CHANNELS, ONE_OFF, PLEDGE_STATUS,
-    Vocabulary,
-)
+from ..vocab import DEFAULT_VOCABULARY, ONE_OFF, Vocabulary
 
 
-def missing_campaign(pledges: DataFrame, month: Period) -> DataFrame:
+def missing_campaign(pledges: DataFrame, month: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """The month's pledges without a campaign, test names left out."""
-    real_name = reduce(lambda a, b: a & b, [~F.col("name").like(p) for p in CHECK_EXCLUDED_NAMES])
+    real_name = reduce(lambda a, b: a & b, [~F.col("name").like(p) for p in vocab.check_excluded_names])
     return pledges.filter(month.holds(F.col("submit_date")) & F.col("campaign_raw").isNull() & real_name)
 
 
@@ -33,7 +30,7 @@ def inhouse_unmarked(pledges: DataFrame, month: Period) -> DataFrame:
     )
 
 
-def commitment_core(pledges: DataFrame, contacts: DataFrame) -> DataFrame:
+def commitment_core(pledges: DataFrame, contacts: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Pledge and donor columns of the commitment view, one-off pledges left out."""
     frequency = (
         F.when(F.col("frequency") == 1, "Monthly")
@@ -67,7 +64,7 @@ def commitment_core(pledges: DataFrame, contacts: DataFrame) -> DataFrame:
         channel_key(F.col("campaign_raw")).alias("channel_t"),
         F.col("pledge_active").alias("commitment_status"),
         "status", "pledge_status",
-        classify(PLEDGE_STATUS).alias("pledge_status_eng"),
+        classify(vocab.pledge_status).alias("pledge_status_eng"),
         F.col("rg_amount").alias("gift_amount"),
         "cancel_cal_date",
     ).join(donors, F.col("supporter_id") == F.col("_donor"), "left").drop("_donor")
@@ -121,21 +118,21 @@ def _commitment_end(as_of: date) -> Column:
 
 def commitment_view(
     pledges: DataFrame, transactions: DataFrame, contacts: DataFrame, campaigns: DataFrame,
-    as_of: date, loaded_at: datetime,
+    as_of: date, loaded_at: datetime, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
     """One row per recurring pledge with donor, campaign, first and last gift and derived end date.
 
     ``as_of`` stands for today and ``loaded_at`` stamps the load, so a run can be repeated exactly.
     """
-    return commitment_view_of(pledges, gift_extremes(transactions), contacts, campaigns, as_of, loaded_at)
+    return commitment_view_of(pledges, gift_extremes(transactions), contacts, campaigns, as_of, loaded_at, vocab=vocab)
 
 
 def commitment_view_of(
-    pledges: DataFrame, extremes: DataFrame, contacts: DataFrame, campaigns: DataFrame, as_of: date, loaded_at: datetime
+    pledges: DataFrame, extremes: DataFrame, contacts: DataFrame, campaigns: DataFrame, as_of: date, loaded_at: datetime, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
     """The commitment view from each pledge's first and last gift, wherever they stem from."""
     gifts = extremes.withColumnRenamed("pledge_uid", "_pledge")
-    core = with_lookup(commitment_core(pledges, contacts), campaigns, "campaign_id", "campaign_raw", ["campaign"])
+    core = with_lookup(commitment_core(pledges, contacts, vocab=vocab), campaigns, "campaign_id", "campaign_raw", ["campaign"])
     joined = core.join(gifts, F.col("commitment_id") == F.col("_pledge"), "left")
     return joined.select(
         "commitment_id", "supporter_id", "commitment_date", "start_month", "start_date", "end_month", "end_check",
@@ -156,7 +153,7 @@ def commitment_view_of(
     )
 
 
-def existing_channels(channels: DataFrame) -> DataFrame:
+def existing_channels(channels: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Channel lookup rows for existing donors, the class whose keys are unique.
 
     What depends on the channel alone is worked out here, on the few lookup rows: ``acquiring`` tells the
@@ -165,7 +162,7 @@ def existing_channels(channels: DataFrame) -> DataFrame:
     channel = F.col("channel_excl_upgrade")
     return channels.filter(F.col("acq_gb") == "Existing").withColumn(
         "acquiring",
-        ~channel.isin(*NON_ACQUIRING_CHANNELS) & ~one_of_like(channel, NON_ACQUIRING_CHANNEL_PATTERNS),
+        ~channel.isin(*vocab.non_acquiring_channels) & ~one_of_like(channel, vocab.non_acquiring_channel_patterns),
     )
 
 
@@ -185,7 +182,7 @@ def classified_pledges(
 
     Also carries ``acquiring`` and the donor's own end date, which the flags need.
     """
-    lookup = existing_channels(channels).select(
+    lookup = existing_channels(channels, vocab=vocab).select(
         "channel_t", F.col("channel_excl_upgrade").alias("_channel"), "acq_gb", "new_site_code_acq",
         F.col("channel").alias("channel_gb"), "acquiring",
     )

@@ -78,7 +78,7 @@ def lapsed_history(
 ) -> DataFrame:
     """The lapsed half: a donor cancels once, so each counts in the month of the cancellation."""
     lapsed = lapsed_donors(pledges, cancelled_contacts(contacts, span, vocab), channels, vocab)
-    return dash_lapsed(lapsed_flags(lapsed, span).withColumn("review_month", month_start(F.col("cancel_date"))), vocab)
+    return dash_lapsed(lapsed_flags(lapsed, span, vocab=vocab).withColumn("review_month", month_start(F.col("cancel_date"))), vocab)
 
 
 def retention_history(
@@ -90,6 +90,6 @@ def retention_history(
     Pledges are read twice (all of them, and those of donors who cancelled), as for one month. Rows with lapsed counts only
     get their month, unless ``coalesce_period`` is unset.
     """
-    base = classified_pledges(commitment_core(pledges, contacts), channels, vocab)
+    base = classified_pledges(commitment_core(pledges, contacts, vocab=vocab), channels, vocab)
     donors, lapsed = donor_history(base, span, vocab), lapsed_history(pledges, contacts, channels, span, vocab)
     return retention_summary(donors, lapsed, coalesce_period).orderBy("month_first", "channel_sitecode")

@@ -15,9 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import one_of_like, whole_number
 from ..operators import Stage, as_is, first_per_key, follow_merges, with_membership
 from ..period import Period
-from ..vocab import (
-    DEFAULT_VOCABULARY, LIST_EXCLUDED_CAMPAIGNS_ANY_CASE, SITE_CODE_LITERAL, Vocabulary,
-)
+from ..vocab import DEFAULT_VOCABULARY, SITE_CODE_LITERAL, Vocabulary
 
 GIFT_ORDER = ("transaction_date", "transaction_id")
 
@@ -30,10 +28,10 @@ def _site_code_rule(prefix_rule: bool) -> Column:
 
 def _new_donors(
     gifts: DataFrame, transactions: DataFrame, ytd: Period, shown: Period, excluded: Sequence[str], prefix_rule: bool,
-    stage: Stage,
+    stage: Stage, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
     campaign = F.col("campaign_id")
-    kept = ~one_of_like(F.lower(campaign), LIST_EXCLUDED_CAMPAIGNS_ANY_CASE)
+    kept = ~one_of_like(F.lower(campaign), vocab.list_excluded_campaigns_any_case)
     if excluded:
         kept = kept & ~one_of_like(campaign, excluded)
     acquired = gifts.filter(
@@ -61,15 +59,15 @@ def new_donor_month(
     """Donors whose first acquisition gift of the year falls in the month."""
     ytd = Period.ytd(month.start.year, month.start.month)
     return _new_donors(
-        gifts, transactions, ytd, month, vocab.monthly_list_excluded_campaigns, site_code_prefix_rule, stage
+        gifts, transactions, ytd, month, vocab.monthly_list_excluded_campaigns, site_code_prefix_rule, stage, vocab=vocab
     )
 
 
 def new_donor_quarter(
-    gifts: DataFrame, transactions: DataFrame, ytd: Period, site_code_prefix_rule: bool = False, stage: Stage = as_is
+    gifts: DataFrame, transactions: DataFrame, ytd: Period, site_code_prefix_rule: bool = False, stage: Stage = as_is, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
     """New donors of the year to date, drawn afresh at quarter end: fewer campaigns are left out."""
-    return _new_donors(gifts, transactions, ytd, ytd, (), site_code_prefix_rule, stage)
+    return _new_donors(gifts, transactions, ytd, ytd, (), site_code_prefix_rule, stage, vocab=vocab)
 
 
 def active_donor_summary(gift_facts: DataFrame, contacts: DataFrame, window: Period, label: str) -> DataFrame:
@@ -107,11 +105,11 @@ def quarter_slice(report: DataFrame, date_column: str, quarter: Period, columns:
 
 
 def reactivation_list(
-    gifts: DataFrame, transactions: DataFrame, quarter: Period, stage: Stage = as_is
+    gifts: DataFrame, transactions: DataFrame, quarter: Period, stage: Stage = as_is, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
     """Existing donors' first gift per reactivation campaign, if it falls in the quarter."""
     reactivated = gifts.filter(
-        F.col("campaign_id").like("Reactivation%") & (F.col("acq_gb_simple") == "Existing")
+        one_of_like(F.col("campaign_id"), vocab.reactivation_campaigns) & (F.col("acq_gb_simple") == "Existing")
     )
     first = stage(first_per_key(reactivated, ["supporter_id", "campaign_id"], GIFT_ORDER).filter(
         quarter.holds(F.col("transaction_date"))
@@ -127,11 +125,11 @@ def reactivation_list(
 
 
 def conversion_list(
-    gifts: DataFrame, transactions: DataFrame, quarter: Period, stage: Stage = as_is
+    gifts: DataFrame, transactions: DataFrame, quarter: Period, stage: Stage = as_is, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
     """Donors' first gift per conversion campaign in the quarter, beside their first one-off gift ever."""
     converted = stage(first_per_key(
-        gifts.filter(F.col("campaign_id").like("CONVERSION%")), ["supporter_id", "campaign_id"], GIFT_ORDER
+        gifts.filter(one_of_like(F.col("campaign_id"), vocab.conversion_campaigns)), ["supporter_id", "campaign_id"], GIFT_ORDER
     ).filter(quarter.holds(F.col("transaction_date"))))
     first_single = first_per_key(
         gifts.filter(F.col("transaction_type") == "Single").join(converted.select("supporter_id"), "supporter_id", "left_semi"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, part_from_right
 from ..period import Period
-from ..vocab import BANK_TRANSFER, COLLECTOR_ROUTE, DEFAULT_VOCABULARY, ONE_OFF, Vocabulary
+from ..vocab import BANK_TRANSFER, DEFAULT_VOCABULARY, ONE_OFF, Vocabulary
 from .retention import cancelled_contacts, lapsed_donors
 
 
@@ -51,7 +51,7 @@ def internal_cancel_by_route(
 
 
 def external_cancel_by_route(
-    change_history: DataFrame, cms_results: DataFrame, crm_contacts: DataFrame, month: Period
+    change_history: DataFrame, cms_results: DataFrame, crm_contacts: DataFrame, month: Period, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
     """Members the collector switched off in the month, by termination route and last paid month.
 
@@ -72,7 +72,7 @@ def external_cancel_by_route(
             & (F.col("external_approval") == "Y")
             & (F.col("apply_kind") == "해지")
         )
-        .groupBy("member_no", classify(COLLECTOR_ROUTE, otherwise=_OTHER_ROUTE).alias("_route"))
+        .groupBy("member_no", classify(vocab.collector_route, otherwise=_OTHER_ROUTE).alias("_route"))
         .agg(F.count(F.lit(1)).alias("_results"))
     )
     members = crm_contacts.filter(F.col("pay_active") == "N").select("member_no", "pay_end_date")

@@ -15,41 +15,36 @@ from ..functions import band, channel_key, classify, rank_map, zip_class
 from ..operators import first_per_key, with_lookup
 from ..period import Period
 from ..vocab import (
-    AGE_ORDER, CASH_TYPE, EARMARK, EARMARK_DEFAULT, ENROL_TYPE, GIFT_GAP_BANDS, GIFT_GAP_DEFAULT, LIFE_YEAR_LABELS,
-    LIFE_YEAR_ORDER, NO_DATA, OO_AGE_BANDS, OO_CHANNEL_GB1, OO_CHANNEL_GB2, OO_CHANNEL_GB3, OO_CHANNEL_SHORT,
-    OO_EXCLUDED_METHODS, OO_SHOWN_METHODS, OO_VALUE_BANDS, OO_VALUE_ORDER, REGION_ORDER,
+    AGE_ORDER, DEFAULT_VOCABULARY, GIFT_GAP_DEFAULT, LIFE_YEAR_LABELS, LIFE_YEAR_ORDER, NO_DATA, OO_VALUE_ORDER,
+    REGION_ORDER, Vocabulary,
 )
 from .profiles import region_columns, with_region
 
 # Gifts carry no id, so ties end on what else tells two gifts apart; beyond that they are equal.
 FIRST_GIFT_ORDER = ("transaction_date", "transaction_amount", "source_id", "payment_method", "donation_section")
-# A date and a place in the type table share one number; the bits of a long hold the types given to.
-PLACES = len(CASH_TYPE) + 1
-if PLACES > 63:
-    raise ValueError("at most 62 appeal types")
 
 
-def _cash_place(source: Column) -> Column:
+def _cash_place(source: Column, vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     """Place of the appeal type in the type table, from 0; one past the end for other appeals."""
-    labels = [rule.label for rule in CASH_TYPE]
-    return rank_map(classify(CASH_TYPE, {"campaign": source}), labels, default=len(labels) + 1) - 1
+    labels = [rule.label for rule in vocab.cash_type]
+    return rank_map(classify(vocab.cash_type, {"campaign": source}), labels, default=len(labels) + 1) - 1
 
 
-def _one_off() -> Column:
+def _one_off(vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     method = F.col("payment_method")
-    return (F.col("payment_type") == "1") & method.isNotNull() & ~method.isin(*OO_EXCLUDED_METHODS)
+    return (F.col("payment_type") == "1") & method.isNotNull() & ~method.isin(*vocab.oo_excluded_methods)
 
 
-def one_off_gifts(gifts: DataFrame, year: Period) -> DataFrame:
+def one_off_gifts(gifts: DataFrame, year: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """The year's one-off gifts."""
-    return gifts.filter(year.holds_text(F.col("transaction_date")) & _one_off())
+    return gifts.filter(year.holds_text(F.col("transaction_date")) & _one_off(vocab=vocab))
 
 
 def _day_text(number: Column) -> Column:
     return number.cast("string")
 
 
-def supporter_facts(gifts: DataFrame, year: Period, year_only: bool = False) -> DataFrame:
+def supporter_facts(gifts: DataFrame, year: Period, year_only: bool = False, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """One row per supporter with a one-off gift in the year.
 
     Dates are ``yyyyMMdd`` numbers here. ``year_only`` reads just the year, for jobs that need no history.
@@ -58,7 +53,7 @@ def supporter_facts(gifts: DataFrame, year: Period, year_only: bool = False) ->
     until = text < year.end_exclusive.strftime("%Y%m%d")
     in_year = year.holds_text(text)
     scope = gifts.filter(in_year if year_only else until).filter(
-        _one_off() | ((F.col("payment_type") == "2") & in_year)
+        _one_off(vocab=vocab) | ((F.col("payment_type") == "2") & in_year)
     )
     one_off, regular, source = F.col("payment_type") == "1", F.col("payment_type") == "2", F.col("source_id")
     amount = F.col("transaction_amount")
@@ -69,7 +64,7 @@ def supporter_facts(gifts: DataFrame, year: Period, year_only: bool = False) ->
         F.when(regular, amount).alias("_rg_amount"),
         one_off.alias("_oo"),
         (one_off & in_year).alias("_oo_year"),
-        F.when(one_off & in_year & source.like("%Cash%"), _cash_place(source)).alias("_cash"),
+        F.when(one_off & in_year & source.like("%Cash%"), _cash_place(source, vocab=vocab)).alias("_cash"),
         source.like("Cash%").alias("_plain_cash"),
     )
     day, cash = F.col("_day"), F.col("_cash")
@@ -88,7 +83,7 @@ def supporter_facts(gifts: DataFrame, year: Period, year_only: bool = False) ->
             # One bit per appeal type given to.
             F.bit_or(F.when(F.col("_plain_cash"), F.expr("shiftleft(1L, _cash)"))).alias("cash_bits"),
             # Date and type in one number, so that the first type needs no ranking: yyyyMMdd, then the place.
-            F.min(day.cast("bigint") * PLACES + cash).alias("first_cash"),
+            F.min(day.cast("bigint") * (len(vocab.cash_type) + 1) + cash).alias("first_cash"),
         )
         .filter(F.col("min_oo_day").isNotNull())
     )
@@ -131,19 +126,19 @@ def _first_gift(gifts: DataFrame, facts: DataFrame, channels: DataFrame, section
     return with_lookup(known, sections, "donation_section", "d_sec_raw", ["d_sec_kor", "d_sec_eng"])
 
 
-def oo_first_gift(gifts: DataFrame, channels: DataFrame, sections: DataFrame, year: Period) -> DataFrame:
+def oo_first_gift(gifts: DataFrame, channels: DataFrame, sections: DataFrame, year: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """First one-off gift of the year with life-time one-off mean, sum and count, channel and section."""
-    facts = _facts_named(supporter_facts(gifts, year), **_life_time_columns())
-    return _first_gift(one_off_gifts(gifts, year), facts, channels, sections)
+    facts = _facts_named(supporter_facts(gifts, year, vocab=vocab), **_life_time_columns())
+    return _first_gift(one_off_gifts(gifts, year, vocab=vocab), facts, channels, sections)
 
 
-def _contact_columns(contacts: DataFrame) -> DataFrame:
+def _contact_columns(contacts: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     home, office = F.col("home_zip"), F.col("office_zip")
     return contacts.select(
         F.col("donor_no").alias("_donor"),
         F.col("contact_date").alias("contact"),
         F.col("initial_enroll").alias("first_gb"),
-        classify(ENROL_TYPE).alias("indi_corp"),
+        classify(vocab.enrol_type).alias("indi_corp"),
         "gender", "age",
         F.col("birth_date").alias("birth"),
         F.when(F.col("email_opt") == "N", "N").otherwise("Y").alias("email_opt"),
@@ -153,8 +148,8 @@ def _contact_columns(contacts: DataFrame) -> DataFrame:
     )
 
 
-def _donor_info(first: DataFrame, contacts: DataFrame, zip_regions: DataFrame) -> DataFrame:
-    joined = first.join(_contact_columns(contacts), F.col("supporter_id") == F.col("_donor"), "left").drop("_donor")
+def _donor_info(first: DataFrame, contacts: DataFrame, zip_regions: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
+    joined = first.join(_contact_columns(contacts, vocab=vocab), F.col("supporter_id") == F.col("_donor"), "left").drop("_donor")
     # A supporter without a contact has no zip class: no class at all, not '', in an outer join.
     classed = joined.withColumn("zip_gb", F.coalesce("zip_gb", F.lit("")))
     opted = classed.withColumns({c: F.coalesce(c, F.lit("Y")) for c in ("email_opt", "mail_opt")})
@@ -168,11 +163,11 @@ def _rg_value() -> Column:
 
 
 def oo_donor_info(
-    gifts: DataFrame, contacts: DataFrame, channels: DataFrame, sections: DataFrame, zip_regions: DataFrame, year: Period
+    gifts: DataFrame, contacts: DataFrame, channels: DataFrame, sections: DataFrame, zip_regions: DataFrame, year: Period, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
     """First gifts with the supporter's attributes, regular gift value of the year and region."""
-    facts = _facts_named(supporter_facts(gifts, year), **_life_time_columns(), rg_gift_tyvalue=_rg_value())
-    return _donor_info(_first_gift(one_off_gifts(gifts, year), facts, channels, sections), contacts, zip_regions)
+    facts = _facts_named(supporter_facts(gifts, year, vocab=vocab), **_life_time_columns(), rg_gift_tyvalue=_rg_value())
+    return _donor_info(_first_gift(one_off_gifts(gifts, year, vocab=vocab), facts, channels, sections), contacts, zip_regions, vocab=vocab)
 
 
 def _order_type() -> Column:
@@ -183,9 +178,9 @@ def _order_type() -> Column:
     )
 
 
-def gift_order_type(gifts: DataFrame, year: Period) -> DataFrame:
+def gift_order_type(gifts: DataFrame, year: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Only one-off, one-off before regular, or regular first (the same day counts as regular first)."""
-    return supporter_facts(gifts, year, year_only=True).select("supporter_id", _order_type().alias("donor_type"))
+    return supporter_facts(gifts, year, year_only=True, vocab=vocab).select("supporter_id", _order_type().alias("donor_type"))
 
 
 def _gap_days() -> Column:
@@ -195,13 +190,13 @@ def _gap_days() -> Column:
     return F.coalesce(F.datediff(day("min_oo_day"), day("prior_oo_day")), F.lit(0))
 
 
-def prior_gift_gap(gifts: DataFrame, year: Period) -> DataFrame:
+def prior_gift_gap(gifts: DataFrame, year: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Days from the last one-off gift before the year to the first in it; 0 if there was none before.
 
     Every one-off gift of the year is on or after the first, so the latest gift before that first gift is
     the latest before the year: no self-join is needed.
     """
-    return supporter_facts(gifts, year).select(
+    return supporter_facts(gifts, year, vocab=vocab).select(
         "supporter_id",
         _day_text(F.col("prior_oo_day")).alias("max_tran"),
         _day_text(F.col("min_oo_day")).alias("min_oo_cy_date"),
@@ -209,51 +204,51 @@ def prior_gift_gap(gifts: DataFrame, year: Period) -> DataFrame:
     )
 
 
-def cross_sell(gifts: DataFrame, year: Period) -> DataFrame:
+def cross_sell(gifts: DataFrame, year: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """One-off supporters of the year, marked if they also gave regularly in it."""
-    return supporter_facts(gifts, year, year_only=True).select(
+    return supporter_facts(gifts, year, year_only=True, vocab=vocab).select(
         F.col("supporter_id").alias("donor_no"),
         F.when(F.col("rg_count") > 0, "Cross-sell donor").alias("donor_type_ty"),
     )
 
 
-def _first_cash_type() -> Column:
-    place = F.col("first_cash") % PLACES
+def _first_cash_type(vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
+    place = F.col("first_cash") % (len(vocab.cash_type) + 1)
     ladder = F
-    for number, rule in enumerate(CASH_TYPE):
+    for number, rule in enumerate(vocab.cash_type):
         ladder = ladder.when(place == number, rule.label)
     return ladder.otherwise(F.lit(None))
 
 
-def cash_type_first(gifts: DataFrame, year: Period) -> DataFrame:
+def cash_type_first(gifts: DataFrame, year: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Appeal type of each supporter's first cash gift of the year; on one day, the first in the type table."""
-    facts = supporter_facts(gifts, year, year_only=True)
-    return facts.filter(F.col("first_cash").isNotNull()).select("supporter_id", _first_cash_type().alias("cash_type"))
+    facts = supporter_facts(gifts, year, year_only=True, vocab=vocab)
+    return facts.filter(F.col("first_cash").isNotNull()).select("supporter_id", _first_cash_type(vocab=vocab).alias("cash_type"))
 
 
-def _many_cash_types() -> Column:
+def _many_cash_types(vocab: Vocabulary = DEFAULT_VOCABULARY) -> Column:
     """More than one of the named appeal types; other appeals do not count."""
-    return F.bit_count(F.col("cash_bits").bitwiseAND(F.lit(2 ** len(CASH_TYPE) - 1))) > 1
+    return F.bit_count(F.col("cash_bits").bitwiseAND(F.lit(2 ** len(vocab.cash_type) - 1))) > 1
 
 
-def cash_type_pivot(gifts: DataFrame, year: Period) -> DataFrame:
+def cash_type_pivot(gifts: DataFrame, year: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """A flag per appeal type, and one for more than one type."""
     flags = []
-    for place, rule in enumerate(CASH_TYPE):
+    for place, rule in enumerate(vocab.cash_type):
         given = F.col("cash_bits").bitwiseAND(F.lit(2**place)) > 0
         flags.append(F.when(given, rule.label.lower()).otherwise("").alias(f"ty_{rule.label.lower()}"))
-    more = F.when(_many_cash_types(), "cash_more").otherwise("").alias("cash_more")
-    facts = supporter_facts(gifts, year, year_only=True)
+    more = F.when(_many_cash_types(vocab=vocab), "cash_more").otherwise("").alias("cash_more")
+    facts = supporter_facts(gifts, year, year_only=True, vocab=vocab)
     return facts.filter(F.col("cash_bits").isNotNull()).select("supporter_id", *flags, more)
 
 
-def oo_channel_groups(df: DataFrame) -> DataFrame:
+def oo_channel_groups(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Three groupings of the acquisition channel; the third reads both channel codes."""
     channel = F.col("channel_f")
     return df.withColumns({
-        "channel_gb1": classify(OO_CHANNEL_GB1, otherwise=channel),
-        "channel_gb2": classify(OO_CHANNEL_GB2, otherwise=channel),
-        "channel_gb3": classify(OO_CHANNEL_GB3, otherwise=channel),
+        "channel_gb1": classify(vocab.oo_channel_gb1, otherwise=channel),
+        "channel_gb2": classify(vocab.oo_channel_gb2, otherwise=channel),
+        "channel_gb3": classify(vocab.oo_channel_gb3, otherwise=channel),
     })
 
 
@@ -266,40 +261,40 @@ def _life_year(year: Period) -> Column:
 
 
 def oo_supporters(
-    gifts: DataFrame, contacts: DataFrame, channels: DataFrame, sections: DataFrame, zip_regions: DataFrame, year: Period
+    gifts: DataFrame, contacts: DataFrame, channels: DataFrame, sections: DataFrame, zip_regions: DataFrame, year: Period, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
     """One row per one-off supporter of the year with everything the profile groups and adds."""
     facts = _facts_named(
-        supporter_facts(gifts, year),
+        supporter_facts(gifts, year, vocab=vocab),
         **_life_time_columns(),
         rg_gift_tyvalue=_rg_value(),
         first_oo_date=_day_text(F.col("first_oo_day")),
         donor_type_origin=_order_type(),
         donor_type_ty=F.when(F.col("rg_count") > 0, "Cross-sell donor").otherwise("OO only donor"),
         duration_days=_gap_days(),
-        cash_type=_first_cash_type(),
-        many_cash=_many_cash_types(),
+        cash_type=_first_cash_type(vocab=vocab),
+        many_cash=_many_cash_types(vocab=vocab),
     )
-    info = _donor_info(_first_gift(one_off_gifts(gifts, year), facts, channels, sections), contacts, zip_regions)
+    info = _donor_info(_first_gift(one_off_gifts(gifts, year, vocab=vocab), facts, channels, sections), contacts, zip_regions, vocab=vocab)
     value = F.round(F.col("ty_tot_trans_amt") / F.nullif(F.col("ty_oo_count"), F.lit(0)))
     method = F.col("payment_method")
-    return region_columns(oo_channel_groups(info)).withColumns({
-        "age_band": band(F.col("age"), OO_AGE_BANDS, NO_DATA),
+    return region_columns(oo_channel_groups(info, vocab=vocab), vocab=vocab).withColumns({
+        "age_band": band(F.col("age"), vocab.oo_age_bands, NO_DATA),
         "oo_gift_tyvalue": value.cast("decimal(38,0)"),
-        "oo_tygift_band": band(value, OO_VALUE_BANDS, NO_DATA),
-        "rg_tygift_band": band(F.col("rg_gift_tyvalue"), OO_VALUE_BANDS, NO_DATA),
+        "oo_tygift_band": band(value, vocab.oo_value_bands, NO_DATA),
+        "rg_tygift_band": band(F.col("rg_gift_tyvalue"), vocab.oo_value_bands, NO_DATA),
         "cash_type_2": F.when(F.col("many_cash"), "Cash_MORE").otherwise(F.col("cash_type")),
         "donor_gb": F.when(F.substring("first_month", 1, 4) == year.label, "New").otherwise("Existing"),
         "life_year": F.get(F.array(*[F.lit(x) for x in LIFE_YEAR_LABELS]), _life_year(year)),
         "earmarking_eng": F.col("d_sec_eng"),
-        "first_earmarking_before": classify(EARMARK, otherwise=EARMARK_DEFAULT),
-        "duration_before_er": F.coalesce(band(F.col("duration_days"), GIFT_GAP_BANDS), F.lit(GIFT_GAP_DEFAULT)),
-        "oo_cy_pay_method_gb": F.when(~method.isin(*OO_SHOWN_METHODS), "Others").otherwise(method),
+        "first_earmarking_before": classify(vocab.earmark, otherwise=vocab.earmark_default),
+        "duration_before_er": F.coalesce(band(F.col("duration_days"), vocab.gift_gap_bands), F.lit(GIFT_GAP_DEFAULT)),
+        "oo_cy_pay_method_gb": F.when(~method.isin(*vocab.oo_shown_methods), "Others").otherwise(method),
     })
 
 
 def oo_profile(
-    gifts: DataFrame, contacts: DataFrame, channels: DataFrame, sections: DataFrame, zip_regions: DataFrame, year: Period
+    gifts: DataFrame, contacts: DataFrame, channels: DataFrame, sections: DataFrame, zip_regions: DataFrame, year: Period, vocab: Vocabulary = DEFAULT_VOCABULARY
 ) -> DataFrame:
     """The profile by eighteen raw keys; labels are put on after grouping, so equal labels may repeat."""
     keys = [
@@ -308,7 +303,7 @@ def oo_profile(
         "oo_cy_pay_method_gb", "first_earmarking_before", "duration_before_er",
     ]
     grouped = (
-        oo_supporters(gifts, contacts, channels, sections, zip_regions, year)
+        oo_supporters(gifts, contacts, channels, sections, zip_regions, year, vocab=vocab)
         .groupBy(*keys)
         .agg(
             F.count("supporter_id").alias("count"),
@@ -318,7 +313,7 @@ def oo_profile(
         )
     )
     return grouped.select(
-        classify(OO_CHANNEL_SHORT, otherwise=F.col("channel_gb2")).alias("channel_s"),
+        classify(vocab.oo_channel_short, otherwise=F.col("channel_gb2")).alias("channel_s"),
         F.col("channel_f").alias("channel_f_wncash"),
         F.coalesce("cash_type_2", F.lit("No Cash donor")).alias("cash_type_2"),
         "donor_type_ty", "donor_type_origin", "donor_gb", "oo_tygift_band", "rg_tygift_band", "age_band", "gender",

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..vocab import NO_DATA, REGION_CLASSES, REGION_GROUPS, REGION_NO_DATA
+from ..vocab import DEFAULT_VOCABULARY, NO_DATA, Vocabulary
 
 
-def region_columns(df: DataFrame) -> DataFrame:
+def region_columns(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Three readings of ``region``: cleaned, grouped and classed."""
     region = F.col("region")
-    missing = region.isNull() | region.isin(*REGION_NO_DATA)
+    missing = region.isNull() | region.isin(*vocab.region_no_data)
     return df.withColumns({
         "region_1": F.when(missing, NO_DATA).otherwise(region),
-        "region_2": classify(REGION_GROUPS, otherwise=NO_DATA),
-        "region_3": classify(REGION_CLASSES, otherwise=NO_DATA),
+        "region_2": classify(vocab.region_groups, otherwise=NO_DATA),
+        "region_3": classify(vocab.region_classes, otherwise=NO_DATA),
     })
 
 

@@ -12,10 +12,7 @@ from ..functions import band, channel_key, classify, first_of_month_text, matche
 from ..functions import one_of_like
 from ..operators import Stage, first_per_key, ordinal, with_lookup
 from ..period import Period
-from ..vocab import (
-    CONVERSION_SITE, DEFAULT_VOCABULARY, LAPSED_EXCLUDED_CAMPAIGNS, OFFICE_ROUTE, OVERDUE_REASON, REACTIVATION_SITE,
-    TENURE_QUARTER_BANDS, TENURE_YEAR_BANDS, Vocabulary,
-)
+from ..vocab import CONVERSION_SITE, DEFAULT_VOCABULARY, OFFICE_ROUTE, OVERDUE_REASON, REACTIVATION_SITE, Vocabulary
 from .commitments import classified_pledges, commitment_core, existing_channels
 
 DIMENSIONS = ("review_month", "channel_sitecode", "channel_gb", "recruit_channel", "f2f_type_street_b2b",
@@ -104,9 +101,9 @@ CANCELLED_COLUMNS = (
 )
 
 
-def _counted_pledges(pledges: DataFrame) -> DataFrame:
+def _counted_pledges(pledges: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     campaign = F.col("campaign_raw")
-    return pledges.filter(campaign.isNotNull() & ~one_of_like(campaign, LAPSED_EXCLUDED_CAMPAIGNS)).select(
+    return pledges.filter(campaign.isNotNull() & ~one_of_like(campaign, vocab.lapsed_excluded_campaigns)).select(
         "pledge_uid", "donor_no", "org", F.col("rg_amount").alias("gift_amount"),
         channel_key(campaign).alias("channel_t"), F.col("user_type1").alias("developer_old"),
         F.col("user_input_1").alias("location"), "submit_date", "start_month",
@@ -128,8 +125,8 @@ def _with_cancellation(counted: DataFrame, cancelled: DataFrame, vocab: Vocabula
             "cancel_year": F.date_format("cancel_date", "yyyy"),
             "cancel_month": F.date_format("cancel_date", "yyMM"),
             "cancel_route_eng": classify(vocab.cancel_route, otherwise="ERROR"),
-            "ltm_band": band(lifetime, TENURE_QUARTER_BANDS, ""),
-            "lty_band": band(lifetime, TENURE_YEAR_BANDS, ""),
+            "ltm_band": band(lifetime, vocab.tenure_quarter_bands, ""),
+            "lty_band": band(lifetime, vocab.tenure_year_bands, ""),
         })
     )
 
@@ -138,7 +135,7 @@ def cancelled_pledges(
     pledges: DataFrame, cancelled: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY, *, stage: Stage
 ) -> DataFrame:
     """All counted pledges of the cancelled donors, numbered per donor, with tenure and route labels."""
-    rows = _with_cancellation(_counted_pledges(pledges), cancelled, vocab)
+    rows = _with_cancellation(_counted_pledges(pledges, vocab=vocab), cancelled, vocab)
     numbered = ordinal(stage(rows), "donor_no", ["submit_date", "start_month"], "pledge_uid", "pledge_nm", stage)
     return numbered.select(*CANCELLED_COLUMNS)
 
@@ -151,11 +148,11 @@ def lapsed_donors(
     Only the cancelled donors' pledges are ranked. A donor cancels as a whole, so the first pledge is found before
     the join: one row per donor meets it.
     """
-    theirs = _counted_pledges(pledges).join(_own_wish(cancelled).select("donor_no"), "donor_no", "left_semi")
+    theirs = _counted_pledges(pledges, vocab=vocab).join(_own_wish(cancelled).select("donor_no"), "donor_no", "left_semi")
     first = first_per_key(theirs, ["donor_no"], ["submit_date", "start_month", "pledge_uid"])
     rows = _with_cancellation(first, cancelled, vocab)
     numbered = rows.withColumn("pledge_nm", F.lit(1).cast("bigint")).select(*CANCELLED_COLUMNS)
-    lookup = existing_channels(channels).select(
+    lookup = existing_channels(channels, vocab=vocab).select(
         "channel_t", "new_site_code_acq", F.col("channel_excl_upgrade").alias("_channel"),
         F.col("channel").alias("channel_gb"),
     )
@@ -166,13 +163,13 @@ def lapsed_donors(
     )
 
 
-def lapsed_flags(lapsed: DataFrame, month: Period) -> DataFrame:
+def lapsed_flags(lapsed: DataFrame, month: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Lapsed in the month: at all, within three months of joining, within twelve."""
     in_month = month.holds(F.col("cancel_date"))
     return lapsed.withColumns({
         "lapsed": _y_if(in_month),
-        "lapsed_3m": _y_if(in_month & (F.col("ltm_band") == TENURE_QUARTER_BANDS[0].label)),
-        "lapsed_12m": _y_if(in_month & (F.col("lty_band") == TENURE_YEAR_BANDS[0].label)),
+        "lapsed_3m": _y_if(in_month & (F.col("ltm_band") == vocab.tenure_quarter_bands[0].label)),
+        "lapsed_12m": _y_if(in_month & (F.col("lty_band") == vocab.tenure_year_bands[0].label)),
         "review_month": F.lit(month.start),
     })
 
@@ -250,11 +247,11 @@ def donor_retention_summary(
 
     Gift amounts, campaign text and pledge numbers are not in it, so those joins are not planned at all.
     """
-    base = classified_pledges(commitment_core(pledges, contacts), channels, vocab)
+    base = classified_pledges(commitment_core(pledges, contacts, vocab=vocab), channels, vocab)
     lapsed = lapsed_donors(pledges, cancelled_contacts(contacts, month, vocab), channels, vocab)
     return retention_summary(
         dash_donor(donor_flags(base, month, vocab), vocab),
-        dash_lapsed(lapsed_flags(lapsed, month), vocab),
+        dash_lapsed(lapsed_flags(lapsed, month, vocab=vocab), vocab),
         coalesce_period,
     )
 

@@ -13,11 +13,7 @@ from ..functions import (
 )
 from ..operators import split_outliers, with_lookup
 from ..period import Period
-from ..vocab import (
-    CASH_TYPE, CROSS_SELL_BANDS, CROSS_SELL_DEFAULT, CROSS_SELL_OVER, DEFAULT_VOCABULARY, ENROL_TYPE, LIFE_YEAR_LABELS,
-    NO_DATA, ONE_OFF, RG_AGE_BANDS, RG_CHANNEL_G1, RG_CHANNEL_G2, RG_CHANNEL_G3, RG_CHANNEL_G3_DEFAULT, RG_CHANNEL_G4,
-    RG_GIFT_BANDS, Vocabulary,
-)
+from ..vocab import CROSS_SELL_DEFAULT, DEFAULT_VOCABULARY, LIFE_YEAR_LABELS, NO_DATA, ONE_OFF, Vocabulary
 from .commitments import existing_channels
 from .profiles import region_columns, with_region
 
@@ -62,14 +58,14 @@ def _life_year_label(years: Column) -> Column:
     return ladder.otherwise(LIFE_YEAR_LABELS[-1])
 
 
-def rg_donor_info(base: DataFrame, contacts: DataFrame, channels: DataFrame, year: Period) -> DataFrame:
+def rg_donor_info(base: DataFrame, contacts: DataFrame, channels: DataFrame, year: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Donor attributes, bands, opt-ins and postal code of the active regular givers."""
     age = F.col("age") - 1  # ages are drawn in the year after the reported one
     donors = contacts.select(
         F.col("donor_no").alias("_donor"),
         F.col("contact_date").alias("sign_up_date"),
         F.col("initial_enroll").alias("first_gb"),
-        classify(ENROL_TYPE).alias("indi_corp"),
+        classify(vocab.enrol_type).alias("indi_corp"),
         F.when(F.col("mvd_type").like("MVD%") & (F.col("mvd_type") != "MVD-PP"), "MVD").alias("mvd_gb"),
         "gender",
         age.alias("age"),
@@ -82,15 +78,15 @@ def rg_donor_info(base: DataFrame, contacts: DataFrame, channels: DataFrame, yea
         F.col("tot_tran").alias("tot_gift_tran"),
         "campaign_raw", "email_opt", "mail_opt", "home_zip", "office_zip",
     )
-    lookup = existing_channels(channels).select(F.col("channel_t").alias("_key"), "channel_excl_upgrade")
+    lookup = existing_channels(channels, vocab=vocab).select(F.col("channel_t").alias("_key"), "channel_excl_upgrade")
     years = whole_years_between(F.lit(year.last_day), first_of_month_text(F.col("first_payment")))
     joined = base.join(donors, F.col("donor_no") == F.col("_donor"), "left").drop("_donor")
     return (
         with_lookup(joined, lookup, "channel_pre", "_key", ["channel_excl_upgrade"])
         .withColumnRenamed("channel_excl_upgrade", "channel_t")
         .withColumns({
-            "age_band": band(F.col("age"), RG_AGE_BANDS, NO_DATA),
-            "gift_band": band(whole_number(F.col("gift_amount")), RG_GIFT_BANDS, NO_DATA),
+            "age_band": band(F.col("age"), vocab.rg_age_bands, NO_DATA),
+            "gift_band": band(whole_number(F.col("gift_amount")), vocab.rg_gift_bands, NO_DATA),
             "life_year_raw": years,
             "life_year_band": _life_year_label(years),
             "email_opt": F.when(F.col("email_opt") == "N", False).otherwise(True),
@@ -111,11 +107,11 @@ def _spend() -> Column:
     return F.col("donation_spend").cast("decimal(18,2)")
 
 
-def _income_sums(income: DataFrame) -> DataFrame:
+def _income_sums(income: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Upgrade, one-off and cash sums per donor and appeal type, from one pass over the year's income."""
     upgrade, one_off = F.col("channel_raw").like("%UP%"), F.col("donor_type") == ONE_OFF
     cash = F.col("channel_raw").like("%Cash%")
-    kind = F.when(cash, classify(CASH_TYPE, {"campaign": F.col("channel_raw")}, "No_cash_donor"))
+    kind = F.when(cash, classify(vocab.cash_type, {"campaign": F.col("channel_raw")}, "No_cash_donor"))
     rows = income.filter(upgrade | one_off | cash).select(
         F.col("donor_no").alias("_donor"), kind.alias("cash_type"), _spend().alias("_spend"),
         upgrade.alias("_up"), one_off.alias("_oo"), cash.alias("_cash"),
@@ -133,9 +129,9 @@ def _mean(total: Column, count: Column) -> Column:
     return total.cast("decimal(28,2)") / F.nullif(count, F.lit(0))
 
 
-def with_income(info: DataFrame, income: DataFrame) -> DataFrame:
+def with_income(info: DataFrame, income: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Donors beside their upgrade and one-off totals, and a row for each of their cash appeal types."""
-    sums = _income_sums(income)
+    sums = _income_sums(income, vocab=vocab)
     whole = Window.partitionBy("_donor")
     total = {c: F.sum(c).over(whole).alias(f"_{c}") for n in ("up", "oo") for c in (f"{n}_rows", f"{n}_amounts", f"{n}_sum")}
     has_cash = F.max((F.col("cash_rows") > 0).cast("int")).over(whole).alias("_has_cash")
@@ -155,21 +151,21 @@ def with_income(info: DataFrame, income: DataFrame) -> DataFrame:
     return info.join(facts, F.col("donor_no") == F.col("_donor"), "left")
 
 
-def rg_addons(info: DataFrame, income: DataFrame, zip_regions: DataFrame) -> DataFrame:
+def rg_addons(info: DataFrame, income: DataFrame, zip_regions: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Donor info with upgrade, cash appeal, region and cross-sell columns.
 
     Cash types multiply a donor's rows, as the profile counts a donor once per type.
     """
     average = F.col("_avg_oo_gift")
-    over, over_label = CROSS_SELL_OVER
+    over, over_label = vocab.cross_sell_over
     extended = (
-        region_columns(with_region(with_income(info, income), zip_regions).withColumn("region", F.coalesce("region", F.lit(""))))
+        region_columns(with_region(with_income(info, income, vocab=vocab), zip_regions).withColumn("region", F.coalesce("region", F.lit(""))), vocab=vocab)
         .withColumns({
             "upgrade": F.when(F.col("_up_count") > 0, "RG_Upgrade").otherwise("No_Upgrade"),
             "up_count": F.nullif(F.col("_up_count"), F.lit(0)),
             "cross_sell": F.when(F.col("_oo_count") > 0, "cross_sell").otherwise(""),
             "avg_oo_gift_band": F.when(average > over, over_label).otherwise(
-                band(average, CROSS_SELL_BANDS, CROSS_SELL_DEFAULT)
+                band(average, vocab.cross_sell_bands, CROSS_SELL_DEFAULT)
             ),
             "oo_count": F.nullif(F.col("_oo_count"), F.lit(0)),
         })
@@ -180,25 +176,25 @@ def rg_addons(info: DataFrame, income: DataFrame, zip_regions: DataFrame) -> Dat
     )
 
 
-def rg_channel_groups(df: DataFrame) -> DataFrame:
+def rg_channel_groups(df: DataFrame, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """Four groupings of the recruiting channel ``channel_t``."""
     channel = F.col("channel_t")
     return df.withColumns({
-        "channel_g1": classify(RG_CHANNEL_G1, otherwise=channel),
-        "channel_g2": classify(RG_CHANNEL_G2, otherwise=channel),
-        "channel_g3": classify(RG_CHANNEL_G3, otherwise=RG_CHANNEL_G3_DEFAULT),
-        "channel_g4": classify(RG_CHANNEL_G4, otherwise=channel),
+        "channel_g1": classify(vocab.rg_channel_g1, otherwise=channel),
+        "channel_g2": classify(vocab.rg_channel_g2, otherwise=channel),
+        "channel_g3": classify(vocab.rg_channel_g3, otherwise=vocab.rg_channel_g3_default),
+        "channel_g4": classify(vocab.rg_channel_g4, otherwise=channel),
     })
 
 
-def rg_profile(addons: DataFrame, year: Period) -> DataFrame:
+def rg_profile(addons: DataFrame, year: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> DataFrame:
     """The profile: donors, ages and amounts by sixteen dimensions."""
     dimensions = [
         "year", "channel_g2", "channel_g3", "channel_g4", "channel_t", "gift_band", "age_band", "gender", "region_3",
         "email_opt", "mail_opt", "mvd_gb", "upgrade", "cross_sell", "life_year", "cash_type",
     ]
     return (
-        rg_channel_groups(addons)
+        rg_channel_groups(addons, vocab=vocab)
         .withColumns({
             "year": F.lit(year.label),
             "life_year": F.col("life_year_band"),

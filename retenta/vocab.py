@@ -39,6 +39,7 @@ LAPSED_EXCLUDED_CAMPAIGNS = ("PPH%", "UP%", "ONE%", "Reacti%")
 RG_EXCLUDED_CAMPAIGNS = ("UPGRADE%", "ONEOFF%", "UP_%", "PPH%")
 MONTHLY_LIST_EXCLUDED_CAMPAIGNS = ("UP%", "Reactivation%", "Cash%")
 LIST_EXCLUDED_CAMPAIGNS_ANY_CASE = ("pph%",)
+REACTIVATION_CAMPAIGNS, CONVERSION_CAMPAIGNS = ("Reactivation%",), ("CONVERSION%",)
 SITE_CODE_LITERAL = "2.%"
 
 OO_EXCLUDED_METHODS = ("HappyBean",)
@@ -288,18 +289,61 @@ def _bank_ledger(own_name: str) -> tuple[Rule, ...]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """The values a job may be asked to report under; ladders that never vary stay module constants."""
+    """The values and rules a run reports under. ``rule_tables`` reads and writes the rules and bands among them as rows."""
 
     own_name: str = "OWN ORGANISATION"
     recurring_methods: tuple[str, ...] = RECURRING_METHODS
     commitment_excluded_names: tuple[str, ...] = COMMITMENT_EXCLUDED_NAMES
     cancelled_excluded_names: tuple[str, ...] = CANCELLED_EXCLUDED_NAMES
+    check_excluded_names: tuple[str, ...] = CHECK_EXCLUDED_NAMES
     lapsed_excluded_sites: tuple[str, ...] = LAPSED_EXCLUDED_SITES
+    lapsed_excluded_campaigns: tuple[str, ...] = LAPSED_EXCLUDED_CAMPAIGNS
+    monthly_list_excluded_campaigns: tuple[str, ...] = MONTHLY_LIST_EXCLUDED_CAMPAIGNS
+    list_excluded_campaigns_any_case: tuple[str, ...] = LIST_EXCLUDED_CAMPAIGNS_ANY_CASE
+    rg_excluded_campaigns: tuple[str, ...] = RG_EXCLUDED_CAMPAIGNS
+    non_acquiring_channels: tuple[str, ...] = NON_ACQUIRING_CHANNELS
+    non_acquiring_channel_patterns: tuple[str, ...] = NON_ACQUIRING_CHANNEL_PATTERNS
+    reactivation_campaigns: tuple[str, ...] = REACTIVATION_CAMPAIGNS
+    conversion_campaigns: tuple[str, ...] = CONVERSION_CAMPAIGNS
+    oo_excluded_methods: tuple[str, ...] = OO_EXCLUDED_METHODS
+    oo_shown_methods: tuple[str, ...] = OO_SHOWN_METHODS
+    region_no_data: tuple[str, ...] = REGION_NO_DATA
+    earmark_default: str = EARMARK_DEFAULT
+    rg_channel_g3_default: str = RG_CHANNEL_G3_DEFAULT
+    cross_sell_over: tuple[int, str] = CROSS_SELL_OVER
+    pledge_status: tuple[Rule, ...] = PLEDGE_STATUS
+    enrol_type: tuple[Rule, ...] = ENROL_TYPE
+    collector_route: tuple[Rule, ...] = COLLECTOR_ROUTE
+    cash_type: tuple[Rule, ...] = CASH_TYPE
+    earmark: tuple[Rule, ...] = EARMARK
     recruit_channel: tuple[Rule, ...] = RECRUIT_CHANNEL
     f2f_type: tuple[Rule, ...] = F2F_TYPE
     f2f_detail: tuple[Rule, ...] = F2F_DETAIL
-    monthly_list_excluded_campaigns: tuple[str, ...] = MONTHLY_LIST_EXCLUDED_CAMPAIGNS
-    rg_excluded_campaigns: tuple[str, ...] = RG_EXCLUDED_CAMPAIGNS
+    rg_channel_g1: tuple[Rule, ...] = RG_CHANNEL_G1
+    rg_channel_g2: tuple[Rule, ...] = RG_CHANNEL_G2
+    rg_channel_g3: tuple[Rule, ...] = RG_CHANNEL_G3
+    rg_channel_g4: tuple[Rule, ...] = RG_CHANNEL_G4
+    oo_channel_gb1: tuple[Rule, ...] = OO_CHANNEL_GB1
+    oo_channel_gb2: tuple[Rule, ...] = OO_CHANNEL_GB2
+    oo_channel_gb3: tuple[Rule, ...] = OO_CHANNEL_GB3
+    oo_channel_short: tuple[Rule, ...] = OO_CHANNEL_SHORT
+    region_groups: tuple[Rule, ...] = REGION_GROUPS
+    region_classes: tuple[Rule, ...] = REGION_CLASSES
+    tenure_quarter_bands: tuple[Band, ...] = TENURE_QUARTER_BANDS
+    tenure_year_bands: tuple[Band, ...] = TENURE_YEAR_BANDS
+    rg_age_bands: tuple[Band, ...] = RG_AGE_BANDS
+    oo_age_bands: tuple[Band, ...] = OO_AGE_BANDS
+    rg_gift_bands: tuple[Band, ...] = RG_GIFT_BANDS
+    cross_sell_bands: tuple[Band, ...] = CROSS_SELL_BANDS
+    oo_value_bands: tuple[Band, ...] = OO_VALUE_BANDS
+    gift_gap_bands: tuple[Band, ...] = GIFT_GAP_BANDS
+    #: Without rules of their own these two ladders are made for ``own_name``.
+    cancel_route_rules: tuple[Rule, ...] | None = None
+    bank_ledger_rules: tuple[Rule, ...] | None = None
+
+    def __post_init__(self) -> None:
+        if len(self.cash_type) > 62:  # the bits of a long hold the types given to
+            raise ValueError("at most 62 appeal types")
 
     @property
     def commitment_name_words(self) -> tuple[str, ...]:
@@ -307,11 +351,11 @@ class Vocabulary:
 
     @property
     def cancel_route(self) -> tuple[Rule, ...]:
-        return _cancel_route(self.own_name)
+        return _cancel_route(self.own_name) if self.cancel_route_rules is None else self.cancel_route_rules
 
     @property
     def bank_ledger(self) -> tuple[Rule, ...]:
-        return _bank_ledger(self.own_name)
+        return _bank_ledger(self.own_name) if self.bank_ledger_rules is None else self.bank_ledger_rules
 
 
 DEFAULT_VOCABULARY = Vocabulary()

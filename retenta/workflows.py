@@ -69,17 +69,20 @@ def _stored_new_donors(sources: Sources, quarter: Period, out: str) -> DataFrame
     return stored
 
 
-def refresh_commitment_view(sources: Sources, out: str, as_of: date, loaded_at: datetime) -> None:
+def refresh_commitment_view(
+    sources: Sources, out: str, as_of: date, loaded_at: datetime, vocab: Vocabulary = DEFAULT_VOCABULARY
+) -> None:
     """Replace the stored commitment view."""
     check_lookups(sources, "campaigns", "contacts", "transactions")
     view = commitments.commitment_view(
-        sources["pledges"], sources["transactions"], sources["contacts"], sources["campaigns"], as_of, loaded_at
+        sources["pledges"], sources["transactions"], sources["contacts"], sources["campaigns"], as_of, loaded_at, vocab
     )
     create_or_replace(view, f"{out}/commitment_view")
 
 
 def refresh_commitment_view_by_months(
-    sources: Sources, out: str, as_of: date, loaded_at: datetime, months: Sequence[Period] | None
+    sources: Sources, out: str, as_of: date, loaded_at: datetime, months: Sequence[Period] | None,
+    vocab: Vocabulary = DEFAULT_VOCABULARY,
 ) -> None:
     """Replace the stored commitment view, reading of the gifts only ``months`` (None: all of them, to begin with)."""
     check_lookups(sources, "campaigns", "contacts")
@@ -89,7 +92,7 @@ def refresh_commitment_view_by_months(
     else:
         states.refresh(gifts, months)
     extremes = commitments.extremes_of(states.state(gifts))
-    view = commitments.commitment_view_of(sources["pledges"], extremes, sources["contacts"], sources["campaigns"], as_of, loaded_at)
+    view = commitments.commitment_view_of(sources["pledges"], extremes, sources["contacts"], sources["campaigns"], as_of, loaded_at, vocab)
     create_or_replace(view, f"{out}/commitment_view")
 
 
@@ -131,14 +134,14 @@ def run_oneoff_rollup(sources: Sources, span: Period, out: str) -> None:
 def data_checks(sources: Sources, month: Period, vocab: Vocabulary = DEFAULT_VOCABULARY) -> dict[str, DataFrame]:
     """Pledges to correct before the report, and the flags counted against each other."""
     pledges, contacts, channels = sources["pledges"], sources["contacts"], sources["channel_gb"]
-    base = commitments.classified_pledges(commitments.commitment_core(pledges, contacts), channels, vocab)
+    base = commitments.classified_pledges(commitments.commitment_core(pledges, contacts, vocab), channels, vocab)
     cancelled = retention.cancelled_contacts(contacts, month, vocab)
     lapsed = retention.lapsed_donors(pledges, cancelled, channels, vocab)
     return {
-        "dq_missing_campaign": commitments.missing_campaign(pledges, month),
+        "dq_missing_campaign": commitments.missing_campaign(pledges, month, vocab),
         "dq_inhouse_unmarked": commitments.inhouse_unmarked(pledges, month),
         "flag_crosstab": retention.flag_crosstab(
-            retention.donor_flags(base, month, vocab), retention.lapsed_flags(lapsed, month)
+            retention.donor_flags(base, month, vocab), retention.lapsed_flags(lapsed, month, vocab)
         ),
     }
 
@@ -157,7 +160,7 @@ def month_counts(
             contacts, sources["pledges"], sources["channel_gb"], month, vocab
         ),
         "external_cancel_by_route": monthly.external_cancel_by_route(
-            sources["change_history"], sources["cms_results"], crm, month
+            sources["change_history"], sources["cms_results"], crm, month, vocab
         ),
         "bank_income_class": monthly.bank_income_class(ledger, month, vocab),
         "anonymous_oneoff": monthly.anonymous_oneoff(ledger, transactions, month, vocab=vocab),
@@ -165,7 +168,9 @@ def month_counts(
     }
 
 
-def run_quarter(sources: Sources, quarter: Period, out: str, redraw: bool = False, through_chains: bool = False) -> None:
+def run_quarter(
+    sources: Sources, quarter: Period, out: str, redraw: bool = False, through_chains: bool = False, vocab: Vocabulary = DEFAULT_VOCABULARY
+) -> None:
     """The quarter's active-donor summary, its donor lists with their read-outs, and the conversion cross-check.
 
     New donors come from the stored monthly lists, of which all three months must be there; ``redraw`` draws them
@@ -177,14 +182,14 @@ def run_quarter(sources: Sources, quarter: Period, out: str, redraw: bool = Fals
     last = quarter.last_day
     window, ytd = Period.trailing(last.year, last.month), Period.ytd(last.year, last.month)
     with _run_folder(sources, out) as stage:
-        new = lists.new_donor_quarter(gifts, transactions, ytd, stage=stage) if redraw else _stored_new_donors(sources, quarter, out)
+        new = lists.new_donor_quarter(gifts, transactions, ytd, stage=stage, vocab=vocab) if redraw else _stored_new_donors(sources, quarter, out)
         active = lists.active_donor_summary(sources["gift_facts"], sources["contacts"], window, quarter.label)
         _store(active, "active_donor_summary", out, quarter.label)
         taken = lists.quarter_slice(new, "first_transaction_date", quarter, REPORTS["new_donor"].fieldNames())
         _store(taken, "quarter_new_donor", out, quarter.label)
-        returned = lists.reactivation_list(gifts, transactions, quarter, stage)
+        returned = lists.reactivation_list(gifts, transactions, quarter, stage, vocab)
         _store(returned, "reactivation_donor", out, quarter.label)
-        converted = stage(lists.conversion_list(gifts, transactions, quarter, stage))
+        converted = stage(lists.conversion_list(gifts, transactions, quarter, stage, vocab))
         _store(converted, "conversion_donor", out, quarter.label)
         for name, listed, date in (
             ("new_donor_readout", taken, "first_transaction_date"), ("reactivation_readout", returned, "reactivation_date"),
@@ -204,12 +209,12 @@ def run_year(sources: Sources, year: Period, out: str, vocab: Vocabulary = DEFAU
     check_lookups(sources, "channel_gb", "ltv_channel_gb", "don_section", "zip_code_region", "contacts")
     _keep(rg_profile.income_control_totals(sources["income"]), "income_control_totals", out, year.label)
     base = rg_profile.rg_active_base(sources["pledges"], year, vocab)
-    info = rg_profile.rg_donor_info(base, sources["contacts"], sources["channel_gb"], year)
-    addons = rg_profile.rg_addons(info, sources["income"], sources["zip_code_region"])
-    _store(rg_profile.rg_profile_rows(rg_profile.rg_profile(addons, year)), "rg_profile", out, year.label)
+    info = rg_profile.rg_donor_info(base, sources["contacts"], sources["channel_gb"], year, vocab)
+    addons = rg_profile.rg_addons(info, sources["income"], sources["zip_code_region"], vocab)
+    _store(rg_profile.rg_profile_rows(rg_profile.rg_profile(addons, year, vocab)), "rg_profile", out, year.label)
     profile = oo_profile.oo_profile(
         sources["ltv_gifts"], sources["contacts"], sources["ltv_channel_gb"], sources["don_section"],
-        sources["zip_code_region"], year,
+        sources["zip_code_region"], year, vocab,
     )
     _store(oo_profile.oo_profile_rows(profile, year), "oo_profile", out, year.label)
 

@@ -22,6 +22,7 @@ from retenta.plans import oo_profile as oo
 from retenta.plans import retention as ret
 from retenta.plans import rg_profile as rg
 from retenta.plans.profiles import region_columns
+from retenta.rule_tables import rule_usage as usage_of
 from retenta.sources import REPORTS
 from retenta.sources.gift_states import GiftStates
 from retenta.vocab import (
@@ -554,3 +555,15 @@ def region_classes(t):
 def same_day_gifts(t):
     """The duplicate-key check, on supporter and day of all classified gifts."""
     return duplicate_keys(t["classified_gifts"], ["supporter_id", "transaction_date"])
+
+
+@_job
+def rule_usage(t):
+    """What each rule of four ladders takes: of the cancelled donors, of all contacts, and of the gifts' halves."""
+    gifts = t["transactions"].select((F.col("tran_amount") / 2).alias("half"))
+    return (
+        usage_of(_cancelled(t), "cancel_route")
+        .unionByName(usage_of(t["contacts"], "enrol_type"))
+        .unionByName(usage_of(t["contacts"], "oo_age_bands", value="age"))
+        .unionByName(usage_of(gifts, "cross_sell_bands", value="half"))
+    )

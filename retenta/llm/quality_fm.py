@@ -131,7 +131,7 @@ def _chars(batch: pa.RecordBatch, t: v.Texts) -> np.ndarray:
 
 
 def train(sample: DataFrame) -> FactorisationMachine:
-    """Fit on ``sample`` (doc_id, text, n_chars, y). Without rows the model says 0.5 of every text."""
+    """Fit on ``sample`` (doc_id, text, n_chars, y). Without rows the model knows nothing: its scores lie about 0.5."""
     rows = _gathered(sample)
     model = FactorisationMachine.fresh()
     y = rows.column("y").to_numpy()
@@ -150,7 +150,7 @@ def scored(docs: DataFrame, labels: DataFrame, space: Workspace, label: str = "q
 
     Learns from labelled rows whose fold is not ``out``. Null texts are empty texts and are scored by their statistics;
     a null n_chars, or a table without it, is a value of its own. Rows that repeat a doc_id are scored each. A null
-    doc_id is not held out. Without labels every score is 0.5. Other columns are not looked at.
+    doc_id is not held out. Without labels scores lie about 0.5 and tell nothing. Other columns are not looked at.
     """
     chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
     texts = docs.select("doc_id", "text", chars.alias("n_chars"))

@@ -8,9 +8,12 @@ consistent weighted sampling picks there; a bin that got none samples all elemen
 share one with a probability of 0.9988, at 0.85 of 0.99998.
 
 Within a bucket no pairs are listed: members are compared with a pivot, the member whose buckets are largest (a text
-that others were copied from keeps all its bands, its copies lose some). Similar pairs join their classes. What then
-is still of several classes goes on with more and more pivots from outside the largest class, until all members there
-have been pivots. So every two members of a bucket, whatever its size, are in one class or were compared.
+that others were copied from keeps all its bands, its copies lose some). Similar pairs join their classes. The members
+of buckets that then still are of several classes meet by prefix filter: every text's shingles are put in one order,
+rare ones first, and two texts at the wanted similarity must share one of the first shingles of both, at places that
+leave enough weight behind. Shingles that hold several classes get a pivot each in the same way; at last all pairs of
+different classes that pass the filter are compared. So every two members of a bucket, whatever its size, are in one
+class, were compared, or can't be similar.
 
 Pairs are first judged on their samples, of which at least ``AGREE`` must be equal (106 are expected at a similarity of
 0.8); only then the shingles of both are fetched for the exact weighted Jaccard similarity.
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import vectext as v
@@ -33,8 +36,8 @@ BANDS, ROWS = 22, 6
 BINS = BANDS * ROWS
 #: Equal samples that a pair needs to be verified: five standard errors below those expected at 0.8.
 AGREE = 82
-#: Members of a bucket that become pivots in the first round after its first pivot, and how many times more in each next one.
-PIVOTS, MORE = 8, 4
+#: Cells that shingles are counted in to put rare ones first. The order decides on the work, not on the result.
+CELLS = 1 << 20
 #: Shingles in at least this share of the documents have a document frequency; rarer ones all weigh 1.
 FREQUENT = 0.01
 #: The weight of a shingle that is in every document. Near copies of one text that make up much of the corpus must
@@ -113,6 +116,12 @@ class Weights:
         self.ids = ids
         self.idf = LEAST_IDF + (1 - LEAST_IDF) * np.log(total / np.maximum(df, 1)) / np.log(1 / share)
 
+    def short(self) -> Weights:
+        """The same by 32 bits of the shingles."""
+        out = Weights.__new__(Weights)
+        out.ids, out.idf = (self.ids >> v.U64(8)).astype("<u4"), self.idf
+        return out
+
     def of(self, ids: np.ndarray, tf: np.ndarray) -> np.ndarray:
         out = tf.astype(np.float64)
         if len(self.ids):
@@ -239,9 +248,7 @@ def _likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _similar(pairs: DataFrame, vectors: DataFrame, weights: Weights, share: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose weighted Jaccard similarity is at least ``share``."""
-    short = Weights.__new__(Weights)
-    short.ids, short.idf = (weights.ids >> v.U64(8)).astype("<u4"), weights.idf
-    shared = pairs.sparkSession.sparkContext.broadcast(short)
+    shared = pairs.sparkSession.sparkContext.broadcast(weights.short())
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,6 +260,56 @@ def _similar(pairs: DataFrame, vectors: DataFrame, weights: Weights, share: floa
     return pairs.join(of("b", "y").hint("merge"), "b").join(of("a", "x").hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
 
 
+def _packed(shingles: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a packed set and their numbers."""
+    return np.unique(np.frombuffer(shingles.as_buffer(), "<u4"), return_counts=True)
+
+
+def _rarity(vectors: DataFrame) -> np.ndarray:
+    """How many texts have a shingle, counted in ``CELLS`` cells by the shingle's upper bits."""
+    shift = 33 - CELLS.bit_length()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            each = [_packed(x)[0] for x in batch.column("shingles")]
+            if each:
+                cells += np.bincount(np.concatenate(each) >> shift, minlength=CELLS)
+        some = np.flatnonzero(cells)
+        yield pa.record_batch([pa.array(some), pa.array(cells[some])], ["cell", "c"])
+
+    sums = vectors.select("shingles").mapInArrow(count, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[sums.column("cell").to_numpy()] = sums.column("c").to_numpy()
+    return np.minimum(out, 0xFFFFFFFF).astype("<u4")
+
+
+def _prefixes(vectors: DataFrame, weights: Weights, share: float) -> DataFrame:
+    """(bucket, id, rest, whole): the first shingles of each text, rare ones first, as far as the weight from there on is ``share`` of the whole.
+
+    If two texts are similar, the weight of either from their first common shingle on is at least what they share,
+    which is at least ``share`` of the weight of each.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast((weights.short(), _rarity(vectors)))
+    shift = 33 - CELLS.bit_length()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        short, rarity = shared.value
+        for batch in batches:
+            held: list[tuple[np.ndarray, ...]] = []
+            for i, x in zip(batch.column("id").to_pylist(), batch.column("shingles"), strict=True):
+                ids, tf = _packed(x)
+                order = np.argsort((rarity[ids >> shift].astype(v.U64) << v.U64(32)) | ids)
+                w = short.of(ids, tf)[order]
+                rest = np.cumsum(w[::-1])[::-1]
+                n = np.searchsorted(-rest, -share * rest[0] * (1 - 1e-9), "right")
+                held.append((ids[order[:n]].astype(np.int64), np.full(n, i), rest[:n], np.full(n, rest[0])))
+            if held:
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["bucket", "id", "rest", "whole"])
+
+    return vectors.select("id", "shingles").mapInArrow(first, "bucket long, id long, rest double, whole double")
+
+
 def _buckets(texts: DataFrame) -> DataFrame:
     """(bucket, id, n): the buckets of texts by a band and their sizes, without those of one text."""
     each = texts.where(F.size("bands") > 0).select("id", F.explode("bands").alias("bucket"))
@@ -274,7 +331,7 @@ class _Classes:
         if self.labels is None:
             return members.withColumn("label", F.col("id"))
         all_of = members.join(self.labels.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = all_of.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        mixed = self.space.stage(all_of.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket"), f"mixed-{self.step}")
         return all_of.join(mixed.hint("merge"), "bucket")
 
     def label(self) -> None:
@@ -282,36 +339,40 @@ class _Classes:
         if not self.labelled:
             self.labels, self.labelled = components(self.links, self.space, f"classes-{self.step}"), True
 
-    def compare(self, placed: DataFrame, pivots: DataFrame) -> bool:
-        """Compare ``pivots`` (bucket, a, a_label) with the members outside their class. False if there was nothing left."""
-        met = placed.join(pivots.hint("merge"), "bucket").where("label != a_label")
+    def compare(self, met: DataFrame) -> None:
+        """Compare the pairs (a, id) of ``met`` that were not compared before."""
         pairs = met.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested.hint("merge"), ["a", "b"], "left_anti")
         pairs = self.space.stage(pairs, f"pairs-{self.step}")
-        if pairs.isEmpty():
-            return False
         self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
         found = self.space.stage(_similar(_likely(pairs, self.texts), self.vectors, self.weights, self.share), f"links-{self.step}")
         self.links = found if self.links is None else self.links.unionByName(found)
         self.step, self.labelled = self.step + 1, False
-        return True
+
+    def with_pivots(self, members: DataFrame, possible: Column | None = None) -> None:
+        """Compare the members of each bucket of several classes with the one of the highest rank, if that is of another class."""
+        placed = self.space.stage(self.placed(members), f"placed-{self.step}")
+        fixed = [c for c in ("id", "label", "rest", "whole") if c in placed.columns]
+        hub = placed.groupBy("bucket").agg(F.max_by(F.struct(*fixed), "rank").alias("hub"))
+        hubs = self.space.stage(hub.select("bucket", *[F.col(f"hub.{c}").alias("a" if c == "id" else f"a_{c}") for c in fixed]), f"hubs-{self.step}")
+        other = F.col("label") != F.col("a_label")
+        self.compare(placed.join(hubs.hint("merge"), "bucket").where(other if possible is None else other & possible))
 
     def settle(self, members: DataFrame) -> None:
-        """Compare until every two members of a bucket are of one class or were compared."""
-        placed = self.placed(members)
-        hubs = placed.groupBy("bucket").agg(F.max_by("id", "rank").alias("a"), F.max_by("label", "rank").alias("a_label"))
-        pivots, more = PIVOTS, self.compare(placed, hubs)
-        while more:
-            placed = self.placed(members)
-            sizes = placed.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-            largest = sizes.groupBy("bucket").agg(F.max_by("label", F.col("c") * 1024 + F.col("label") % 1024).alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-            order = F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("rank"), "id"))
-            some = placed.join(largest.hint("merge"), "bucket").where("label != main").withColumn("order", order).where(F.col("order") <= pivots)
-            more = self.compare(placed, some.select("bucket", F.col("id").alias("a"), F.col("label").alias("a_label")))
-            # Where these pairs were compared in other buckets already, members may be left that were no pivots yet.
-            more = more or not largest.where(F.col("all") - F.col("most") > pivots).isEmpty()
-            pivots *= MORE
+        """Compare until every two members of a bucket are of one class, were compared, or share too little of their prefixes."""
+        self.with_pivots(members)
+        left = self.space.stage(self.placed(members).groupBy("id").agg(F.first("rank").alias("rank")), "left")
+        if left.isEmpty():
+            return
+        vectors = self.space.stage(self.vectors.join(left.hint("merge"), "id"), "left-vectors")
+        entries = self.space.stage(_prefixes(vectors, self.weights, self.share).join(left.hint("merge"), "id"), "prefixes")
+        # What two texts share is at least this part of both weights added up, and lies behind their first common shingle.
+        enough = F.least("rest", "a_rest") >= (F.col("whole") + F.col("a_whole")) * (self.share / (1 + self.share) * (1 - 1e-9))
+        self.with_pivots(entries, enough)
+        rest = self.space.stage(self.placed(entries), "rest")
+        other = rest.select("bucket", *[F.col(c).alias("a" if c == "id" else f"a_{c}") for c in ("id", "label", "rest", "whole")])
+        self.compare(rest.join(other.hint("merge"), "bucket").where((F.col("label") < F.col("a_label")) & enough))
 
 
 def near_duplicate_classes(docs: DataFrame, space: Workspace, share: float = 0.8) -> DataFrame:
@@ -335,7 +396,8 @@ def near_duplicate_classes(docs: DataFrame, space: Workspace, share: float = 0.8
     candidates = space.stage(ranks.select("id").join(texts, "id").select("id", F.col("key").alias("of"), F.col("doc_id").alias("first_id")), "candidates")
     here = (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     whole = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text").join(candidates.hint("merge"), here).select("id", "text")
-    found.vectors = space.stage(_vectors(whole), "vectors")
+    # Rows that repeat an id and text are one text.
+    found.vectors = space.stage(_vectors(whole.dropDuplicates(["id"])), "vectors")
     found.settle(space.stage(members.join(ranks.hint("merge"), "id"), "members"))
     found.label()
     joined = texts.select("key", "doc_id", "id").withColumn("label", F.col("id"))

@@ -4,7 +4,8 @@ A count c is quantised to level 1 + floor(log_1.5 c), and the n-gram is put into
 to its own. A query probes level 1, 2, ... until one is missing; the last level found gives the count. The filter holds
 unigrams and bigrams of the training texts. It is cut into segments by hash; a segment is built by one task from all
 counts of its n-grams, with ``BITS`` bits an entry, so the error rate is the same for every corpus. Segments of up to
-``max_bytes`` together are broadcast. Larger filters stay where they are: the distinct n-grams of each piece of text go
+``max_bytes`` together are broadcast as files, which Spark brings to every executor, also to one that comes later; its
+workers map them into memory, so an executor holds one copy. Larger filters stay where they are: the distinct n-grams of each piece of text go
 to their segments by a shuffle, are looked up there, and their levels meet the piece again.
 
 The probability of a word w after v is lambda * c(vw) / c(v) + (1 - lambda) * (c(w) + 1) / (N + V + 1), with a lambda
@@ -18,11 +19,16 @@ tokens (at most that many words) are broadcast, the others meet the texts' rare
 
 from __future__ import annotations
 
+import fcntl
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -122,6 +128,45 @@ class CountFilter:
         return out
 
 
+@dataclass
+class ShippedFilter:
+    """A filter whose segments came to the executor as Parquet files (seg, words).
+
+    The first worker of an executor to ask lays the segments one after the other in a file beside them.
+    """
+
+    segments: int
+    files: list[str]
+
+    @cached_property
+    def _mapped(self) -> CountFilter:
+        root = SparkFiles.getRootDirectory()
+        path = f"{root}/{min(self.files, default='none')}.words"
+        with open(f"{path}.lock", "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            if not os.path.exists(f"{path}.npy"):
+                self._lay_out(root, path)
+        size, first = np.load(f"{path}.npy")
+        words = np.asarray(np.memmap(path, "<u8", "r")) if os.path.getsize(path) else np.zeros(0, v.U64)
+        return CountFilter(self.segments, first, size, words)
+
+    def _lay_out(self, root: str, path: str) -> None:
+        size, first, at = np.zeros(self.segments, np.int64), np.zeros(self.segments, np.int64), 0
+        with open(path, "wb") as out:
+            for name in self.files:
+                for batch in pq.ParquetFile(f"{root}/{name}").iter_batches(1, columns=["seg", "words"]):
+                    words = batch.column("words")[0].as_buffer()
+                    seg = batch.column("seg")[0].as_py()
+                    size[seg], first[seg] = len(words) // 8, at
+                    at += len(words) // 8
+                    out.write(words)
+        np.save(f"{path}.part.npy", np.stack([size, first]))
+        os.rename(f"{path}.part.npy", f"{path}.npy")
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        return self._mapped.level(h)
+
+
 @dataclass
 class Answers:
     """The levels of the n-grams of a piece, looked up before."""
@@ -213,16 +258,6 @@ def build_filter(texts: DataFrame, segments: int, space: Workspace) -> DataFrame
     return space.stage(built, "filter").select("seg", "words")
 
 
-def gathered(built: DataFrame, segments: int) -> CountFilter:
-    """The whole filter."""
-    rows = built.toArrow()
-    size, parts = np.zeros(segments, np.int64), {}
-    for seg, words in zip(rows.column("seg").to_pylist(), rows.column("words"), strict=True):
-        parts[seg] = np.frombuffer(words.as_buffer(), "<u8")
-        size[seg] = len(parts[seg])
-    return CountFilter(segments, np.cumsum(size) - size, size, np.concatenate([parts[s] for s in sorted(parts)] or [np.zeros(0, v.U64)]))
-
-
 def _asked(t: Tokens) -> np.ndarray:
     """The distinct n-grams of a piece, sorted."""
     return np.unique(np.concatenate([t.h, t.pairs]))
@@ -257,7 +292,7 @@ def looked_up(texts: DataFrame, built: DataFrame, segments: int, copies: int) ->
 
 @dataclass
 class Model:
-    counts: CountFilter | Answers | None
+    counts: CountFilter | ShippedFilter | Answers | None
     total: int
     distinct: int
     frequent: np.ndarray
@@ -326,7 +361,7 @@ def _cells(parts: tuple[np.ndarray, np.ndarray, np.ndarray], learnt: np.ndarray)
 def train(texts: DataFrame, space: Workspace, max_bytes: int = 512 << 20) -> tuple[Model, DataFrame, DataFrame, int]:
     """The model of ``texts`` (text; null: empty), the table (h, c) of exact token counts, the filter and its number of segments.
 
-    The model holds the filter if that has at most ``max_bytes``.
+    The model names the filter's files, sent to all executors, if those have at most ``max_bytes``.
     """
     vocabulary = space.stage(word_counts(texts), "words")
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -337,7 +372,7 @@ def train(texts: DataFrame, space: Workspace, max_bytes: int = 512 << 20) -> tup
     segments = 1 << int(np.clip(np.ceil(np.log2(max(1, sums["n"]) / 1e6)), 4, 16))
     built = build_filter(texts, segments, space)
     size = built.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
-    counts = gathered(built, segments) if size <= max_bytes else None
+    counts = ShippedFilter(segments, space.shipped(built)) if size <= max_bytes else None
     return Model(counts, sums["n"], sums["v"], h[order], c[order]), vocabulary, built, segments
 
 

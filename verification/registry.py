@@ -23,7 +23,7 @@ from retenta.plans import retention as ret
 from retenta.plans import rg_profile as rg
 from retenta.plans.profiles import region_columns
 from retenta.rule_tables import rule_usage as usage_of
-from retenta.sources import REPORTS
+from retenta.sources import REPORTS, TABLES, MonthlyTable
 from retenta.sources.gift_states import GiftStates
 from retenta.vocab import (
     AGE_ORDER, CROSS_SELL_BANDS, NO_DATA, OO_AGE_BANDS, OO_VALUE_BANDS, OO_VALUE_ORDER, RG_GIFT_BANDS, TENURE_QUARTER_BANDS,
@@ -407,6 +407,30 @@ def oneoff_by_section(t):
     return mon.oneoff_by_section(t["transactions"], p.MONTH)
 
 
+def _gifts_by_month(t: StandIns) -> MonthlyTable:
+    """All gifts, stored by month; one quarter is stored again, as after corrections, and must stand there once."""
+    gifts = t["transactions"]
+    stored = MonthlyTable(gifts.sparkSession, f"{_stage(t).path}/gifts", TABLES["transactions"], "send_date")
+    stored.build(gifts)
+    stored.refresh(gifts, p.QUARTER.months())
+    return stored
+
+
+@_job
+def oneoff_by_section_stored(t):
+    """From the files of the month only."""
+    return mon.oneoff_by_section(_gifts_by_month(t).during(p.MONTH), p.MONTH)
+
+
+@_job
+def gifts_stored_by_month(t):
+    """Gifts of a month and of a half year by month, and of the whole table."""
+    stored, counts = _gifts_by_month(t), (F.count(F.lit(1)).alias("gifts"), F.countDistinct("donor_no").alias("donors"), F.sum("tran_amount").alias("amount"))
+    month = F.date_format("send_date", "yyyy-MM").alias("gift_month")
+    some = stored.during(p.MONTH, Period.half(1997, 1)).groupBy(month).agg(*counts)
+    return some.unionByName(stored.rows().agg(*counts).withColumn("gift_month", F.lit("all")))
+
+
 @_job
 def oneoff_rollup(t):
     bitmaps = _stage(t)(distinct_rollup.donor_bitmaps(t["transactions"], p.YEAR))

@@ -105,6 +105,15 @@ def test_crowded_buckets_are_settled_in_full(spark, space, monkeypatch):
     assert len(set(want)) == 30 and {r.doc_id: r.class_id for r in found} == dict(enumerate(want))
 
 
+def test_rows_that_repeat_id_and_text_are_one_text(spark, space):
+    rng = random.Random(17)
+    text = prose(rng, 120, 5000)
+    texts = [text, edited(rng, text, 1)]
+    found = near_dedup.near_duplicate_classes(docs(spark, [(None, t, "en") for t in texts for _ in range(40)]), space)
+    assert {(r.class_id, r.class_texts) for r in found.collect()} == {(None, 2)} and found.count() == 80
+    assert spark.read.parquet(f"{space.folder}/links-0").count() == 1
+
+
 def test_near_duplicates_of_nothing(spark, space):
     assert near_dedup.near_duplicate_classes(docs(spark, []), space).count() == 0
     alone = near_dedup.near_duplicate_classes(docs(spark, [(1, None, None), (None, "a b", None)]), space).collect()

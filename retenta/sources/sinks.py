@@ -8,6 +8,7 @@ run that fails leaves the old ones.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,39 @@ def replace_folder(df: DataFrame, path: str, partition_by: str | None = None) ->
     fs.delete(place(beside), True)
 
 
+def replace_folders(df: DataFrame, path: str, level: str, label: str, names: Mapping[str, str]) -> None:
+    """Write the tables that ``df`` holds in one, by one job, in place of what stands below ``path``.
+
+    A row belongs to the table its column ``level`` names, and to the partition ``label`` there. ``names`` gives the partition
+    column of each table: rows of ``t`` come to ``path/t/<names[t]>=<label>``. A table without rows is an empty folder. Labels are plain text
+    that needs no escaping. As in ``replace_folder``, all is written before the first table is replaced.
+    """
+    root = path.rstrip("/")
+    beside = f"{root}/_new-{uuid.uuid4().hex}"
+    fs, place = _hadoop(df.sparkSession, root)
+    try:
+        df.write.partitionBy(level, label).parquet(f"{beside}/all")
+        for table, name in names.items():
+            written, made = place(f"{beside}/all/{level}={table}"), f"{beside}/{table}"
+            fs.mkdirs(place(made))
+            for part in fs.listStatus(written) if fs.exists(written) else ():
+                value = part.getPath().getName().partition("=")[2]
+                _renamed(fs, part.getPath(), place(f"{made}/{name}={value}"))
+        for table in names:
+            fs.delete(place(f"{root}/{table}"), True)
+            _renamed(fs, place(f"{beside}/{table}"), place(f"{root}/{table}"))
+    except Exception:
+        if all(fs.exists(place(f"{root}/{table}")) for table in names):
+            fs.delete(place(beside), True)
+        raise
+    fs.delete(place(beside), True)
+
+
+def _renamed(fs, old, new) -> None:
+    if not fs.rename(old, new):
+        raise OSError(f"{old} could not be renamed to {new}")
+
+
 def _hadoop(spark: SparkSession, path: str):
     """The file system of ``path``, and how it names places."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

@@ -1,13 +1,16 @@
 """Stored first and last gifts: refreshed by months, they equal those of all gifts."""
 
 import random
+import re
 from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from retenta import Period
 from retenta.plans import commitments as com
+from retenta.sources import gift_states
 from retenta.sources.gift_states import GiftStates
 
 from test_plans import plan, scan_of
@@ -79,3 +82,43 @@ def test_the_view_reads_no_gifts_and_a_refresh_reads_its_months(spark, table, st
     assert "/transactions]" not in text and "/states/years]" in text and "/states/months]" not in text
     month = Period.month(2025, 1)
     assert "GreaterThanOrEqual(send_date,2025-01-01)" in scan_of(plan(com.gift_state(gifts.filter(month.holds(gifts["send_date"])))), "transactions")
+
+
+def test_a_build_shuffles_the_gifts_once(table, states, monkeypatch):
+    gifts = table("transactions", *some_gifts(random.Random(5), 300))
+    written = []
+    replace = gift_states.replace_folders
+    monkeypatch.setattr(gift_states, "replace_folders", lambda df, *a: (written.append(df), replace(df, *a)))
+    states.build(gifts)
+    (both,) = written
+    both.collect()
+    text = plan(both)
+    shuffles = [line for line in text.split("\n== Initial Plan")[0].splitlines() if re.search(r"\bExchange (hash|range|round|single)", line, re.I)]
+    assert "ReusedExchange" in text and "rangepartitioning(gift_year" in text
+    assert "hashpartitioning" not in text and len(shuffles) <= 2, shuffles
+
+
+def test_stored_months_and_years_are_the_states_of_their_gifts(table, states):
+    gifts = table("transactions", *some_gifts(random.Random(6), 300))
+    states.build(gifts)
+    day = F.col("send_date")
+    for name, partition, pattern in (("months", "gift_month", "yyyy-MM"), ("years", "gift_year", "yyyy")):
+        label = F.coalesce(F.date_format(day, pattern), F.lit("undated"))
+        expected = com.gift_state(gifts.withColumn(partition, label), partition).select("pledge_uid", "first_gift", "last_gift", partition)
+        assert rows(states._read(name, partition, gifts)) == rows(expected)
+
+
+def test_a_single_gift_is_stored_once(spark, table, states):
+    gift = {"tran_uid": "a", "pledge_uid": 1, "tran_amount": None, "send_date": date(2025, 3, 1)}
+    gifts = table("transactions", gift, {**gift, "tran_uid": "b", "pledge_uid": 2}, {**gift, "tran_uid": "c", "pledge_uid": 2})
+    states.build(gifts)
+    stored = spark.read.parquet(f"{states.path}/months").select("pledge_uid", "first_gift.tran_uid", F.col("last_gift.tran_uid").alias("last"))
+    assert rows(stored) == [(1, "a", None), (2, "b", "c")]
+    assert rows(com.extremes_of(states.state(gifts))) == rows(com.gift_extremes(gifts))
+
+
+def test_a_build_without_gifts_takes_the_place_of_an_earlier_one(table, states):
+    states.build(table("transactions", *some_gifts(random.Random(7), 20)))
+    nothing = table("transactions")
+    states.build(nothing)
+    assert rows(states.state(nothing)) == []

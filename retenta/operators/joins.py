@@ -5,11 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .staging import use_checkpoints
 
+SIEVE_BITS, SIEVE_MOST = 16, 1 << 26
+
 
 def with_lookup(df: DataFrame, lookup: DataFrame, key: str, lookup_key: str, columns: Sequence[str]) -> DataFrame:
     """Left join that adds lookup columns; the lookup's key must be unique."""
@@ -27,6 +29,28 @@ def with_membership(df: DataFrame, members: DataFrame, key: str, member_key: str
     )
 
 
+def sieved(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``df`` without most of the rows whose key is not in ``wanted``, a stored table of one column, for an exact join to follow.
+
+    Each wanted key sets one bit, its hash, in an array of at least ``SIEVE_BITS`` bits a key; rows whose bit is not set are
+    left out, NULL keys maybe. As a filter by a subquery it goes down to the scan, below the joins and shuffles that ``df``
+    is made by. The array has at most ``SIEVE_MOST`` bits (8 MB), however many keys are wanted: beyond that more rows pass.
+    """
+    bits = min(1 << (SIEVE_BITS * max(wanted.count(), 64) - 1).bit_length(), SIEVE_MOST)
+
+    def place(column: str) -> tuple[Column, Column]:
+        at = F.pmod(F.xxhash64(column), F.lit(bits))
+        return F.floor(at / 64).cast("int"), F.pmod(at, F.lit(64)).cast("int")
+
+    word, bit = place(wanted.columns[0])
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bit"))
+    found = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(one).alias("_set"))
+    every = wanted.sparkSession.range(bits // 64).join(found, F.col("id") == F.col("_word"), "left")
+    words = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("_set", F.lit(0).cast("bigint")).alias("set")))).alias("_all"))
+    word, bit = place(key)
+    return df.filter(F.getbit(F.get(words.select(F.col("_all.set")).scalar(), word), bit) == 1)
+
+
 def follow_merges(links: DataFrame) -> DataFrame:
     """Final survivor of every merged member, through chains of merges.
 

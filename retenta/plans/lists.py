@@ -2,7 +2,8 @@
 
 The lists join a few first gifts to the whole gift table. ``stage`` may be given a function that stores
 that short list and reads it back (``operators.staged``): knowing its size, Spark then streams the gifts
-past it instead of shuffling them all. Without it the jobs stay lazy.
+past it instead of shuffling them all. A list too long for that sieves the gifts where they are read, so that few
+more than its own are shuffled. Without it the jobs stay lazy.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import one_of_like, whole_number
-from ..operators import Stage, as_is, first_per_key, follow_merges, with_membership
+from ..operators import Stage, as_is, first_per_key, follow_merges, sieved, with_membership
 from ..period import Period
 from ..vocab import DEFAULT_VOCABULARY, SITE_CODE_LITERAL, Vocabulary
 
@@ -26,6 +27,11 @@ def _site_code_rule(prefix_rule: bool) -> Column:
     return ~site.like(SITE_CODE_LITERAL) if prefix_rule else site != SITE_CODE_LITERAL
 
 
+def _paid(first: DataFrame, transactions: DataFrame, stage: Stage) -> DataFrame:
+    """The gifts to look the first gifts up in; less most of the others if the list is stored."""
+    return transactions if stage is as_is else sieved(transactions, "tran_uid", first.select("transaction_id"))
+
+
 def _new_donors(
     gifts: DataFrame, transactions: DataFrame, ytd: Period, shown: Period, excluded: Sequence[str], prefix_rule: bool,
     stage: Stage, vocab: Vocabulary = DEFAULT_VOCABULARY
@@ -42,7 +48,7 @@ def _new_donors(
     )
     # Who is new is settled over the year to date; the shown period is cut after that.
     first = stage(first_per_key(acquired, ["supporter_id"], GIFT_ORDER).filter(shown.holds(F.col("transaction_date"))))
-    paid = transactions.select(F.col("tran_uid").alias("_tran"), "tran_amount", "payment_method", "donation_section")
+    paid = _paid(first, transactions, stage).select(F.col("tran_uid").alias("_tran"), "tran_amount", "payment_method", "donation_section")
     return first.join(paid, F.col("transaction_id") == F.col("_tran")).select(
         F.col("supporter_id").alias("donor_no"),
         "transaction_type",
@@ -114,7 +120,7 @@ def reactivation_list(
     first = stage(first_per_key(reactivated, ["supporter_id", "campaign_id"], GIFT_ORDER).filter(
         quarter.holds(F.col("transaction_date"))
     ))
-    paid = transactions.select(F.col("tran_uid").alias("_tran"), "tran_amount", "payment_method", "donation_section")
+    paid = _paid(first, transactions, stage).select(F.col("tran_uid").alias("_tran"), "tran_amount", "payment_method", "donation_section")
     return first.join(paid, F.col("transaction_id") == F.col("_tran")).select(
         F.col("supporter_id").alias("donor_no"),
         "transaction_type",
@@ -142,7 +148,7 @@ def conversion_list(
         F.col("acq_gb_simple").alias("first_oo_acq_gb_simple"),
         F.col("sitecode").alias("first_oo_sitecode"),
     )
-    paid = transactions.select(
+    paid = _paid(converted, transactions, stage).select(
         F.col("tran_uid").alias("_tran"),
         F.col("tran_amount").alias("conversion_amount"),
         F.col("donation_section").alias("conversion_donation_section"),

@@ -2,9 +2,10 @@ from datetime import date
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from retenta import Period
-from retenta.operators import first_per_key, follow_merges
+from retenta.operators import RunFolder, first_per_key, follow_merges, joins, sieved, staged
 from retenta.plans import lists
 
 JUNE, Q2, H1 = Period.month(2026, 6), Period.quarter(2026, 2), Period.half(2026, 1)
@@ -135,3 +136,38 @@ def test_read_out_sorts_and_cuts(spark):
 def test_first_per_key_gives_one_row_per_key(spark):
     frame = spark.range(1000).selectExpr("id % 7 AS k", "id AS v")
     assert sorted((r.k, r.v) for r in first_per_key(frame, ["k"], ["v"]).collect()) == [(i, i) for i in range(7)]
+
+
+def test_a_sieve_keeps_all_wanted_rows_and_few_others(spark, tmp_path):
+    wanted = staged(spark.range(0, 200).select(F.concat(F.lit("t"), F.col("id") * 7).alias("uid")), str(tmp_path), "wanted")
+    gifts = spark.range(20_000).select(F.concat(F.lit("t"), F.col("id")).alias("tran_uid")).union(spark.sql("SELECT CAST(NULL AS STRING)"))
+    kept = [r.tran_uid for r in sieved(gifts.union(gifts), "tran_uid", wanted).collect()]
+    hits = [f"t{7 * i}" for i in range(200) for _ in range(2)]
+    assert sorted(u for u in kept if u in set(hits)) == sorted(hits) and len(kept) < 400 + 40_000 / 8
+    assert sieved(gifts, "tran_uid", staged(wanted.limit(0), str(tmp_path), "none")).count() == 0
+
+
+def test_a_sieve_of_too_many_keys_loses_none(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(joins, "SIEVE_MOST", 64)
+    wanted = staged(spark.range(500), str(tmp_path), "many")
+    assert sieved(spark.range(1000), "id", wanted).filter("id < 500").count() == 500
+
+
+def test_stored_lists_are_those_of_lazy_ones_and_sieve_the_gifts(spark, table, tmp_path):
+    gifts = table("classified_gifts", *[gift(f"g{i}", i % 40, date(2026, 1 + i % 6, 1 + i % 28), c, k) for i in range(200)
+                                        for c, k in [(("F2F/a", "Regular"), ("CONVERSION/TM/02", "Single"), ("Reactivation/TM/01", "Single"))[i % 3]]])
+    uids = [f"g{i}" for i in range(150)] + ["g1", "g1", "g4", None] + [f"other{i}" for i in range(3000)]  # some missing, some twice
+    table("transactions", *[{"tran_uid": u, "tran_amount": Decimal(i)} for i, u in enumerate(uids)]).write.parquet(str(tmp_path / "transactions"))
+    paid_gifts = spark.read.parquet(str(tmp_path / "transactions"))
+    stage, year = RunFolder(spark, str(tmp_path)), Period.year(2026)
+    for make in (lambda **s: lists.new_donor_quarter(gifts, paid_gifts, Period.ytd(2026, 6), **s), lambda **s: lists.conversion_list(gifts, paid_gifts, year, **s),
+                 lambda **s: lists.reactivation_list(gifts.withColumn("acq_gb_simple", F.lit("Existing")), paid_gifts, year, **s)):
+        stored = make(stage=stage)
+        assert sorted(map(repr, stored.collect())) == sorted(map(repr, make().collect()))
+        assert "getbit" in stored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_sieve_goes_below_the_join_that_makes_the_gifts(spark, tmp_path):
+    left, right = (staged(spark.range(100).select("id", F.col("id").alias(n)), str(tmp_path), n) for n in ("a", "b"))
+    text = sieved(left.join(right, "id"), "a", staged(spark.range(3), str(tmp_path), "c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Join") < text.index("getbit")

@@ -61,7 +61,7 @@ def replace_folders(df: DataFrame, path: str, level: str, label: str, names: Map
     beside = f"{root}/_new-{uuid.uuid4().hex}"
     fs, place = _hadoop(df.sparkSession, root)
     try:
-        df.write.partitionBy(level, label).parquet(f"{beside}/all")
+        df.write.option("compression", "zstd").partitionBy(level, label).parquet(f"{beside}/all")
         for table, name in names.items():
             written, made = place(f"{beside}/all/{level}={table}"), f"{beside}/{table}"
             fs.mkdirs(place(made))

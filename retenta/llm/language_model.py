@@ -3,10 +3,12 @@
 A count c is quantised to level 1 + floor(log_1.5 c), and the n-gram is put into a Bloom filter once for each level up
 to its own. A query probes level 1, 2, ... until one is missing; the last level found gives the count. The filter holds
 unigrams and bigrams of the training texts. It is cut into segments by hash; a segment is built by one task from all
-counts of its n-grams, with ``BITS`` bits an entry, so the error rate is the same for every corpus. Segments of up to
-``max_bytes`` together are broadcast as files, which Spark brings to every executor, also to one that comes later; its
-workers map them into memory, so an executor holds one copy. Larger filters stay where they are: the distinct n-grams of each piece of text go
-to their segments by a shuffle, are looked up there, and their levels meet the piece again.
+counts of its n-grams, with ``BITS`` bits an entry, so the error rate is the same for every corpus.
+
+The filter is not sent anywhere, however large or small it is. The distinct n-grams of each block of texts, with their
+counts in its training texts, go to the segments by one shuffle; a segment is built from them and answers them at once.
+It starts at the level of an n-gram's count, as that and all below are in the filter by construction. Its answers, a byte
+an n-gram, meet the block again, which is shuffled as one compressed Arrow stream.
 
 The probability of a word w after v is lambda * c(vw) / c(v) + (1 - lambda) * (c(w) + 1) / (N + V + 1), with a lambda
 for each level of c(v), fitted by expectation-maximisation on all training texts, whose own counts are taken off. The
@@ -19,16 +21,11 @@ tokens (at most that many words) are broadcast, the others meet the texts' rare
 
 from __future__ import annotations
 
-import fcntl
-import os
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
-from functools import cached_property
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
@@ -43,8 +40,13 @@ FREQUENT = 1_000_000
 FLUSH = 1 << 20
 #: Steps of the binary logarithm of a ratio that tokens are counted by for the weights lambda.
 RATIO_STEPS = 256
+#: Bytes of text of a block, whose distinct n-grams are asked for together.
+BLOCK_BYTES = 4 << 20
 END = v.mix(np.array([0xE0D], v.U64), 41)[0]
 _KEY_BITS = 48
+_LEVEL_STEP = 0xD1342543DE82EF95
+#: Bytes of text, and n-grams, whose arrays fit into a core's cache.
+_NEAR_BYTES, _NEAR_KEYS = 1 << 17, 1 << 14
 
 
 @dataclass
@@ -61,16 +63,19 @@ class Tokens:
 
 
 def tokens(t: v.Texts) -> Tokens:
-    w = v.words(t)
-    counts = v.per_doc(w.doc, len(t))
-    ends = np.cumsum(counts + 1) - 1
-    h = np.full(len(w.doc) + len(t), END, v.U64)
-    inside = np.ones(len(h), bool)
-    inside[ends] = False
-    h[inside] = v.span_hashes(t.buf, w.start, w.end)
+    found, counts = [np.zeros(0, v.U64)], [np.zeros(0, np.int64)]
+    for some in v.cut(t, _NEAR_BYTES):
+        w = v.words(some)
+        counts.append(v.per_doc(w.doc, len(some)) + 1)
+        h = np.full(len(w.doc) + len(some), END, v.U64)
+        inside = np.ones(len(h), bool)
+        inside[np.cumsum(counts[-1]) - 1] = False
+        h[inside] = v.span_hashes(some.buf, w.start, w.end)
+        found.append(h)
+    h = np.concatenate(found)
     prev = np.empty_like(h)
     prev[1:], prev[:1] = h[:-1], END
-    return Tokens(h, prev, np.repeat(np.arange(len(t)), counts + 1))
+    return Tokens(h, prev, np.repeat(np.arange(len(t)), np.concatenate(counts)))
 
 
 def levels(c: np.ndarray) -> np.ndarray:
@@ -103,79 +108,35 @@ class CountFilter:
         """The words of a segment that holds these n-grams, at most so many if that is given."""
         q = levels(counts)
         words = np.zeros(min(most_words or 1 << 60, -(-int(q.sum()) * BITS // 64)), v.U64)
-        size = np.full(len(keys), len(words))
-        for level in range(1, int(q.max()) + 1):
-            x = keys[q >= level] + v.U64(level * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
-            for at, bits in cls._places(x, size[:len(x)]):
-                np.bitwise_or.at(words, at, bits)
+        for i in range(0, len(keys), _NEAR_KEYS):
+            near, most = keys[i:i + _NEAR_KEYS], q[i:i + _NEAR_KEYS]
+            for level in range(1, int(most.max()) + 1):
+                x = near[most >= level] + v.U64(level * _LEVEL_STEP & 0xFFFFFFFFFFFFFFFF)
+                for at, bits in cls._places(x, np.full(len(x), len(words))):
+                    np.bitwise_or.at(words, at, bits)
         return words
 
-    def level(self, h: np.ndarray) -> np.ndarray:
-        """The level of each n-gram: repeated probes, one level higher as long as the filter has it."""
-        seg = (h >> v.U64(_KEY_BITS)).astype(np.int64) & (self.segments - 1)
+    def level(self, h: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """The level of each n-gram: repeated probes, one level higher as long as the filter has it.
+
+        ``known``: a level of each that the filter is known to have, with all below it.
+        """
+        out = np.zeros(len(h), np.int64) if known is None else known.copy()
+        for i in range(0, len(h), _NEAR_KEYS):
+            self._raise(h[i:i + _NEAR_KEYS], out[i:i + _NEAR_KEYS])
+        return out
+
+    def _raise(self, h: np.ndarray, out: np.ndarray) -> None:
+        seg = _segment_of(h, self.segments)
         key, first, size = h & v.U64((1 << _KEY_BITS) - 1), self.first[seg], self.size[seg]
-        out = np.zeros(len(h), np.int64)
         at = np.flatnonzero(size > 0)
-        level = 0
         while len(at):
-            level += 1
-            x = key[at] + v.U64(level * 0xD1342543DE82EF95 & 0xFFFFFFFFFFFFFFFF)
+            x = key[at] + (out[at] + 1).astype(v.U64) * v.U64(_LEVEL_STEP)
             found = np.ones(len(at), bool)
             for place, bits in self._places(x, size[at]):
                 found &= self.words[first[at] + place] & bits == bits
             at = at[found]
-            out[at] = level
-        return out
-
-
-@dataclass
-class ShippedFilter:
-    """A filter whose segments came to the executor as Parquet files (seg, words).
-
-    The first worker of an executor to ask lays the segments one after the other in a file beside them.
-    """
-
-    segments: int
-    files: list[str]
-
-    @cached_property
-    def _mapped(self) -> CountFilter:
-        root = SparkFiles.getRootDirectory()
-        path = f"{root}/{min(self.files, default='none')}.words"
-        with open(f"{path}.lock", "w") as lock:
-            fcntl.flock(lock, fcntl.LOCK_EX)
-            if not os.path.exists(f"{path}.npy"):
-                self._lay_out(root, path)
-        size, first = np.load(f"{path}.npy")
-        words = np.asarray(np.memmap(path, "<u8", "r")) if os.path.getsize(path) else np.zeros(0, v.U64)
-        return CountFilter(self.segments, first, size, words)
-
-    def _lay_out(self, root: str, path: str) -> None:
-        size, first, at = np.zeros(self.segments, np.int64), np.zeros(self.segments, np.int64), 0
-        with open(path, "wb") as out:
-            for name in self.files:
-                for batch in pq.ParquetFile(f"{root}/{name}").iter_batches(1, columns=["seg", "words"]):
-                    words = batch.column("words")[0].as_buffer()
-                    seg = batch.column("seg")[0].as_py()
-                    size[seg], first[seg] = len(words) // 8, at
-                    at += len(words) // 8
-                    out.write(words)
-        np.save(f"{path}.part.npy", np.stack([size, first]))
-        os.rename(f"{path}.part.npy", f"{path}.npy")
-
-    def level(self, h: np.ndarray) -> np.ndarray:
-        return self._mapped.level(h)
-
-
-@dataclass
-class Answers:
-    """The levels of the n-grams of a piece, looked up before."""
-
-    h: np.ndarray
-    levels: np.ndarray
-
-    def level(self, h: np.ndarray) -> np.ndarray:
-        return self.levels[np.searchsorted(self.h, h)].astype(np.int64)
+            out[at] += 1
 
 
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
@@ -213,86 +174,92 @@ def _segment_of(h: np.ndarray, segments: int) -> np.ndarray:
     return (h >> v.U64(_KEY_BITS)).astype(np.int64) & (segments - 1)
 
 
-def build_filter(texts: DataFrame, segments: int, space: Workspace) -> DataFrame:
-    """Count all unigrams and bigrams of ``texts`` and build the filter: (seg, words), a row a segment."""
-    packed = np.dtype([("h", "<u4"), ("h2", "<u2"), ("c", "u1")])
+def _codes(h: np.ndarray, segments: int) -> np.ndarray:
+    """Segment and key of each n-gram as one number."""
+    return h & v.U64((segments << _KEY_BITS) - 1)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
 
-        def report() -> pa.RecordBatch:
-            h, c = _counted(held)
-            # Counts over 255 take several entries; the reader adds them up.
-            times = -(-c // 255)
-            part = np.full(times.sum(), 255, np.int64)
-            part[np.cumsum(times) - 1] = c - 255 * (times - 1)
-            h = np.repeat(h, times)
-            seg = (h >> v.U64(_KEY_BITS)).astype(np.int64) & (segments - 1)
-            order = np.argsort(seg, kind="stable")
-            entries = np.zeros(len(h), packed)
-            entries["h"], entries["h2"], entries["c"] = h & v.U64(0xFFFFFFFF), (h >> v.U64(32)) & v.U64(0xFFFF), part
-            entries = entries[order]
-            at = np.searchsorted(seg[order], np.arange(segments + 1))
-            some = np.flatnonzero(np.diff(at))
-            return pa.record_batch([pa.array(some), pa.array([entries[at[s]:at[s + 1]].tobytes() for s in some], pa.binary())], ["seg", "entries"])
+def _entries(t: Tokens, learnt: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the distinct n-grams of a block, sorted, and how often each is in texts to learn from."""
+    x = _codes(np.concatenate([t.h, t.pairs]), segments) << v.U64(1)
+    x |= np.tile(~learnt, 2).astype(v.U64)
+    x.sort()
+    first = v.changes(x)
+    x, n = x[first], np.diff(np.append(first, len(x)))
+    n[x & v.U64(1) == 1] = 0
+    x >>= v.U64(1)
+    first = v.changes(x)
+    return x[first], np.add.reduceat(n, first) if len(first) else n
 
-        for batch in batches:
-            for t in v.pieces(batch.column(0)):
-                found = tokens(t)
-                held += [found.h, found.pairs]
-                n += len(found.h)
-                if n >= FLUSH:
-                    yield report()
-                    held, n = [], 0
-        if n:
-            yield report()
 
-    def build(rows: pa.Table) -> pa.Table:
-        entries = np.concatenate([np.frombuffer(x.as_buffer(), packed) for x in rows.column("entries")])
-        key = entries["h"].astype(v.U64) | (entries["h2"].astype(v.U64) << v.U64(32))
-        keys, back = np.unique(key, return_inverse=True)
-        words = CountFilter.segment(keys, np.bincount(back, weights=entries["c"]))
-        return pa.table({"seg": [rows.column("seg")[0].as_py()], "n": [len(keys)], "words": [words.astype("<u8").tobytes()]})
+#: Counts from here on follow the other columns of packed entries.
+_LARGE = 255
 
-    built = texts.select("text").mapInArrow(count, "seg long, entries binary").groupBy("seg").applyInArrow(build, "seg long, n long, words binary")
-    return space.stage(built, "filter").select("seg", "words")
 
+def _packed(code: np.ndarray, n: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The entries of each segment column by column: 32, 8 and 8 bits of the key, a byte of the count, large counts."""
+    columns = code.astype("<u4"), (code >> v.U64(32)).astype("u1"), (code >> v.U64(40)).astype("u1"), np.minimum(n, _LARGE).astype("u1")
+    large, more = np.flatnonzero(n >= _LARGE), n[n >= _LARGE].astype("<i8")
+    more_at = np.searchsorted(large, at)
+    return [b"".join([*(x[a:b].tobytes() for x in columns), more[c:d].tobytes()]) for a, b, c, d in zip(at[:-1], at[1:], more_at[:-1], more_at[1:], strict=True)]
 
-def _asked(t: Tokens) -> np.ndarray:
-    """The distinct n-grams of a piece, sorted."""
-    return np.unique(np.concatenate([t.h, t.pairs]))
 
+def _unpacked(entries: list[pa.Buffer], n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and counts of rows of ``n`` packed entries, one row after the other."""
+    column = lambda kind, at: np.concatenate([np.frombuffer(x, kind, k, at * k) for x, k in zip(entries, n, strict=True)])
+    key = column("<u4", 0).astype(v.U64) | column("u1", 4).astype(v.U64) << v.U64(32) | column("u1", 5).astype(v.U64) << v.U64(40)
+    count = column("u1", 6).astype(np.int64)
+    count[count == _LARGE] = np.concatenate([np.frombuffer(x, "<i8", offset=7 * k) for x, k in zip(entries, n, strict=True)])
+    return key, count
 
-def looked_up(texts: DataFrame, built: DataFrame, segments: int, copies: int) -> DataFrame:
-    """(piece, seg, levels) of the distinct n-grams of each piece of ``texts`` in each segment, in the order of ``_asked``.
 
-    Each segment is there ``copies`` times, so that pieces of many more tokens than were learnt from spread over more groups.
-    """
+def _binaries(data: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A column of ``n`` bytes of ``data`` a row."""
+    at = np.concatenate([[0], np.cumsum(n)])
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def answered(texts: DataFrame, segments: int, block_bytes: int) -> DataFrame:
+    """Build the filter, and ask it for all n-grams: (block, seg, levels), a byte for each of ``_entries`` of the block in the segment."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t, row in _numbered(batches):
-            h = _asked(tokens(t))
-            seg = _segment_of(h, segments)
-            order = np.argsort(seg, kind="stable")
-            at = np.searchsorted(seg[order], np.arange(segments + 1))
-            some, h = np.flatnonzero(np.diff(at)), h[order]
-            yield pa.record_batch([pa.array(np.full(len(some), row[0])), pa.array(some), pa.array([h[at[s]:at[s + 1]].tobytes() for s in some], pa.binary())], ["piece", "seg", "keys"])
+        for batch, t, row in _numbered(batches, block_bytes):
+            found = tokens(t)
+            code, n = _entries(found, _learnt(batch.column("held_out").slice(t.first, len(t)))[found.doc], segments)
+            at = np.append(np.searchsorted(code, np.arange(segments, dtype=v.U64) << v.U64(_KEY_BITS)), len(code))
+            some = np.flatnonzero(np.diff(at))
+            entries = _packed(code, n, np.append(at[some], len(code)))
+            yield pa.record_batch([pa.array(np.full(len(some), row[0])), pa.array(some), pa.array(np.diff(at)[some]), pa.array(entries, pa.binary())], ["block", "seg", "n", "entries"])
+
+    def answer(rows: pa.Table) -> pa.Table:
+        n = rows.column("n").to_numpy()
+        asked, count = _unpacked([x.as_buffer() for x in rows.column("entries")], n)
+        key, back = np.unique(asked, return_inverse=True)
+        count = np.bincount(back, weights=count)
+        learnt = np.flatnonzero(count)
+        known = np.zeros(len(key), np.int64)
+        known[learnt] = levels(count[learnt])
+        words = CountFilter.segment(key[learnt], count[learnt]) if len(learnt) else np.zeros(0, v.U64)
+        found = CountFilter(1, np.zeros(1, np.int64), np.array([len(words)]), words).level(key, known)
+        return pa.table({"block": rows.column("block"), "seg": rows.column("seg"), "levels": _binaries(found.astype(np.uint8)[back], n)})
 
-    def answer(asks: pa.Table, segment: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), "<u8") for x in asks.column("keys")]
-        words = np.frombuffer(segment.column("words")[0].as_buffer(), "<u8") if len(segment) else np.zeros(0, v.U64)
-        found = CountFilter(1, np.zeros(1, np.int64), np.array([len(words)]), words)
-        levels = [found.level(k).astype(np.uint8).tobytes() for k in keys]
-        return pa.table({"piece": asks.column("piece"), "seg": asks.column("seg"), "levels": pa.array(levels, pa.binary())})
+    return texts.mapInArrow(ask, "block long, seg long, n long, entries binary").groupBy("seg").applyInArrow(answer, "block long, seg long, levels binary")
 
-    asks = texts.mapInArrow(ask, "piece long, seg long, keys binary").withColumn("copy", F.pmod(F.xxhash64("piece"), F.lit(copies)))
-    copied = built.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
-    return asks.groupBy("seg", "copy").cogroup(copied.groupBy("seg", "copy")).applyInArrow(answer, "piece long, seg long, levels binary")
+
+@dataclass
+class Judged:
+    """Of each token of a block: whether its word is frequent, and the exact count then; level of the word before, share after that word, share of all words."""
+
+    known: np.ndarray
+    exact: np.ndarray
+    level: np.ndarray
+    after: np.ndarray
+    alone: np.ndarray
 
 
 @dataclass
 class Model:
-    counts: CountFilter | ShippedFilter | Answers | None
+    segments: int
     total: int
     distinct: int
     frequent: np.ndarray
@@ -305,29 +272,35 @@ class Model:
         at = np.minimum(np.searchsorted(self.frequent, h), len(self.frequent) - 1)
         return self.frequent[at] == h, self.frequent_counts[at]
 
-    def parts(self, t: Tokens, less: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each token: level of the word before, share after that word, share of all words. ``less`` the text's own counts."""
+    def judged(self, t: Tokens, answers: np.ndarray, less: bool = False) -> Judged:
+        """``answers``: the levels of the block's n-grams, in the order of ``_entries``. ``less`` the text's own counts."""
         stands = level_counts()
-        words, back = np.unique(t.h, return_inverse=True)
+        words, back = v.distinct(t.h)
+        pairs, pair_back = v.distinct(t.pairs)
+        # The code is moved to the top bits, which keeps its order.
+        place = v.distinct(_codes(np.concatenate([words, pairs]), self.segments) * v.U64((1 << 64 - _KEY_BITS) // self.segments))[1]
+        found = answers[place].astype(np.int64)
         known, exact = self.exact(words)
-        word_level = self.counts.level(words)
+        word_level = found[:len(words)]
         end = np.searchsorted(words, END)
         before = np.empty_like(back)
         before[1:], before[:1] = back[:-1], end
-        pairs, pair_back = np.unique(t.pairs, return_inverse=True)
-        pair = stands[self.counts.level(pairs)][pair_back]
         count = np.where(known, exact, stands[word_level])
-        word, context, level = count[back], count[before], word_level[before]
+        word, context, pair = count[back], count[before], stands[found[len(words):]][pair_back]
         if less:
-            own = lambda x: (lambda u, i, c: c[i])(*np.unique(x + v.mix(t.doc.astype(v.U64), 45), return_inverse=True, return_counts=True))
-            word, pair, context = np.maximum(word - own(t.h), 0), np.maximum(pair - own(t.pairs), 0), np.maximum(context - own(t.prev), 0)
+            own_word, own_pair = v.times(t.doc * len(words) + back), v.times(t.doc * len(pairs) + pair_back)
+            # A text has its end token before its first word, so the words before its tokens are its tokens.
+            first, last = v.changes(t.doc), np.append(v.changes(t.doc)[1:], len(t.doc)) - 1
+            own_context = np.empty_like(own_word)
+            own_context[1:], own_context[first] = own_word[:-1], own_word[last]
+            word, pair, context = np.maximum(word - own_word, 0), np.maximum(pair - own_pair, 0), np.maximum(context - own_context, 0)
         after = np.divide(np.minimum(pair, context), context, out=np.zeros(len(pair)), where=context > 0)
-        return level, after, (word + 1) / (self.total + self.distinct + 1)
+        return Judged(known[back], exact[back], word_level[before], after, (word + 1) / (self.total + self.distinct + 1))
 
-    def score(self, t: Tokens, weights: np.ndarray) -> np.ndarray:
-        level, after, alone = self.parts(t)
-        w = weights[level]
-        return np.log10(w * after + (1 - w) * alone)
+
+def scores(j: Judged, weights: np.ndarray) -> np.ndarray:
+    w = weights[j.level]
+    return np.log10(w * j.after + (1 - w) * j.alone)
 
 
 def ratio_cells(level: np.ndarray, after: np.ndarray, alone: np.ndarray) -> np.ndarray:
@@ -353,43 +326,45 @@ def fitted_weights(cell: np.ndarray, n: np.ndarray, rounds: int = 30) -> np.ndar
     return weights
 
 
-def _cells(parts: tuple[np.ndarray, np.ndarray, np.ndarray], learnt: np.ndarray) -> pa.RecordBatch:
-    cell, n = np.unique(ratio_cells(*(x[learnt] for x in parts)), return_counts=True)
+def _cells(j: Judged, learnt: np.ndarray) -> pa.RecordBatch:
+    cell, n = np.unique(ratio_cells(j.level[learnt], j.after[learnt], j.alone[learnt]), return_counts=True)
     return pa.record_batch([pa.array(cell), pa.array(n)], ["cell", "n"])
 
 
-def train(texts: DataFrame, space: Workspace, max_bytes: int = 512 << 20) -> tuple[Model, DataFrame, DataFrame, int]:
-    """The model of ``texts`` (text; null: empty), the table (h, c) of exact token counts, the filter and its number of segments.
-
-    The model names the filter's files, sent to all executors, if those have at most ``max_bytes``.
-    """
-    vocabulary = space.stage(word_counts(texts), "words")
+def train(texts: DataFrame, space: Workspace, block_bytes: int = BLOCK_BYTES) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of the rows of ``texts`` (text; null: empty) that are not held out, the table (h, c) of exact token counts, and the filter's answers."""
+    learnt = texts.where(~F.col("held_out"))
+    vocabulary = space.stage(word_counts(learnt), "words")
     sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     often = vocabulary.where((F.col("c") * FREQUENT >= sums["n"]) & (F.col("c") > 1)).toArrow()
     h, c = often.column("h").to_numpy().view(v.U64), often.column("c").to_numpy().astype(np.float64)
     order = np.argsort(h)
-    # About a million tokens a segment.
-    segments = 1 << int(np.clip(np.ceil(np.log2(max(1, sums["n"]) / 1e6)), 4, 16))
-    built = build_filter(texts, segments, space)
-    size = built.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
-    counts = ShippedFilter(segments, space.shipped(built)) if size <= max_bytes else None
-    return Model(counts, sums["n"], sums["v"], h[order], c[order]), vocabulary, built, segments
+    size = F.octet_length("text").cast("long")
+    sizes = texts.agg(F.sum(size).alias("all"), F.sum(F.when(~F.col("held_out"), size)).alias("learnt")).first()
+    # About a million tokens a segment, or four million with those that are asked for only.
+    most = max(1, sums["n"]) / 1e6 * max(1, (sizes["all"] or 0) / max(1, sizes["learnt"] or 0) / 4)
+    segments = 1 << int(np.clip(np.ceil(np.log2(most)), 4, 15))
+    return Model(segments, sums["n"], sums["v"], h[order], c[order]), vocabulary, space.stage(answered(texts, segments, block_bytes), "levels")
 
 
 def _row_id(i: np.ndarray) -> np.ndarray:
     return (np.int64(TaskContext.get().partitionId()) << np.int64(36)) + i
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, v.Texts, np.ndarray]]:
+def _numbered(batches: Iterator[pa.RecordBatch], limit: int = v.PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, v.Texts, np.ndarray]]:
     """The pieces of the batches of a task, with the numbers of their rows."""
     n = 0
     for batch in batches:
-        for t in v.pieces(batch.column("text")):
+        for t in v.pieces(batch.column("text"), limit):
             yield batch, t, _row_id(n + np.arange(len(t)))
             n += len(t)
 
 
-def scored(docs: DataFrame, training: Column, space: Workspace, max_bytes: int = 512 << 20) -> DataFrame:
+def _learnt(held: pa.Array) -> np.ndarray:
+    return ~held.fill_null(True).to_numpy(zero_copy_only=False)
+
+
+def scored(docs: DataFrame, training: Column, space: Workspace, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """n_tokens, n_known, train_tokens, base_score and score of each row of ``docs``, beside doc_id and ``held_out``.
 
     ``training`` marks the rows to learn from; the others are held out. Null texts are empty and consist of an end
@@ -398,65 +373,51 @@ def scored(docs: DataFrame, training: Column, space: Workspace, max_bytes: int =
     unless it is a table of files.
     """
     texts = space.stored(docs.select("doc_id", "text", (~training).alias("held_out")), "documents")
-    model, vocabulary, built, segments = train(texts.where(~F.col("held_out")), space, max_bytes)
+    model, vocabulary, answers = train(texts, space, block_bytes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     log_total = float(np.log10(model.total + model.distinct + 1))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def judged(m: Model, t: v.Texts, row: np.ndarray, doc_id: pa.Array, held: pa.Array, weights: np.ndarray | None) -> pa.RecordBatch:
-        """The scores of a piece; without ``weights`` what they are fitted on."""
-        found = tokens(t)
-        if weights is None:
-            return _cells(m.parts(found, less=True), ~held.to_numpy(zero_copy_only=False).astype(bool)[found.doc])
-        known, c = m.exact(found.h)
-        total = lambda x: np.bincount(found.doc, weights=x, minlength=len(t))
-        base = np.where(known, np.log10(c + 1) - log_total, 0.0)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(row), doc_id, held, pa.array(v.per_doc(found.doc, len(t))), pa.array(total(known).astype(np.int64)), pa.array(total(base)),
-             pa.array(total(m.score(found, weights)))],
-            names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
-
-    def each_piece(rows: DataFrame, weights: np.ndarray | None, schema: str) -> DataFrame:
-        if answers is None:
-
-            def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for batch, t, row in _numbered(batches):
-                    yield judged(shared.value, t, row, batch.column("doc_id").slice(t.first, len(t)), batch.column("held_out").slice(t.first, len(t)), weights)
-
-            return rows.mapInArrow(near, schema)
-
-        def meet(piece: pa.Table, found: pa.Table) -> pa.Table:
-            piece, found = piece.sort_by("row").combine_chunks(), found.sort_by("seg")
-            (t,) = v.pieces(piece.column("text"), 1 << 62)
-            h = _asked(tokens(t))
-            levels = np.zeros(len(h), np.uint8)
-            levels[np.argsort(_segment_of(h, segments), kind="stable")] = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in found.column("levels")])
-            doc_id, held = (piece.column(c).combine_chunks() for c in ("doc_id", "held_out"))
-            return pa.Table.from_batches([judged(replace(shared.value, counts=Answers(h, levels)), t, piece.column("row").to_numpy(), doc_id, held, weights)])
-
-        return placed.groupBy("piece").cogroup(answers.groupBy("piece")).applyInArrow(meet, schema)
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, t, row in _numbered(batches):
-            fixed = [batch.column(x).slice(t.first, len(t)) for x in ("doc_id", "held_out", "text")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), row[0])), pa.array(row), *fixed], names=["piece", "row", "doc_id", "held_out", "text"])
+        for batch, t, row in _numbered(batches, block_bytes):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(batch.slice(t.first, len(t)))
+            yield pa.record_batch([pa.array(row[:1]), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block", "texts"])
+
+    def each_block(weights: np.ndarray | None, schema: str) -> DataFrame:
+        """The scores of the rows; without ``weights`` what they are fitted on."""
+
+        def meet(block: pa.Table, found: pa.Table) -> pa.Table:
+            texts = pa.ipc.open_stream(block.column("texts")[0].as_buffer()).read_all().combine_chunks()
+            (t,) = v.pieces(texts.column("text"), 1 << 62)
+            answers = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in found.sort_by("seg").column("levels")])
+            doc_id, held = (texts.column(c).combine_chunks() for c in ("doc_id", "held_out"))
+            found = tokens(t)
+            j = shared.value.judged(found, answers, less=weights is None)
+            if weights is None:
+                return pa.Table.from_batches([_cells(j, _learnt(held)[found.doc])])
+            total = lambda x: np.bincount(found.doc, weights=x, minlength=len(t))
+            base = np.where(j.known, np.log10(j.exact + 1) - log_total, 0.0)
+            return pa.Table.from_arrays(
+                [pa.array(block.column("block")[0].as_py() + np.arange(len(t))), doc_id, held, pa.array(v.per_doc(found.doc, len(t))),
+                 pa.array(total(j.known).astype(np.int64)), pa.array(total(base)), pa.array(total(scores(j, weights)))],
+                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+        placed = texts.mapInArrow(place, "block long, texts binary")
+        return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for _, t, row in _numbered(batches):
             found = tokens(t)
-            other = ~m.exact(found.h)[0]
+            words, back = v.distinct(found.h)
+            other = ~m.exact(words)[0][back]
             yield pa.record_batch([pa.array(row[found.doc[other]]), pa.array(found.h[other].view(np.int64))], ["row", "h"])
 
-    answers = placed = None
-    if model.counts is None:
-        learnt = texts.where(~F.col("held_out")).agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 1
-        size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 1
-        answers = space.stage(looked_up(texts, built, segments, max(1, -(-size // max(learnt, 1)))), "levels")
-        placed = texts.mapInArrow(place, f"piece long, row long, doc_id {id_type}, held_out boolean, text string")
-    cells = each_piece(texts.where(~F.col("held_out")), None, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = each_block(None, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     weights = fitted_weights(cells.column("cell").to_numpy(), cells.column("n").to_numpy())
-    first = each_piece(texts, weights, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double")
+    first = each_block(weights, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double")
     rest = texts.mapInArrow(rare, "row long, h long").join(vocabulary, "h", "left").groupBy("row").agg(
         F.count("c").alias("rare_known"), F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1) - log_total).alias("rare_base"))
     return first.join(rest, "row", "left").select(

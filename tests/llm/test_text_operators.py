@@ -352,6 +352,71 @@ def test_a_filter_too_large_to_broadcast_gives_the_same_scores(spark, space):
     assert near == far
 
 
+def test_no_filter_leaves_its_segment(spark, space, monkeypatch):
+    """Not even a small one: then a large one costs no other path, on which each piece of text asked each segment on its own."""
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "addFile", lambda *a, **b: sent.append(a))
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 30), "en") for i in range(40)]
+    found = language_model.scored(docs(spark, rows), ~language_model.held_out(F.col("doc_id"), 7, 2), space).collect()
+    assert len(found) == 40 and not sent
+
+
+def test_answers_are_those_of_the_whole_filter(spark, space):
+    rng = random.Random(17)
+    texts = [prose(rng, 1 + rng.randrange(60)) for _ in range(91)] + ["again " * 700, None, "again other"]  # at most one without a byte
+    held = [None if i == 7 else i % 5 == 0 for i in range(len(texts))]
+    rows = spark.createDataFrame(list(zip(texts, held, strict=True)), "text string, held_out boolean").repartition(3)
+    segments, grams, learnt = 16, {}, Counter()
+    for text, out in zip(texts, held, strict=True):
+        t = language_model.tokens(next(v.pieces(pa.array([text], pa.string()))))
+        grams[text] = {int(x) & (segments << 48) - 1 for x in (*t.h, *t.pairs)}
+        learnt.update([int(x) & (segments << 48) - 1 for x in (*t.h, *t.pairs)] if out is False else [])
+    want, codes = {}, sorted(learnt)
+    for seg in range(segments):
+        mine = [x for x in codes if x >> 48 == seg]
+        keys, counts = np.array([x & (1 << 48) - 1 for x in mine], np.uint64), np.array([learnt[x] for x in mine])
+        words = language_model.CountFilter.segment(keys, counts)
+        f = language_model.CountFilter(1, np.array([0]), np.array([len(words)]), words)
+        asked = sorted({x for g in grams.values() for x in g if x >> 48 == seg})
+        want |= dict(zip(asked, f.level(np.array([x & (1 << 48) - 1 for x in asked], np.uint64)), strict=True))
+    assert max(learnt.values()) > 600 and 0 in want.values()
+    stored = space.stage(rows, "asked")
+    got = language_model.answered(stored, segments, 1).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("seg", "levels"))).alias("of"))
+    assert Counter(tuple(b for x in r.of for b in x.levels) for r in got.collect()) == Counter(tuple(want[g] for g in sorted(grams[t])) for t in texts)
+
+
+@given(st.lists(st.integers(0, 5).map(lambda x: x * 0x2000000000000001 % (1 << 64)) | st.integers(0, 40), max_size=60))
+def test_distinct_and_times_are_those_of_numpy(x):
+    h = np.array(x, np.uint64)
+    want, back, n = np.unique(h, return_inverse=True, return_counts=True)
+    assert all((a == b).all() and len(a) == len(b) for a, b in zip(v.distinct(h), (want, back), strict=True))
+    assert v.times(h.astype(np.int64) & 0xFFFF).tolist() == [Counter(y & 0xFFFF for y in x)[y & 0xFFFF] for y in x]
+    assert v.times(h >> np.uint64(1)).tolist() == [Counter(y >> 1 for y in x)[y >> 1] for y in x]
+
+
+def test_shares_take_off_what_each_text_counts_itself():
+    texts = ["a b a b c", "b", "", "a a a", "c b a b"]
+    t = language_model.tokens(next(v.pieces(pa.array(texts))))
+    code, n = language_model._entries(t, np.ones(len(t.h), bool), 16)
+    answers = language_model.levels(n).astype(np.uint8)
+    words, counts = np.unique(t.h, return_counts=True)
+    model = language_model.Model(16, len(t.h), len(words), words, counts.astype(float))
+    got = model.judged(t, answers, less=True)
+    split = [[*x.split(), ""] for x in texts]
+    word = Counter(w for x in split for w in x)
+    pair = Counter(p for x in split for p in zip(["", *x], x, strict=False))
+    stands = language_model.level_counts()[language_model.levels(np.arange(1, 20))]
+    after, alone = [], []
+    for x in split:
+        own, own_pair = Counter(x), Counter(zip(["", *x], x, strict=False))
+        for a, b in zip(["", *x], x, strict=False):
+            context = word[a] - own[a]
+            after.append(min(max(stands[pair[a, b] - 1] - own_pair[a, b], 0), context) / context if context else 0)
+            alone.append((word[b] - own[b] + 1) / (len(t.h) + len(words) + 1))
+    assert got.known.all() and got.after.tolist() == after and got.alone.tolist() == alone
+
+
 def test_filter_returns_the_levels_it_was_given():
     rng = np.random.default_rng(1)
     keys, counts = rng.integers(0, 1 << 48, 5000, dtype=np.uint64), rng.integers(1, 3000, 5000)
